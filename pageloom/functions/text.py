@@ -8,24 +8,25 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, as regex classes for Java (and RE2).
-_BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Unicode white space, for trim() and as a regex class.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BLANK = "".join(rf"\x{{{ord(c):x}}}" for c in BLANKS)
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space from both ends (``trim`` only knows the blank)."""
-    return F.regexp_replace(text, rf"\A[{_BLANK}]+|[{_BLANK}]+\z", "")
+    """Remove Unicode white space from both ends (plain ``trim`` only knows the blank)."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(rf"[^{_BLANK}]")
+    return ~text.rlike(f"[^{_BLANK}]")
 
 
 def starts_with_any(text: Column, prefixes: Iterable[str]) -> Column:
-    test = F.lit(False)
-    for prefix in prefixes:
-        test = test | text.startswith(prefix)
-    return test
+    """Does the stripped text start with one of the prefixes?"""
+    choices = "|".join(re.escape(p) for p in prefixes)
+    return text.rlike(rf"\A[{_BLANK}]*(?:{choices})") if choices else F.lit(False)
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

@@ -21,6 +21,7 @@ from pageloom.functions.text import (
 )
 from pageloom.operators.htmltree import STRING_CONTAINERS, VOID
 from pageloom.operators.images import uris_by_page
+from pageloom.operators.parse import NODE_TYPE
 from pageloom.operators.skew import HOT_ROWS
 from pageloom.profile import MATH_CONFIG, MATH_LIBRARY_URL, PAGE_STYLE, POLYFILL_URL, CleanRules
 from pageloom.session import stage
@@ -28,10 +29,13 @@ from pageloom.session import stage
 CONTAINERS = sorted(STRING_CONTAINERS)
 UNESCAPED = ("script", "style")
 
-_PAGE = Window.partitionBy("page_id")
-_FORWARD = _PAGE.orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_LATER = _PAGE.orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
-_FROM_HERE = _PAGE.orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _forward():
+    return Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _backward(until: int):
+    """The rows after this one, in reverse order, up to and including ``until``."""
+    return Window.partitionBy("page_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, until)
 
 
 def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
@@ -64,57 +68,49 @@ def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
     )
 
 
-def _unwrap_noscripts(pages: DataFrame, rules: CleanRules, embed: bool) -> DataFrame:
-    """C2, C3, I1, I2 inside the page's row; adds alive, uri and family to the nodes.
+def _rewrite(nodes: Column, **changes) -> Column:
+    """The nodes with some fields replaced by functions of the node."""
+    names = NODE_TYPE.fieldNames()
+    return F.transform(
+        nodes, lambda n: F.struct(*[(changes[f](n) if f in changes else n[f]).alias(f) for f in names])
+    )
+
+
+def _unwrap_noscripts(pages: DataFrame, rules: CleanRules) -> DataFrame:
+    """C3 inside the page's row: a noscript with a shown image among its children becomes
+    kind "unwrapped", and its children get its parent. Pages without one pass untouched.
 
-    ``family`` ties an ``a`` to the element that holds it, an unwrapped noscript aside,
-    and every other node to itself. Noscripts do not nest, so their slices add up to no
-    more than the page.
+    Noscripts do not nest, so their slices add up to no more than the page.
     """
     nodes, root_pre = F.col("nodes"), F.col("root_pre")
 
-    def shown(n):
-        return (n["tag"] == "img") & ~has_token(dom.attr(n, "class"), rules.lazy_class)
-
-    def unwrapped(n):
+    def holds_image(n):
         below = F.slice(nodes, n["pre"] - root_pre + 2, n["last"] - n["pre"])
-        return F.when(
-            n["tag"] == "noscript",
-            F.exists(below, lambda c: F.coalesce((c["parent"] == n["pre"]) & shown(c), F.lit(False))),
-        ).otherwise(False)
-
-    def uri(n):
-        if not embed:
-            return F.lit(None).cast("string")
-        return F.when(dom.is_image_task(n, rules.lazy_class), F.col("uris")[n["pre"]])
-
-    def alive(n):
-        dead = F.coalesce((n["tag"] == "img") & has_token(dom.attr(n, "class"), rules.lazy_class), F.lit(False))
-        if embed:
-            dead = dead | (dom.is_image_task(n, rules.lazy_class) & uri(n).isNull())
-        return ~dead & ~unwrapped(n)
-
-    fields = ("pre", "last", "parent", "kind", "tag", "attrs", "text")
-    marked = pages.withColumn(
-        "nodes",
-        F.transform(nodes, lambda n: F.struct(
-            *[n[f].alias(f) for f in fields],
-            alive(n).alias("alive"), uri(n).alias("uri"), unwrapped(n).alias("unwrapped"),
-        )),
-    )
+        return F.exists(below, lambda c: (c["parent"] == n["pre"]) & (c["tag"] == "img") & ~_is_lazy(c, rules))
+
+    some = F.exists(nodes, lambda n: n["tag"] == "noscript")
+    marked = _rewrite(nodes, kind=lambda n: F.when((n["tag"] == "noscript") & holds_image(n), "unwrapped").otherwise(n["kind"]))
+    pages = pages.withColumn("nodes", F.when(some, marked).otherwise(nodes))
 
     def holder(n):
         above = F.get(nodes, n["parent"] - root_pre)
-        return F.when(F.coalesce(above["unwrapped"], F.lit(False)), above["parent"]).otherwise(n["parent"])
-
-    kept = ("pre", "last", "kind", "tag", "attrs", "text", "alive", "uri")
-    return marked.withColumn(
-        "nodes",
-        F.transform(nodes, lambda n: F.struct(
-            *[n[f].alias(f) for f in kept],
-            F.when(n["tag"] == "a", holder(n)).otherwise(n["pre"]).alias("family"),
-        )),
+        return F.when(above["kind"] == "unwrapped", above["parent"]).otherwise(n["parent"])
+
+    some = F.exists(nodes, lambda n: n["kind"] == "unwrapped")
+    return pages.withColumn("nodes", F.when(some, _rewrite(nodes, parent=holder)).otherwise(nodes))
+
+
+def _is_lazy(n: Column, rules: CleanRules) -> Column:
+    return has_token(dom.attr(n, "class"), rules.lazy_class)
+
+
+def _place_uris(pages: DataFrame, rules: CleanRules) -> DataFrame:
+    """I1 inside the page's row: an embedded image carries its data URI as ``text``."""
+    nodes, uris = F.col("nodes"), F.col("uris")
+    placed = _rewrite(
+        nodes, text=lambda n: F.when(dom.is_image_task(n, rules.lazy_class), uris[n["pre"]]).otherwise(n["text"])
     )
+    return pages.withColumn("nodes", F.when(uris.isNotNull(), placed).otherwise(nodes)).drop("uris")
 
 
 def _attributes(attrs: Column) -> Column:
@@ -125,10 +121,11 @@ def _attributes(attrs: Column) -> Column:
     )
 
 
-def _node_rows(pages: DataFrame, rules: CleanRules) -> DataFrame:
-    """Unfold the nodes; whatever a node shows about itself is settled here.
+def _node_rows(pages: DataFrame, rules: CleanRules, embed: bool) -> DataFrame:
+    """Unfold the nodes; whatever a node shows about itself is settled here
+    (C1, C2, C4, C6, C7, C9, I2). Attributes end here, so the sorts below move short rows.
 
-    Attributes end here, so the sorts below move short rows.
+    ``family`` ties an ``a`` to the element that holds it and all others to themselves.
     """
     rows = pages.select(
         "page_id", "root_pre",
@@ -145,20 +142,28 @@ def _node_rows(pages: DataFrame, rules: CleanRules) -> DataFrame:
         | has_any_token(attrs["class"], rules.removed_classes),
         F.lit(False),
     )
-    written = F.when(is_root, "").when(F.col("uri").isNotNull(), _attributes(F.create_map(F.lit("src"), "uri"))).when(
-        tag.isin(*rules.attribute_tags, *rules.protected_tags), _attributes(attrs)
-    ).otherwise("")
+    image = F.coalesce(tag == "img", F.lit(False))
+    dead = (kind == "unwrapped") | (image & _is_lazy(rows, rules))
+    if embed:
+        dead = dead | (dom.is_image_task(rows, rules.lazy_class) & text.isNull())
+    written = (
+        F.when(is_root, "")
+        .when(image & text.isNotNull(), F.concat(F.lit(" src="), quote_attribute(text)))
+        .when(tag.isin(*rules.attribute_tags, *rules.protected_tags), _attributes(attrs))
+        .otherwise("")
+    )
     void = tag.isin(*sorted(VOID))
     opening = F.concat(F.lit("<"), tag, written, F.when(void, "/>").otherwise(">"))
     closing = F.when(element & ~void, F.concat(F.lit("</"), tag, F.lit(">"))).otherwise("")
     return rows.select(
-        "page_id", "pre", "last", "kind", "tag", "family",
+        "page_id", "pre", "last", "kind", "tag",
+        F.when(tag == "a", F.col("parent")).otherwise(F.col("pre")).alias("family"),
         F.when(is_root, F.col("page")).alias("page"),
-        F.coalesce("alive", F.lit(False)).alias("alive"),
+        F.coalesce(~dead, F.lit(False)).alias("alive"),
         element.alias("element"),
         judged.alias("judged"),
         banned.alias("banned"),
-        F.coalesce(starts_with_any(strip(text), rules.removed_text_prefixes), F.lit(False)).alias("boilerplate"),
+        F.coalesce(starts_with_any(text, rules.removed_text_prefixes), F.lit(False)).alias("boilerplate"),
         F.coalesce(is_blank(text), F.lit(False)).alias("blank"),
         F.when(element, opening).otherwise(text).alias("body"),
         closing.alias("closing"),
@@ -172,7 +177,7 @@ def _own_kind(tag: Column) -> Column:
 
 def _drop_covered(rows: DataFrame, condition: Column) -> DataFrame:
     """Kill the rows that meet the condition and everything inside them."""
-    reach = F.max(F.when(condition, F.col("last"))).over(_FORWARD)
+    reach = F.max(F.when(condition, F.col("last"))).over(_forward())
     return rows.withColumn("alive", F.col("alive") & (F.coalesce(reach, F.lit(-1)) < F.col("pre")))
 
 
@@ -182,13 +187,13 @@ def _remove_unwanted(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn(
         "holds_link", F.max(F.col("tag") == "a").over(Window.partitionBy("page_id", "family"))
     )
-    rows = rows.withColumn("next_alive", F.min(F.when(alive, pre)).over(_LATER))
+    rows = rows.withColumn("next_alive", F.min(F.when(alive, pre)).over(_backward(-1)))
     leaf = alive & (F.coalesce(F.col("next_alive"), last + 1) > last)
     rows = rows.withColumn("leaf", leaf)
-    rows = rows.withColumn("next_leaf", F.min(F.when(F.col("leaf"), pre)).over(_LATER))
+    rows = rows.withColumn("next_leaf", F.min(F.when(F.col("leaf"), pre)).over(_backward(-1)))
     rows = rows.withColumn(
         "first_leaf",
-        F.last(F.when(F.col("leaf"), F.struct("kind", "boilerplate", "next_leaf")), True).over(_FROM_HERE),
+        F.last(F.when(F.col("leaf"), F.struct("kind", "boilerplate", "next_leaf")), True).over(_backward(0)),
     )
     first = F.col("first_leaf")
     single_string = (first["kind"] == _own_kind(F.col("tag"))) & (F.coalesce(first["next_leaf"], last + 1) > last)
@@ -204,11 +209,11 @@ def _remove_empty(rows: DataFrame) -> DataFrame:
     """No text of its own kind and no image below."""
     pre, alive, kind = F.col("pre"), F.col("alive"), F.col("kind")
     following = {
-        k: F.min(F.when(alive & (kind == k) & ~F.col("blank"), pre)).over(_LATER) for k in ("text", *CONTAINERS)
+        k: F.min(F.when(alive & (kind == k) & ~F.col("blank"), pre)).over(_backward(-1)) for k in ("text", *CONTAINERS)
     }
     rows = rows.select(
         "*",
-        F.min(F.when(alive & (F.col("tag") == "img"), pre)).over(_LATER).alias("next_img"),
+        F.min(F.when(alive & (F.col("tag") == "img"), pre)).over(_backward(-1)).alias("next_img"),
         *[c.alias(f"next_{k}") for k, c in following.items()],
     )
     own = F.col("next_text")
@@ -250,15 +255,18 @@ def _serialize(rows: DataFrame, rules: CleanRules, standalone: bool) -> DataFram
         ).alias("pieces"),
     )
     # A closing tag follows the last node of its subtree; of several, the innermost first.
-    tokens = F.array_sort(F.flatten(F.transform("pieces", lambda p: F.array(
-        F.struct(p["pre"].alias("at"), F.lit(0).alias("side"), F.lit(0).alias("turn"), p["markup"].alias("token")),
-        F.struct(p["last"].alias("at"), F.lit(1).alias("side"), (-p["pre"]).alias("turn"), p["closing"].alias("token")),
-    ))))
-    content = F.array_join(F.transform(tokens, lambda t: t["token"]), "")
-    texts = F.filter(
-        F.transform(F.array_sort(F.transform("pieces", lambda p: F.struct(p["pre"], p["words"].alias("words")))),
-                    lambda p: p["words"]),
-        lambda w: w != "",
+    def at(position, turn):
+        return (F.shiftleft(position.cast("bigint"), 32) + turn).alias("at")
+
+    opened = F.transform("pieces", lambda p: F.struct(at(p["pre"], F.lit(0)), p["markup"].alias("token")))
+    closed = F.transform(
+        F.filter("pieces", lambda p: p["closing"] != ""),
+        lambda p: F.struct(at(p["last"], F.lit(2**31) - p["pre"]), p["closing"].alias("token")),
+    )
+    content = F.array_join(F.transform(F.array_sort(F.concat(opened, closed)), lambda t: t["token"]), "")
+    said = F.filter("pieces", lambda p: p["words"] != "")
+    texts = F.transform(
+        F.array_sort(F.transform(said, lambda p: F.struct(p["pre"], p["words"].alias("words")))), lambda p: p["words"]
     )
     page = F.col("page")
     html = content
@@ -298,6 +306,7 @@ def clean_pages(
         # Read twice, by the references and by the rules: do not parse twice.
         pages = stage(pages, "content")
         pages = pages.join(uris_by_page(pages, images, rules, hot_rows), "page_id", "left")
-    pages = _unwrap_noscripts(pages, rules, images is not None).drop("uris")
-    rows = _remove_empty(_remove_unwanted(_node_rows(pages, rules)))
+        pages = _place_uris(pages, rules)
+    pages = _unwrap_noscripts(pages, rules)
+    rows = _remove_empty(_remove_unwanted(_node_rows(pages, rules, embed=images is not None)))
     return _serialize(rows, rules, standalone)

@@ -6,6 +6,7 @@ links or the images needs no shuffle. ``node_table`` unfolds them into rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.operators import htmltree
+from pageloom.operators.htmltree import NodeColumns, number_page
 
-# The tokenizer travels with the plan; executors need no copy of this package.
+# Both modules travel with the plan; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(htmltree)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_TYPE = T.StructType([
     T.StructField("pre", T.IntegerType()),
@@ -32,7 +35,7 @@ NODE_TYPE = T.StructType([
 NODES_PER_BATCH = 50_000
 
 
-def _node_arrays(columns: htmltree.NodeColumns, offsets: list, valid: list) -> pa.Array:
+def _node_arrays(columns: NodeColumns, offsets: list, valid: list) -> pa.Array:
     attrs = pa.MapArray.from_arrays(
         pa.array(columns.attr_offsets, pa.int32()),
         pa.array(columns.attr_names, pa.string()),
@@ -56,19 +59,16 @@ def _node_arrays(columns: htmltree.NodeColumns, offsets: list, valid: list) -> p
 
 
 def _parse_batches(kept: Sequence[str], html_column: str):
-    # Bind what the workers need into the closure, so that the plan carries it.
-    tree, build, limit = htmltree, _node_arrays, NODES_PER_BATCH
-
     def emit(batch, start, stop, columns, offsets, errors):
         arrays = [batch.column(name).slice(start, stop - start) for name in kept]
-        arrays.append(build(columns, offsets, [e is None for e in errors]))
+        arrays.append(_node_arrays(columns, offsets, [e is None for e in errors]))
         arrays.append(pa.array([e or None for e in errors], pa.string()))
         return pa.RecordBatch.from_arrays(arrays, names=[*kept, "nodes", "parse_error"])
 
     def parse(batches):
         for batch in batches:
             pages = batch.column(html_column)
-            start, columns, offsets, errors = 0, tree.NodeColumns(), [0], []
+            start, columns, offsets, errors = 0, NodeColumns(), [0], []
             for i in range(len(pages)):
                 size = len(columns)
                 error = None
@@ -77,15 +77,15 @@ def _parse_batches(kept: Sequence[str], html_column: str):
                     error = ""  # nothing stored: no nodes, yet not a parse failure
                 else:
                     try:
-                        tree.number_page(html, columns)
+                        number_page(html, columns)
                     except Exception as problem:  # one bad page must not fail the task
                         columns.truncate(size)
                         error = f"{type(problem).__name__}: {problem}"
                 offsets.append(len(columns))
                 errors.append(error)
-                if len(columns) >= limit:
+                if len(columns) >= NODES_PER_BATCH:
                     yield emit(batch, start, i + 1, columns, offsets, errors)
-                    start, columns, offsets, errors = i + 1, tree.NodeColumns(), [0], []
+                    start, columns, offsets, errors = i + 1, NodeColumns(), [0], []
             if errors:
                 yield emit(batch, start, len(pages), columns, offsets, errors)
 

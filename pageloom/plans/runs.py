@@ -42,8 +42,14 @@ def run_bulk(
     """Crawl from ``seed``, clean what was found, keep one document per key, bundle."""
     found = crawl(pages, seed, profile).pages
     fetched = fetch_pages(found, pages, profile)
-    parsed = parse_pages(fetched, keep=("page_id", "url", "depth", "rank"))
-    outcomes = stage(clean_pages(parsed, rules, images), "outcomes")
+    parsed = parse_pages(fetched.filter("page_id IS NOT NULL"), keep=("page_id", "url", "depth", "rank"))
+    missing = fetched.filter("page_id IS NULL").select(
+        "page_id", "url", "depth", "rank",
+        F.lit("missing").alias("status"), urls.file_key(F.col("url")).alias("file_key"),
+    )
+    outcomes = stage(
+        clean_pages(parsed, rules, images).unionByName(missing, allowMissingColumns=True), "outcomes"
+    )
     documents = last_writer_wins(outcomes.filter("status = 'ok'"))
     subject = F.array_join(urls.subject_keywords(F.lit(seed), profile), "-")
     bundles = bundle_parts(documents.withColumn("subject", subject), "subject", "rank", "clean_html", width)

@@ -28,7 +28,7 @@ def fetch_pages(wanted: DataFrame, pages: DataFrame, profile: SiteProfile = Site
     """Left join the wanted list (norm_url, depth, rank) to its stored pages.
 
     The stored URL alone rules out nearly all pages, and only one snapshot per URL is
-    taken, both before any html moves. Without a stored page ``html`` is null.
+    taken, both before any html moves. Without a stored page ``page_id`` and ``html`` are null.
     """
     stored = with_norm_url(pages.select("page_id", "url", "html")).filter(
         urls.may_be_wanted(F.col("norm_url"), profile)
@@ -36,17 +36,12 @@ def fetch_pages(wanted: DataFrame, pages: DataFrame, profile: SiteProfile = Site
     chosen = stage(
         wanted.join(first_snapshots(stored.select("page_id", "norm_url")), "norm_url", "left"), "wanted"
     )
-    bodies = stored.select("page_id", "html").join(
-        chosen.select("page_id").filter("page_id IS NOT NULL"), "page_id", "left_semi"
+    listed = ("page_id", F.col("norm_url").alias("url"), "depth", "rank")
+    present = chosen.filter("page_id IS NOT NULL").join(stored.select("page_id", "html"), "page_id")
+    missing = chosen.filter("page_id IS NULL")
+    return present.select(*listed, "html").unionByName(
+        missing.select(*listed, F.lit(None).cast("string").alias("html"))
     )
-    # Pages that are not stored have no page_id; the rank keeps them apart in later steps.
-    missing = chosen.filter("page_id IS NULL").select(
-        (-F.col("rank")).alias("page_id"), F.col("norm_url").alias("url"), "depth", "rank", F.lit(None).cast("string").alias("html")
-    )
-    present = chosen.join(bodies, "page_id").select(
-        "page_id", F.col("norm_url").alias("url"), "depth", "rank", "html"
-    )
-    return present.unionByName(missing)
 
 
 def resolve_attempts(
