@@ -82,22 +82,55 @@ def normalize(url: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("https://"), netloc(url), path(url)), "/+$", "")
 
 
-def _unsplit(scheme_, netloc_, path_, params_, query_, fragment_):
-    rooted = F.when((path_ != "") & ~path_.startswith("/"), F.concat(F.lit("/"), path_)).otherwise(path_)
-    return F.concat(
-        scheme_, F.lit("://"), netloc_, rooted,
-        F.when(params_ != "", F.concat(F.lit(";"), params_)).otherwise(""),
-        F.when(query_ != "", F.concat(F.lit("?"), query_)).otherwise(""),
-        F.when(fragment_ != "", F.concat(F.lit("#"), fragment_)).otherwise(""),
+def link_parts(href: Column) -> dict[str, Column]:
+    """What ``join_parts`` needs of an href: link, own (its scheme) and rest (the remainder,
+    without empty params, query or fragment)."""
+    link = strip(href)
+    clean = _printable(link)
+    rest = F.regexp_replace(clean, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+    rest = F.regexp_replace(rest, r"^([^#]*)#$", "$1")
+    rest = F.regexp_replace(rest, r"^([^?#]*)\?(?=#|$)", "$1")
+    rest = F.regexp_replace(rest, r"^((?:[^?#]*/)?[^;/?#]*);(?=[?#]|$)", "$1")
+    return {
+        "link": link,
+        "own": F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
+        "rest": rest,
+    }
+
+
+def join_parts(link: Column, own: Column, rest: Column, base_scheme: Column, base_netloc: Column) -> Column:
+    root = F.concat(base_scheme, F.lit("://"), base_netloc)
+    inner = F.regexp_replace(rest, "^//", "")  # only reached when no host follows
+    return (
+        F.when((link == "") | link.startswith("#"), None)
+        .when((own != "") & (own != base_scheme), link)
+        .when(rest.rlike("^//[^/?#]"), F.concat(base_scheme, F.lit(":"), rest))
+        .when(inner.rlike(r"^(?:[^;?#]*/)?\.\.?(?:[/;?#]|$)"), F.concat(root, _without_dots(inner)))
+        .when(inner.rlike("^(?:[/?#]|$)"), F.concat(root, inner))
+        .otherwise(F.concat(root, F.lit("/"), _single_slashes(inner)))
     )
 
 
-def _without_dots(path_: Column) -> Column:
-    """Fold "." and ".." segments; slash runs shrink only in paths without a leading slash."""
-    rooted = F.when(path_.startswith("/"), path_).otherwise(
-        F.concat(F.lit("/"), F.regexp_replace(path_, "/+", "/"))
-    )
-    segments = F.split(rooted, "/")
+def _path_part(rest: Column) -> Column:
+    """Up to the params, query or fragment."""
+    return F.regexp_extract(rest, r"^(?:[^?#]*/)?[^;/?#]*", 0)
+
+
+def _tail_part(rest: Column) -> Column:
+    return F.regexp_replace(rest, r"^(?:[^?#]*/)?[^;/?#]*", "")
+
+
+def _single_slashes(rest: Column) -> Column:
+    """Slash runs shrink only in paths without a leading slash."""
+    return F.concat(F.regexp_replace(_path_part(rest), "/+", "/"), _tail_part(rest))
+
+
+def _without_dots(rest: Column) -> Column:
+    """Fold "." and ".." segments."""
+    path_ = _path_part(rest)
+    rooted = F.when(path_.startswith("/"), path_).otherwise(F.concat(F.lit("/"), F.regexp_replace(path_, "/+", "/")))
+    # A final dot segment stands for the folder: it leaves an empty last segment.
+    segments = F.split(F.regexp_replace(rooted, r"(/\.\.?)$", "$1/"), "/")
     kept = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -105,11 +138,8 @@ def _without_dots(path_: Column) -> Column:
             segment == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         ).when(segment == ".", done).otherwise(F.concat(done, F.array(segment))),
     )
-    ends_in_dots = rooted.rlike(r"/\.\.?$")
-    folded = F.array_join(
-        F.when(ends_in_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"
-    )
-    return F.when(rooted.rlike(r"/\.\.?(/|$)"), F.when(folded == "", "/").otherwise(folded)).otherwise(rooted)
+    # Going above the root loses the leading empty segment; the slash comes back here.
+    return F.concat(F.regexp_replace(F.array_join(kept, "/"), "^/?", "/"), _tail_part(rest))
 
 
 def resolve(href: Column, page_url: Column) -> Column:
@@ -117,18 +147,7 @@ def resolve(href: Column, page_url: Column) -> Column:
 
     Blank hrefs and bare fragments give null.
     """
-    link = strip(href)
-    base_scheme, base_netloc = scheme(page_url), netloc(page_url)
-    own_scheme, own_netloc = scheme(link), netloc(link)
-    tail = (params(link), query(link), fragment(link))
-    path_ = path(link)
-    return (
-        F.when((link == "") | link.startswith("#"), None)
-        .when((own_scheme != "") & (own_scheme != base_scheme), link)
-        .when(own_netloc != "", _unsplit(base_scheme, own_netloc, path_, *tail))
-        .when((path_ == "") & (tail[0] == ""), _unsplit(base_scheme, base_netloc, path_, *tail))
-        .otherwise(_unsplit(base_scheme, base_netloc, _without_dots(path_), *tail))
-    )
+    return join_parts(**link_parts(href), base_scheme=scheme(page_url), base_netloc=netloc(page_url))
 
 
 def site_url(url: Column, profile: SiteProfile) -> Column:

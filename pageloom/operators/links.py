@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import dom, urls
+from pageloom.functions.bind import bind
 from pageloom.operators.parse import parse_pages
 from pageloom.profile import SiteProfile
 from pageloom.session import stage
@@ -18,8 +19,15 @@ def page_links(parsed: DataFrame, profile: SiteProfile = SiteProfile()) -> DataF
         "page_id", "url", "nodes", dom.find_root(nodes, profile.link_roots, whole_page=True).alias("root")
     )
     inside = nodes if not profile.link_roots else dom.subtree(nodes, F.col("root"))
-    links = rooted.select("page_id", "url", F.posexplode(dom.anchors(inside)).alias("pos", "href"))
-    return links.withColumn("abs_url", urls.resolve(F.col("href"), F.col("url")))
+    based = bind(rooted, base_scheme=urls.scheme(F.col("url")), base_netloc=urls.netloc(F.col("url")))
+    links = based.select(
+        "page_id", "url", "base_scheme", "base_netloc", F.posexplode(dom.anchors(inside)).alias("pos", "href")
+    )
+    parts = bind(links, **urls.link_parts(F.col("href")))
+    joined = bind(parts, abs_url=urls.join_parts(
+        *[F.col(c) for c in ("link", "own", "rest", "base_scheme", "base_netloc")]
+    ))
+    return joined.select("page_id", "url", "pos", "href", "abs_url")
 
 
 def first_snapshots(pages: DataFrame) -> DataFrame:
@@ -47,16 +55,11 @@ def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()
     chosen = readable.select("page_id", "norm_url", "html").join(stored.select("page_id"), "page_id", "left_semi")
     parsed = parse_pages(chosen.withColumnRenamed("norm_url", "url"))
     link = F.col("abs_url")
-    edges = (
-        page_links(parsed, profile)
-        .select(
-            F.col("url").alias("src"),
-            "pos",
-            urls.normalize(link).alias("dst"),
-            urls.is_wanted_page(link, listing, profile).alias("is_page"),
-            urls.is_listing(link, listing, profile).alias("is_listing"),
-        )
-        .filter((F.col("is_page") | F.col("is_listing")) & (F.col("dst") != seed_norm))
-        .drop("is_listing")
+    judged = bind(
+        page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url"),
+        dst=urls.normalize(link),
+        is_page=urls.is_wanted_page(link, listing, profile),
+        is_listing=urls.is_listing(link, listing, profile),
     )
-    return edges, stored
+    useful = (F.col("is_page") | F.col("is_listing")) & (F.col("dst") != seed_norm)
+    return judged.filter(useful).select("src", "pos", "dst", "is_page"), stored

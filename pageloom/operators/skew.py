@@ -16,9 +16,10 @@ HOT_ROWS = 1_000_000
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """(_key_hash, _salts) of the hot keys of a staged table; null when it is small."""
-    limit = max(df.count() // HOT_SHARE, hot_rows)
-    if df.limit(limit + 1).count() <= limit:
+    total = df.count()
+    if total <= hot_rows:
         return None
+    limit = max(total // HOT_SHARE, hot_rows)
     return (
         df.groupBy(F.xxhash64(key).alias("_key_hash"))
         .count()
