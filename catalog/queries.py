@@ -126,11 +126,11 @@ def url_rules(spark, sf_dir):
 def url_classify(spark, sf_dir):
     """U15, U16"""
     docs = bind(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), link=F.expr(shapes.CANDIDATE))
-    seed = F.lit(shapes.CLASSIFY_SEED)
+    seed, keywords = F.lit(shapes.CLASSIFY_SEED), urls.keyword_list(spark, shapes.CLASSIFY_SEED)
     return docs.select(
         "doc_id",
-        urls.is_wanted_page(F.col("link"), seed).alias("wanted"),
-        urls.is_listing(F.col("link"), seed).alias("listing"),
+        urls.is_wanted_page(F.col("link"), seed, keywords=keywords).alias("wanted"),
+        urls.is_listing(F.col("link"), seed, keywords=keywords).alias("listing"),
     )
 
 
@@ -148,7 +148,7 @@ def on_topic(spark, sf_dir):
         "doc_id",
         F.expr("'https://h.example.com/' || source || '-' || lang || '-networks/x?y=terms'").alias("url"),
         F.expr("""CASE doc_id % 4 WHEN 0 THEN array(source, 'ens', 'none', 'terms') WHEN 1 THEN array('zz', 'des', 'yy')
-                  WHEN 2 THEN array('s', 'networks', 'ww', 'vv') ELSE array('network', 'src1s', 'qq', 'ww', 'x') END""").alias("k"),
+                  WHEN 2 THEN array('s', 'networks', 'ww', 'vv') ELSE array('network', 'src1s', 'qq', 'ww', 'zz') END""").alias("k"),
     )
     return docs.select("doc_id", urls.on_topic(F.col("url"), F.col("k")).alias("on_topic"))
 
@@ -342,7 +342,7 @@ def site_pages(spark, sf_dir):
         (F.col("doc_id") * 2 + 1).alias("page_id"),
         F.expr(f"'http://{shapes.HOST}' || {page}").alias("url"), F.expr(body).alias("html"),
     )
-    return listings.unionByName(pages)
+    return spread_pages(stage(listings.unionByName(pages), "site"))
 
 
 @query

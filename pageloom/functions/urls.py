@@ -5,7 +5,7 @@ They are total: any string, and null, gives a value instead of an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import alternation, contains_any, strip
@@ -161,7 +161,11 @@ def _one_line(pattern: str) -> str:
 
 
 def outer_path(url: Column) -> Column:
-    return F.regexp_replace(path(url), "^/+|/+$", "")
+    return _trim_slashes(path(url))
+
+
+def _trim_slashes(path_: Column) -> Column:
+    return F.trim(path_, F.lit("/"))
 
 
 def is_listing_itself(url: Column, listing: Column) -> Column:
@@ -186,7 +190,11 @@ def listing_keyword_rejected(url: Column, profile: SiteProfile) -> Column:
 
 def page_slug(url: Column, profile: SiteProfile) -> Column:
     """The path looks like a page rather than a listing."""
-    return path(url).rlike("(?i)" + alternation(profile.page_indicators))
+    return _slug_in(path(url), profile)
+
+
+def _slug_in(path_: Column, profile: SiteProfile) -> Column:
+    return path_.rlike("(?i)" + alternation(profile.page_indicators))
 
 
 def subject_keywords(listing: Column, profile: SiteProfile = SiteProfile()) -> Column:
@@ -200,39 +208,70 @@ def subject_keywords(listing: Column, profile: SiteProfile = SiteProfile()) -> C
     return F.filter(F.split(F.lower(slug), "-"), lambda word: word != "")
 
 
-def on_topic(url: Column, keywords: Column) -> Column:
+def on_topic(url: Column, keywords: Column | list[str]) -> Column:
     """At least half of the keywords (rounded down, one at least) are in the path."""
-    lowered = F.lower(path(url))
-    hits = F.size(F.filter(keywords, lambda word: lowered.contains(F.rtrim(word, F.lit("s")))))
-    needed = F.greatest(F.lit(1), F.floor(F.size(keywords) / 2))
-    return (F.size(keywords) == 0) | (hits >= needed)
+    return _topic_in(path(url), keywords)
 
 
-def is_wanted_page(url: Column, listing: Column, profile: SiteProfile = SiteProfile()) -> Column:
-    """Cheap tests first; judged on the link as found, before normalizing."""
-    test = (
+def _topic_in(path_: Column, keywords: Column | list[str]) -> Column:
+    lowered = F.lower(path_)
+    if isinstance(keywords, Column):
+        hits = F.size(F.filter(keywords, lambda word: lowered.contains(F.rtrim(word, F.lit("s")))))
+        needed = F.greatest(F.lit(1), F.floor(F.size(keywords) / 2))
+        return (F.size(keywords) == 0) | (hits >= needed)
+    if not keywords:
+        return F.lit(True)
+    hits = sum((lowered.contains(word.rstrip("s")).cast("int") for word in keywords), F.lit(0))
+    return hits >= max(1, len(keywords) // 2)
+
+
+def _may_count(url: Column, path_: Column, listing: Column, keywords: Column | list[str], profile: SiteProfile) -> Column:
+    """The tests that pages and listings share."""
+    return (
         site_url(url, profile)
-        & ~page_keyword_rejected(url, profile)
-        & page_slug(url, profile)
+        & _topic_in(path_, keywords)
         & ~excluded(url, profile)
-        & ~is_listing_itself(url, listing)
-        & on_topic(url, subject_keywords(listing, profile))
+        & (_trim_slashes(path_) != outer_path(listing))
     )
-    if profile.domains:
-        test = test & allowed_domain(url, profile)
-    return F.coalesce(test, F.lit(False))
 
 
-def is_listing(url: Column, listing: Column, profile: SiteProfile = SiteProfile()) -> Column:
+def _page_tests(url: Column, netloc_: Column, path_: Column, profile: SiteProfile) -> Column:
+    tests = _slug_in(path_, profile) & ~page_keyword_rejected(url, profile)
+    return tests & F.lower(netloc_).isin(*profile.domains) if profile.domains else tests
+
+
+def is_wanted_page(
+    url: Column, listing: Column, profile: SiteProfile = SiteProfile(), keywords: list[str] | None = None
+) -> Column:
+    """Judged on the link as found, before normalizing."""
+    known = subject_keywords(listing, profile) if keywords is None else keywords
+    shared = _may_count(url, path(url), listing, known, profile)
+    return F.coalesce(shared & _page_tests(url, netloc(url), path(url), profile), F.lit(False))
+
+
+def is_listing(
+    url: Column, listing: Column, profile: SiteProfile = SiteProfile(), keywords: list[str] | None = None
+) -> Column:
     """U16: an on-topic page of the site worth following."""
-    test = (
-        site_url(url, profile)
-        & ~listing_keyword_rejected(url, profile)
-        & ~excluded(url, profile)
-        & ~is_listing_itself(url, listing)
-        & on_topic(url, subject_keywords(listing, profile))
+    known = subject_keywords(listing, profile) if keywords is None else keywords
+    shared = _may_count(url, path(url), listing, known, profile)
+    return F.coalesce(shared & ~listing_keyword_rejected(url, profile), F.lit(False))
+
+
+def classify(
+    url: Column, netloc_: Column, path_: Column, listing: Column, keywords: Column | list[str], profile: SiteProfile
+) -> Column:
+    """U15 before U16 on a URL whose parts are at hand: 'page', 'listing' or null."""
+    return F.when(
+        _may_count(url, path_, listing, keywords, profile),
+        F.when(_page_tests(url, netloc_, path_, profile), "page")
+        .when(~listing_keyword_rejected(url, profile), "listing"),
     )
-    return F.coalesce(test, F.lit(False))
+
+
+def keyword_list(spark: SparkSession, listing: str, profile: SiteProfile = SiteProfile()) -> list[str]:
+    """U13 of one listing, as literals for the expressions of a job."""
+    return spark.range(1).select(subject_keywords(F.lit(listing), profile)).first()[0]
 
 
 def may_be_wanted(norm_url: Column, profile: SiteProfile) -> Column:
@@ -244,14 +283,14 @@ def may_be_wanted(norm_url: Column, profile: SiteProfile) -> Column:
     return site_url(F.concat(norm_url, F.lit("/x")), profile) & page_slug(norm_url, profile)
 
 
-def may_be_listing(norm_url: Column, listing: Column, profile: SiteProfile) -> Column:
+def may_be_listing(norm_url: Column, keywords: list[str], profile: SiteProfile) -> Column:
     """The same for links to listings: host, exclusions and topic survive normalizing."""
-    loose = F.transform(subject_keywords(listing, profile), lambda word: F.rtrim(word, F.lit("s/")))
+    loose = [word.rstrip("s/") for word in keywords]
     return F.coalesce(
         site_url(F.concat(norm_url, F.lit("/x")), profile)
+        & on_topic(norm_url, loose)
         & ~listing_keyword_rejected(norm_url, profile)
-        & ~excluded(norm_url, profile)
-        & on_topic(norm_url, loose),
+        & ~excluded(norm_url, profile),
         F.lit(False),
     )
 

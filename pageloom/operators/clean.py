@@ -305,8 +305,9 @@ def clean_pages(
     else:
         # Read twice, by the references and by the rules: do not parse twice.
         pages = stage(pages, "content")
-        pages = pages.join(uris_by_page(pages, images, rules, hot_rows), "page_id", "left")
-        pages = _place_uris(pages, rules)
+        uris = uris_by_page(pages, images, rules, hot_rows)
+        pages = _place_uris(pages.repartition("page_id").join(uris, "page_id", "left"), rules)
+    # Shuffled once by page_id; all windows keep to that.
     pages = _unwrap_noscripts(pages, rules)
     rows = _remove_empty(_remove_unwanted(_node_rows(pages, rules, embed=images is not None)))
     return _serialize(rows, rules, standalone)

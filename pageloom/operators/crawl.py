@@ -38,26 +38,25 @@ def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot
     frontier = spark.range(1).select(
         urls.normalize(F.lit(seed)).alias("src"), F.array().cast("array<int>").alias("path")
     )
-    crawled, found = [], []
+    crawled = [frontier.select("src", F.lit(0).alias("depth"))]
+    found = []
     for depth in range(profile.max_depth + 1):
-        frontier = stage(frontier, "frontier")
-        if depth and frontier.isEmpty():
-            break
-        crawled.append(frontier.select("src", F.lit(depth).alias("depth")))
-        links = salted_join(edges, frontier, "src", ["pos", "dst"], hot).select(
-            "dst", "is_page", F.concat("path", F.array("pos")).alias("path")
-        )
+        links = salted_join(edges, frontier, "src", ["pos", "dst"], hot)
+        if depth == profile.max_depth:
+            links = links.filter("is_page")
         # min() combines on the map side, so a page everybody links to is no hot spot.
+        reached = stage(
+            links.groupBy("dst", "is_page").agg(F.min(F.concat("path", F.array("pos"))).alias("path")), "reached"
+        )
         found.append(
-            links.filter("is_page").groupBy("dst").agg(F.min("path").alias("path"))
-            .select(F.col("dst").alias("norm_url"), F.lit(depth).alias("depth"), "path")
+            reached.filter("is_page").select(F.col("dst").alias("norm_url"), F.lit(depth).alias("depth"), "path")
         )
-        if depth < profile.max_depth:
-            seen = reduce(DataFrame.unionByName, crawled).select("src")
-            frontier = (
-                links.filter("NOT is_page").groupBy(F.col("dst").alias("src")).agg(F.min("path").alias("path"))
-                .join(seen, "src", "left_anti")
-            )
+        listings = reached.filter("NOT is_page").select(F.col("dst").alias("src"), "path")
+        if depth == profile.max_depth or listings.isEmpty():
+            break
+        seen = reduce(DataFrame.unionByName, crawled).select("src")
+        frontier = listings.join(seen, "src", "left_anti")
+        crawled.append(listings.select("src", F.lit(depth + 1).alias("depth")))
 
     first = (
         reduce(DataFrame.unionByName, found)
@@ -65,9 +64,9 @@ def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot
         .select("norm_url", "seen.depth", "seen.path")
     )
     ranked = number_rows(first, ["depth", "path"], "rank").select("norm_url", "depth", "rank")
-    listings = (
-        reduce(DataFrame.unionByName, crawled).withColumnRenamed("src", "norm_url")
+    read = (
+        reduce(DataFrame.unionByName, crawled).groupBy(F.col("src").alias("norm_url")).agg(F.min("depth").alias("depth"))
         .join(stored.select("norm_url", F.lit(True).alias("stored")), "norm_url", "left")
         .select("norm_url", "depth", F.coalesce("stored", F.lit(False)).alias("fetched"))
     )
-    return CrawlResult(ranked, listings)
+    return CrawlResult(ranked, read)

@@ -19,15 +19,14 @@ def page_links(parsed: DataFrame, profile: SiteProfile = SiteProfile()) -> DataF
         "page_id", "url", "nodes", dom.find_root(nodes, profile.link_roots, whole_page=True).alias("root")
     )
     inside = nodes if not profile.link_roots else dom.subtree(nodes, F.col("root"))
-    based = bind(rooted, base_scheme=urls.scheme(F.col("url")), base_netloc=urls.netloc(F.col("url")))
+    based = rooted.withColumns(
+        {"base_scheme": urls.scheme(F.col("url")), "base_netloc": urls.netloc(F.col("url"))}
+    )
     links = based.select(
         "page_id", "url", "base_scheme", "base_netloc", F.posexplode(dom.anchors(inside)).alias("pos", "href")
-    )
-    parts = bind(links, **urls.link_parts(F.col("href")))
-    joined = bind(parts, abs_url=urls.join_parts(
-        *[F.col(c) for c in ("link", "own", "rest", "base_scheme", "base_netloc")]
-    ))
-    return joined.select("page_id", "url", "pos", "href", "abs_url")
+    ).withColumns(urls.link_parts(F.col("href")))
+    joined = urls.join_parts(*[F.col(c) for c in ("link", "own", "rest", "base_scheme", "base_netloc")])
+    return links.select("page_id", "url", "pos", "href", joined.alias("abs_url"))
 
 
 def first_snapshots(pages: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def first_snapshots(pages: DataFrame) -> DataFrame:
 
 
 def with_norm_url(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("norm_url", urls.normalize(F.col("url")))
+    return bind(pages, norm_url=urls.normalize(F.col("url")))
 
 
 def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()) -> tuple[DataFrame, DataFrame]:
@@ -45,21 +44,17 @@ def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()
     Whether a page can be crawled at all shows in its URL, so all others are dropped by
     the scan, before their html reaches Python or a shuffle.
     """
-    listing = F.lit(seed)
+    listing, link, norm = F.lit(seed), F.col("abs_url"), F.col("norm_url")
     seed_norm = urls.normalize(listing)
-    norm = F.col("norm_url")
+    keywords = urls.keyword_list(pages.sparkSession, seed, profile)
     readable = with_norm_url(pages.select("page_id", "url", "html")).filter(
-        (norm == seed_norm) | urls.may_be_listing(norm, listing, profile)
+        (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
     )
     stored = stage(first_snapshots(readable), "listings")
     chosen = readable.select("page_id", "norm_url", "html").join(stored.select("page_id"), "page_id", "left_semi")
     parsed = parse_pages(chosen.withColumnRenamed("norm_url", "url"))
-    link = F.col("abs_url")
-    judged = bind(
-        page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url"),
-        dst=urls.normalize(link),
-        is_page=urls.is_wanted_page(link, listing, profile),
-        is_listing=urls.is_listing(link, listing, profile),
-    )
-    useful = (F.col("is_page") | F.col("is_listing")) & (F.col("dst") != seed_norm)
-    return judged.filter(useful).select("src", "pos", "dst", "is_page"), stored
+    links = page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url")
+    parts = bind(links, netloc=urls.netloc(link), path=urls.path(link), dst=urls.normalize(link))
+    kind = urls.classify(link, F.col("netloc"), F.col("path"), listing, keywords, profile)
+    edges = bind(parts, kind=kind).filter((F.col("dst") != seed_norm) & F.col("kind").isNotNull())
+    return edges.select("src", "pos", "dst", (F.col("kind") == "page").alias("is_page")), stored

@@ -13,8 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Pages are large rows: keep the batches handed to Python small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Recording the Python call site of every column costs more than planning does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -8,7 +8,13 @@ ROWS_PER_FILE = 100_000
 
 
 def write_documents(docs: DataFrame, path: str, subject: str | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One row per document; a folder per subject when given. No shuffle."""
+    """One row per document; a folder per subject when given.
+
+    Without a subject nothing is shuffled. With one, rows of a subject are brought together
+    so that not every task writes to every folder; a large subject is still split.
+    """
+    if subject:
+        docs = docs.hint("rebalance", subject)
     writer = docs.write.mode(mode).format(fmt).option("maxRecordsPerFile", ROWS_PER_FILE)
     (writer.partitionBy(subject) if subject else writer).save(path)
 

@@ -41,6 +41,8 @@ def test_on_topic(spark):
     ]
     rows = evaluate(spark, vectors, "u string, k array<string>, want boolean", urls.on_topic(F.col("u"), F.col("k")).alias("got"))
     assert [r.got for r in rows] == [r.want for r in rows]
+    literal = [urls.on_topic(F.lit(u), words).alias(f"c{i}") for i, (u, words, _) in enumerate(vectors)]
+    assert list(spark.range(1).select(*literal).first()) == [want for _, _, want in vectors]
 
 
 def test_normalize(spark):
@@ -103,10 +105,13 @@ def test_classify(spark):
         spark, rows, "u string, page boolean, listing boolean",
         urls.is_wanted_page(F.col("u"), seed).alias("p"), urls.is_listing(F.col("u"), seed).alias("l"),
         urls.may_be_wanted(urls.normalize(F.col("u")), profile).alias("mp"),
-        urls.may_be_listing(urls.normalize(F.col("u")), seed, profile).alias("ml"),
+        urls.may_be_listing(urls.normalize(F.col("u")), urls.keyword_list(spark, SEED), profile).alias("ml"),
+        urls.classify(F.col("u"), urls.netloc(F.col("u")), urls.path(F.col("u")), seed,
+                      urls.keyword_list(spark, SEED), profile).alias("kind"),
     )
     for r in got:
         assert (r.p, r.l) == (r.page, r.listing), r.u
+        assert r.kind == ("page" if r.page else "listing" if r.listing else None), r.u
         assert (r.mp or not r.p) and (r.ml or not r.l), r.u   # the scan filter drops nothing that counts
 
 
