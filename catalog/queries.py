@@ -320,7 +320,7 @@ def fan_out(documents: int) -> int:
 def site_pages(spark, sf_dir):
     """A site of the documents: listing i links to its children in a heap-shaped tree, to
     page i (in three spellings), to the seed and to links nobody wants. Page i holds the
-    text; every tenth page is not stored."""
+    text; every tenth page is stored under an address no link has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.count()
     degree = fan_out(n)
@@ -338,9 +338,10 @@ def site_pages(spark, sf_dir):
     )
     body = f"""'<div class="entry-content"><h1>Doc ' || doc_id || '</h1><p>' || {shapes.ESCAPED_TEXT}
       || '</p><div class="sf-mobile-ads">ad</div><p>To practice all</p></div>'"""
-    pages = docs.filter("doc_id % 10 <> 7").select(
+    moved = "CASE WHEN doc_id % 10 = 7 THEN '-moved' ELSE '' END"
+    pages = docs.select(
         (F.col("doc_id") * 2 + 1).alias("page_id"),
-        F.expr(f"'http://{shapes.HOST}' || {page}").alias("url"), F.expr(body).alias("html"),
+        F.expr(f"'http://{shapes.HOST}' || {page} || {moved}").alias("url"), F.expr(body).alias("html"),
     )
     return spread_pages(stage(listings.unionByName(pages), "site"))
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 import re
 from html import unescape
 
+# Groups: comment, end tag, start tag, attributes, whether it is complete, other markup.
 TOKEN = re.compile(
     r"<(?:"
-    r"!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|/(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|(?P<start>[A-Za-z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?P<done>>|\Z)"
-    r"|[!?/](?P<bogus>[^>]*)(?:>|\Z)"
+    r"!--(.*?)(?:-->|\Z)"
+    r"|/([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|([A-Za-z][^\s/>]*)"
+    r"((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(>|\Z)"
+    r"|[!?/]([^>]*)(?:>|\Z)"
     r")",
     re.S,
 )
@@ -133,6 +134,8 @@ class PageNumberer:
         self.open: list[int] = []       # positions of open elements
         self.open_tags: list[str] = []
         self.open_count: dict[str, int] = {}
+        self.containers: list[str] = []  # open elements with strings of their own kind
+        self.keeping_blanks = 0
         self.pending: list[str] = []    # text not yet written as a node
         self.seen_head = self.seen_body = False
 
@@ -144,16 +147,29 @@ class PageNumberer:
         self.open.append(position)
         self.open_tags.append(tag)
         self.open_count[tag] = self.open_count.get(tag, 0) + 1
+        if tag in STRING_CONTAINERS:
+            self.containers.append(tag)
+        elif tag in KEEP_BLANKS:
+            self.keeping_blanks += 1
 
     def _pop_to(self, size):
-        self._flush()
+        if self.pending:
+            self._flush()
         end = len(self.out) - self.base - 1
         while len(self.open) > size:
             self.out.last[self.base + self.open.pop()] = end
-            self.open_count[self.open_tags.pop()] -= 1
+            tag = self.open_tags.pop()
+            self.open_count[tag] -= 1
+            if tag in STRING_CONTAINERS:
+                self.containers.pop()
+            elif tag in KEEP_BLANKS:
+                self.keeping_blanks -= 1
 
     def _close_open(self, closed, scope):
-        if not any(self.open_count.get(t) for t in closed):
+        for tag in closed:
+            if self.open_count.get(tag):
+                break
+        else:
             return
         cut = None
         for i in range(len(self.open_tags) - 1, -1, -1):
@@ -172,14 +188,11 @@ class PageNumberer:
     def _flush(self):
         if not self.pending:
             return
-        text = "".join(self.pending)
+        text = "".join(self.pending) if len(self.pending) > 1 else self.pending[0]
         self.pending.clear()
-        kind = "text"
-        if any(self.open_count.get(t) for t in STRING_CONTAINERS):
-            kind = next(t for t in reversed(self.open_tags) if t in STRING_CONTAINERS)
-        if not text.strip(ASCII_BLANK) and not any(self.open_count.get(t) for t in KEEP_BLANKS):
+        if not self.keeping_blanks and not text.strip(ASCII_BLANK):
             text = "\n" if "\n" in text else " "
-        self._string(kind, text)
+        self._string(self.containers[-1] if self.containers else "text", text)
 
     def text(self, text):
         if not text:
@@ -203,7 +216,7 @@ class PageNumberer:
         """Open html, head or body when the page left them out."""
         if not self.open:
             self._push("html", None)
-        if self.seen_body or tag in FRAME_TAGS:
+        if tag in FRAME_TAGS:
             return
         in_head = self.open_count.get("head")
         if tag in HEAD_TAGS or (tag == "noscript" and in_head):
@@ -237,8 +250,9 @@ class PageNumberer:
         if tag == "noscript" and self.open_count.get("noscript"):
             return  # browsers read noscript up to its first end tag
         self._flush()
-        self._imply(tag)
-        if tag in PARAGRAPH_ENDERS:
+        if not self.seen_body:
+            self._imply(tag)
+        if tag in PARAGRAPH_ENDERS and self.open_count.get("p"):
             self._close_open(("p",), PARAGRAPH_SCOPE)
         if tag in ENDS_OPEN:
             self._close_open(*ENDS_OPEN[tag])
@@ -259,20 +273,22 @@ class PageNumberer:
 
     # ---- page ------------------------------------------------------------
     def read(self, html: str) -> None:
-        position, size = 0, len(html)
+        position, size, search = 0, len(html), TOKEN.search
         while position < size:
-            token = TOKEN.search(html, position)
+            token = search(html, position)
             if token is None:
                 self.text(unescape(html[position:]))
                 break
-            if token.start() > position:
-                self.text(unescape(html[position:token.start()]))
-            position = token.end()
-            name = token["start"]
+            begin, after = token.span()
+            if begin > position:
+                text = html[position:begin]
+                self.text(unescape(text) if "&" in text else text)
+            position = after
+            comment, end, name, source, done, bogus = token.groups()
             if name is not None:
-                if not token["done"]:
+                if not done:
                     continue
-                name, source = name.lower(), token["attrs"]
+                name = name.lower()
                 closed = source.endswith("/") and not UNQUOTED_END.search(source)
                 self.start(name, read_attributes(source) if source else None, closed)
                 if name in RAW_TEXT and not closed:
@@ -280,12 +296,12 @@ class PageNumberer:
                     raw = html[position:stop.start() if stop else size]
                     self.text(unescape(raw) if name in DECODED_RAW else raw)
                     position = stop.start() if stop else size
-            elif token["end"] is not None:
-                self.end(token["end"].lower())
-            elif token["comment"] is not None:
-                self.comment(token["comment"])
-            elif not token[0][:9].lower() == "<!doctype":
-                self.comment(token["bogus"])
+            elif end is not None:
+                self.end(end.lower())
+            elif comment is not None:
+                self.comment(comment)
+            elif not bogus[:7].lower() == "doctype":
+                self.comment(bogus)
         self._pop_to(0)
 
 
