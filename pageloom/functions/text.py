@@ -37,9 +37,21 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def alternation(patterns: Iterable[str]) -> str:
-    """One unanchored regex for patterns that mean "contains X" (``.*X.*``)."""
-    cores = [re.sub(r"^\.\*|\.\*$", "", p) for p in patterns]
-    return "(?:" + "|".join(cores) + ")" if cores else r"[^\s\S]"
+    """One unanchored regex for patterns that mean "contains X" (``.*X.*``).
+
+    Patterns with the same plain first character share it: where the text has another
+    character, one comparison then rejects them all.
+    """
+    by_first: dict[str, list[str]] = {}
+    for pattern in patterns:
+        core = re.sub(r"^\.\*|\.\*$", "", pattern)
+        plain = re.match(r"[/\-A-Za-z0-9](?![*+?{])", core)
+        by_first.setdefault(core[:1] if plain and "|" not in re.sub(r"\([^()]*\)", "", core) else "", []).append(core)
+    choices = [
+        f"{first}(?:{'|'.join(core[len(first):] for core in cores)})" if first else "|".join(cores)
+        for first, cores in by_first.items()
+    ]
+    return "(?:" + "|".join(choices) + ")" if choices else r"[^\s\S]"
 
 
 def has_token(words: Column, token: str) -> Column:

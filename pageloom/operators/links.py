@@ -54,7 +54,12 @@ def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()
     chosen = readable.select("page_id", "norm_url", "html").join(stored.select("page_id"), "page_id", "left_semi")
     parsed = parse_pages(chosen.withColumnRenamed("norm_url", "url"))
     links = page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url")
-    parts = bind(links, netloc=urls.netloc(link), path=urls.path(link), dst=urls.normalize(link))
-    kind = urls.classify(link, F.col("netloc"), F.col("path"), listing, keywords, profile)
-    edges = bind(parts, kind=kind).filter((F.col("dst") != seed_norm) & F.col("kind").isNotNull())
+    parts = bind(links, netloc=urls.netloc(link), path=urls.path(link))
+    netloc, path = F.col("netloc"), F.col("path")
+    judged = bind(
+        parts,
+        dst=urls.normalized(netloc, path),
+        kind=urls.classify(link, netloc, path, listing, keywords, profile),
+    )
+    edges = judged.filter((F.col("dst") != seed_norm) & F.col("kind").isNotNull())
     return edges.select("src", "pos", "dst", (F.col("kind") == "page").alias("is_page")), stored
