@@ -20,11 +20,9 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     if total <= hot_rows:
         return None
     limit = max(total // HOT_SHARE, hot_rows)
-    return (
-        df.groupBy(F.xxhash64(key).alias("_key_hash"))
-        .count()
-        .filter(F.col("count") > limit)
-        .select("_key_hash", F.ceil(F.col("count") / limit).cast("int").alias("_salts"))
+    counts = df.groupBy(F.xxhash64(key).alias("_key_hash")).count().filter(F.col("count") > limit)
+    return stage(
+        counts.select("_key_hash", F.ceil(F.col("count") / limit).cast("int").alias("_salts")), "hot-keys"
     )
 
 
