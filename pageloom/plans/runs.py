@@ -11,11 +11,14 @@ from pageloom.functions import urls
 from pageloom.operators.bundle import bundle_parts, last_writer_wins
 from pageloom.operators.clean import clean_pages
 from pageloom.operators.crawl import crawl
+from pageloom.operators.links import with_norm_url
 from pageloom.operators.parse import parse_pages
 from pageloom.profile import CleanRules, SiteProfile
 from pageloom.session import stage
 from pageloom.sources.pages import fetch_pages
 
+PART_BYTES = 256 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class RunResult:
@@ -24,11 +27,30 @@ class RunResult:
     bundles: DataFrame    # the documents of the subject, in crawl order
 
 
-def clean_listed(pages: DataFrame, wanted_urls: list[str], rules: CleanRules = CleanRules(), images: DataFrame | None = None) -> DataFrame:
-    """Clean the given pages, without asking whether the site profile wants them."""
-    keys = [urls.normalize(F.lit(u)) for u in wanted_urls]
-    chosen = pages.filter(urls.normalize(F.col("url")).isin(*keys))
-    return clean_pages(parse_pages(chosen), rules, images)
+def _outcomes(fetched: DataFrame, rules: CleanRules, images: DataFrame | None) -> DataFrame:
+    """Clean what was found; what is not stored stays as a row of status missing."""
+    parsed = parse_pages(fetched.filter("page_id IS NOT NULL"), keep=("page_id", "url", "depth", "rank"))
+    missing = fetched.filter("page_id IS NULL").select(
+        "page_id", "url", "depth", "rank",
+        F.lit("missing").alias("status"), urls.file_key(F.col("url")).alias("file_key"),
+    )
+    return clean_pages(parsed, rules, images).unionByName(missing, allowMissingColumns=True)
+
+
+def clean_listed(
+    pages: DataFrame, wanted_urls: list[str], rules: CleanRules = CleanRules(), images: DataFrame | None = None
+) -> DataFrame:
+    """Clean the given pages, without asking whether the site profile wants them.
+
+    One outcome per URL; the list is an argument typed by hand, not a table.
+    """
+    listed = pages.sparkSession.createDataFrame(list(enumerate(wanted_urls, 1)), "rank long, url string")
+    wanted = (
+        with_norm_url(listed).groupBy("norm_url").agg(F.min("rank").alias("rank"))
+        .select("norm_url", F.lit(0).alias("depth"), "rank")
+    )
+    keys = [urls.normalize(F.lit(url)) for url in wanted_urls]
+    return _outcomes(fetch_pages(wanted, pages, F.col("norm_url").isin(*keys)), rules, images)
 
 
 def run_bulk(
@@ -41,16 +63,12 @@ def run_bulk(
 ) -> RunResult:
     """Crawl from ``seed``, clean what was found, keep one document per key, bundle."""
     found = crawl(pages, seed, profile).pages
-    fetched = fetch_pages(found, pages, profile)
-    parsed = parse_pages(fetched.filter("page_id IS NOT NULL"), keep=("page_id", "url", "depth", "rank"))
-    missing = fetched.filter("page_id IS NULL").select(
-        "page_id", "url", "depth", "rank",
-        F.lit("missing").alias("status"), urls.file_key(F.col("url")).alias("file_key"),
-    )
-    outcomes = stage(
-        clean_pages(parsed, rules, images).unionByName(missing, allowMissingColumns=True), "outcomes"
-    )
+    fetched = fetch_pages(found, pages, urls.may_be_wanted(F.col("norm_url"), profile))
+    outcomes = stage(_outcomes(fetched, rules, images), "outcomes")
     documents = last_writer_wins(outcomes.filter("status = 'ok'"))
-    subject = F.array_join(urls.subject_keywords(F.lit(seed), profile), "-")
+    # Parts of so many documents that even the largest ones together fit a row.
+    largest = outcomes.agg(F.max(F.octet_length("clean_html"))).first()[0] or 1
+    width = min(width, max(1, PART_BYTES // largest))
+    subject = F.lit("-".join(urls.keyword_list(pages.sparkSession, seed, profile)))
     bundles = bundle_parts(documents.withColumn("subject", subject), "subject", "rank", "clean_html", width)
     return RunResult(outcomes, documents, bundles)

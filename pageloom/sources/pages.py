@@ -24,15 +24,17 @@ def spread_pages(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores, "page_id")
 
 
-def fetch_pages(wanted: DataFrame, pages: DataFrame, profile: SiteProfile = SiteProfile()) -> DataFrame:
+def fetch_pages(wanted: DataFrame, pages: DataFrame, likely: Column | None = None) -> DataFrame:
     """Left join the wanted list (norm_url, depth, rank) to its stored pages.
 
-    The stored URL alone rules out nearly all pages, and only one snapshot per URL is
-    taken, both before any html moves. Without a stored page ``page_id`` and ``html`` are null.
+    ``likely`` is a test on ``norm_url`` that holds for every wanted page, by default that
+    of the default profile. It rules out nearly all stored pages, and only one snapshot per
+    URL is taken, both before any html moves. Without a stored page ``page_id`` and
+    ``html`` are null.
     """
-    stored = with_norm_url(pages.select("page_id", "url", "html")).filter(
-        urls.may_be_wanted(F.col("norm_url"), profile)
-    )
+    if likely is None:
+        likely = urls.may_be_wanted(F.col("norm_url"), SiteProfile())
+    stored = with_norm_url(pages.select("page_id", "url", "html")).filter(likely)
     chosen = stage(
         wanted.join(first_snapshots(stored.select("page_id", "norm_url")), "norm_url", "left"), "wanted"
     )

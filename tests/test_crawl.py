@@ -117,5 +117,15 @@ def test_whole_run(spark):
     parts = result.bundles.orderBy("part").collect()
     assert [(r.subject, r.part, r.n_docs) for r in parts] == [("stack", 0, 1), ("stack", 1, 1)]
     assert "<p>P1</p>" in parts[0].body and "<p>P2</p>" in parts[1].body
-    single = clean_listed(pages, [url("P2").replace("https", "http")]).collect()
-    assert [(r.file_key, r.clean_text) for r in single] == [(key(2), "P2")]
+
+
+def test_single_pages(spark):
+    """Listed pages are cleaned whatever their URL, once each, from their first snapshot."""
+    other = "https://elsewhere.example.org/c-programming-examples/"
+    rows = [(5, other, "<article>a</article>"), (9, other + "?copy", "<article>b</article>"), (7, url("P2"), "<main>c</main>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    asked = [url("P2").replace("https", "http"), other, other + "#x", "https://not.stored/x"]
+    got = {r.file_key: (r.status, r.clean_text) for r in clean_listed(pages, asked).collect()}
+    assert got == {
+        "stack-questions-answers-p2": ("ok", "c"), "c-programming-examples": ("ok", "a"), "x": ("missing", None),
+    }
