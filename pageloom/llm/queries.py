@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, packing, token_files
+from pageloom.llm import bpe, licenses, packing, quality, repetition, token_files
 
 ORACLES: dict[str, str] = {}
 
@@ -23,14 +23,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write_tokens(documents(spark, sf_dir), folder, tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_files.read_tokens(manifest, folder)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0, longest=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op6_token_files, op9_packing)}
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op3_quality, op6_token_files, op8_licenses, op9_packing, op10_repetition,
+)}
