@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, licenses, packing, quality, repetition, token_files
+from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, packing, quality, repetition, token_files
 
 ORACLES: dict[str, str] = {}
 
@@ -23,10 +23,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedupe(documents(spark, sf_dir))
+
+
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write_tokens(documents(spark, sf_dir), folder, tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -46,5 +58,5 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op3_quality, op6_token_files, op8_licenses, op9_packing, op10_repetition,
+    op1_bpe, op2_jaccard, op3_quality, op4_line_chunks, op5_imatch, op6_token_files, op8_licenses, op9_packing, op10_repetition,
 )}
