@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,14 +16,30 @@ from pyspark.sql import functions as F
 UNUSUAL = re.compile("[^\x00-\x1b\x20-\u02ff\u2010-\u2027\u20ac]")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text), whatever else ``docs`` holds; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Only (doc_id, text), whatever else ``docs`` holds; a null text counts as empty.
 
+    Columns to ``keep`` follow as they are in one struct, under names that clash with nothing.
+    """
+    kept = [F.struct(*(F.col(c) for c in keep)).alias("kept_columns")] if keep else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Run ``step`` on every Arrow batch; it returns the new columns by name."""
+
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Run ``step`` on every Arrow batch; it returns the new columns by name.
+
+    Columns that ``id_and_text`` kept come back too; new ones give way to kept ones of the same name.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
+    if keep:
+        kept_type = df.schema["kept_columns"].dataType.simpleString()
+
+        def with_kept(batch: pa.RecordBatch) -> dict | None:
+            made = step(batch)
+            return made if made is None else made | {"kept_columns": batch.column("kept_columns")}
+
+        made = map_batches(df, with_kept, f"{schema}, kept_columns {kept_type}")
+        return made.select(*(n for n in names if n not in keep), "kept_columns.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,13 +12,15 @@ same chunks. A null id sorts first. Very long texts are rows like others. No doc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import map_batches
+from pageloom.llm.common import id_and_text, map_batches
 from pageloom.session import stage
 
 CHUNKS = "at_id bigint, tie bigint, line int, n_lines int, chunk bigint"
@@ -55,10 +57,12 @@ def cut(text: str, mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE, min
     return out
 
 
-def dedupe(docs: DataFrame, mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE, min_words: int = MIN_WORDS, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, text, n_lines, removed_lines, removed_chunks) of every document; ``text`` is what stays."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("at_id"), F.xxhash64("text").alias("tie"))
+def dedupe(docs: DataFrame, mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE, min_words: int = MIN_WORDS, id_col="doc_id", text_col="text",
+           keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, removed_lines, removed_chunks) of every document; ``text`` is what stays. Other columns to
+    ``keep`` follow."""
+    whole = id_and_text(docs, id_col, text_col, keep).withColumns({"at_id": F.coalesce("doc_id", F.lit(LOWEST)), "tie": F.xxhash64("text")})
+    keyed = whole.select("at_id", "tie", "text")
 
     def step(batch: pa.RecordBatch) -> dict | None:
         found = [cut(text, mean_lines, long_line, min_words) for text in batch.column(2).to_pylist()]
@@ -68,7 +72,7 @@ def dedupe(docs: DataFrame, mean_lines: int = MEAN_LINES, long_line: int = LONG_
                 "line": pa.array([c[0] for c in flat], pa.int32()), "n_lines": pa.array([c[1] for c in flat], pa.int32()),
                 "chunk": pa.array([c[2] for c in flat], pa.int64())}
 
-    chunks = stage(map_batches(keyed.select("at_id", "tie", "text"), step, CHUNKS), "chunks")
+    chunks = stage(map_batches(keyed, step, CHUNKS), "chunks")
     again = chunks.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1").select("chunk")
     by_doc = (chunks.join(again, "chunk", "left_semi").groupBy("at_id", "tie")
               .agg(F.collect_set(F.struct("line", "n_lines", "chunk")).alias("found")))
@@ -86,9 +90,9 @@ def dedupe(docs: DataFrame, mean_lines: int = MEAN_LINES, long_line: int = LONG_
     removed = repeats.groupBy("at_id", "tie").agg(F.collect_set(F.struct("line", "n_lines")).alias("removed"))
 
     gone = F.flatten(F.transform("removed", lambda r: F.sequence(r["line"], r["line"] + r["n_lines"] - 1)))
-    joined = keyed.join(stage(removed, "removed"), ["at_id", "tie"], "left").withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+    joined = whole.join(stage(removed, "removed"), ["at_id", "tie"], "left").withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     stays = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return joined.select(
         "doc_id", F.when(F.size("gone") == 0, F.col("text")).otherwise(stays).alias("text"), F.size(lines).cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("removed_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.col("tie").alias("text_hash"))
+        F.col("tie").alias("text_hash"), *(["kept_columns.*"] if keep else []))

@@ -14,6 +14,8 @@ only the score is their share, without labels 0.5. No documents: no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int = 4, fold: in
     return train(bags, truth, weights / weights.mean())
 
 
-def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> DataFrame:
+def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score, top_passage): the passage of the largest attention weight is named by its number."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some tens of kilobytes
 
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> Dat
                 bags, size = [], 0
         return {"doc_id": batch.column(0), "score": np.concatenate(scores).astype(np.float64), "top_passage": np.array(tops, np.int32)}
 
-    return map_batches(id_and_text(docs, id_col, text_col), step, SCORED)
+    return map_batches(id_and_text(docs, id_col, text_col, keep), step, SCORED, keep)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, packing, quality, repetition, token_files
+from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, packing, quality, repetition, token_files
 
 ORACLES: dict[str, str] = {}
 
@@ -45,6 +45,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, folder)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(documents(spark, sf_dir))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -58,5 +62,5 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_jaccard, op3_quality, op4_line_chunks, op5_imatch, op6_token_files, op8_licenses, op9_packing, op10_repetition,
+    op1_bpe, op2_jaccard, op3_quality, op4_line_chunks, op5_imatch, op6_token_files, op7_mixing, op8_licenses, op9_packing, op10_repetition,
 )}

@@ -13,6 +13,8 @@ ids and very long texts (a batch of their own) get a row each. No documents: no
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,7 +136,7 @@ def measures(texts: list[str], long: int = LONG) -> dict[str, np.ndarray]:
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, long: int = LONG, most_covered: float = MOST_COVERED,
-          longest: int = LONGEST, id_col="doc_id", text_col="text") -> DataFrame:
+          longest: int = LONGEST, id_col="doc_id", text_col="text", keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: the counts, whether the base rule failed, and the verdict."""
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -153,4 +155,4 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, long: int = LONG, most_co
         kept = ~failed & (share <= most_covered) & (m["longest_repeat"] <= longest)
         return m | {"doc_id": batch.column(0), "base_failed": failed, "kept": kept, "repeat_share": share}
 
-    return map_batches(id_and_text(docs, id_col, text_col), step, RULED)
+    return map_batches(id_and_text(docs, id_col, text_col, keep), step, RULED, keep)
