@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.bytebpe import loaded
 from pageloom.llm.common import broadcast_file, id_and_text, map_batches
 from pageloom.operators.skew import number_rows
+from pageloom.session import stage
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -55,6 +56,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, longest: int = 1024,
             out["doc_tokens"] += [at] * len(lengths)
         return {k: pa.array(v, pa.list_(pa.int32()) if k == "ids" else pa.int64()) for k, v in out.items()}
 
-    pieces = map_batches(id_and_text(docs, id_col, text_col), cut, schema)
+    # Written once: numbering reads its input twice.
+    pieces = stage(map_batches(id_and_text(docs, id_col, text_col), cut, schema), "pieces")
     numbered = number_rows(pieces.withColumn("bucket", -F.col("length")), ["bucket", "doc_id", "start"], "sequence_id")
     return numbered.drop("bucket").withColumn("offset", F.lit(0).cast("long"))
