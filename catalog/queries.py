@@ -450,7 +450,8 @@ def sink_documents(spark, sf_dir):
     path = f"{stage_folder(spark)}/documents-{uuid.uuid4().hex}"
     docs = clean_pages(parse_pages(stored_pages(spark, sf_dir)), ARTICLE)
     sinks.write_documents(docs.select("page_id", "file_key", "clean_text"), path, subject="file_key")
-    return spark.read.parquet(path).select("page_id", "file_key", F.md5("clean_text").alias("text_md5"))
+    written = sinks.read_written(spark, path, "page_id long, clean_text string, file_key string")
+    return written.select("page_id", "file_key", F.md5("clean_text").alias("text_md5"))
 
 
 @query
@@ -459,4 +460,5 @@ def sink_bundles(spark, sf_dir):
     path = f"{stage_folder(spark)}/bundles-{uuid.uuid4().hex}"
     pages = table(spark, sf_dir, "pages").select("page_id", "url", urls.file_key(F.col("url")).alias("file_key"))
     sinks.write_bundles(bundle.bundle_parts(pages, "file_key", "page_id", "url"), path, "file_key")
-    return spark.read.parquet(path).select("file_key", "part", "n_docs", "body")
+    written = sinks.read_written(spark, path, "part long, n_docs long, body string, file_key string")
+    return written.select("file_key", "part", "n_docs", "body")

@@ -287,17 +287,18 @@ def may_be_wanted(norm_url: Column, profile: SiteProfile) -> Column:
     """True for every normalized URL that some wanted link can lead to (and few others).
 
     Normalizing only cuts a URL's tail, so slug and host survive it. Lets a scan of the
-    stored pages drop the rest before anything is shuffled.
+    stored pages drop the rest before anything is shuffled. What follows a ";" that is left
+    belongs to the path, so it must not be cut a second time.
     """
-    return site_url(F.concat(norm_url, F.lit("/x")), profile) & page_slug(norm_url, profile)
+    return site_url(F.concat(norm_url, F.lit("/x")), profile) & page_slug(F.translate(norm_url, ";", "_"), profile)
 
 
 def may_be_listing(norm_url: Column, keywords: list[str], profile: SiteProfile) -> Column:
     """The same for links to listings: host, exclusions and topic survive normalizing."""
-    loose = [word.rstrip("s/") for word in keywords]
+    loose = [word.rstrip("s/").replace(";", "_") for word in keywords]
     return F.coalesce(
         site_url(F.concat(norm_url, F.lit("/x")), profile)
-        & on_topic(norm_url, loose)
+        & on_topic(F.translate(norm_url, ";", "_"), loose)
         & ~listing_keyword_rejected(norm_url, profile)
         & ~excluded(norm_url, profile),
         F.lit(False),

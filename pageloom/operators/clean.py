@@ -63,7 +63,7 @@ def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
         .select(
             *kept, "title", "status", "has_mathjax",
             F.col("root.pre").alias("root_pre"),
-            F.when(F.col("status") == "ok", dom.subtree(nodes, F.col("root"))).alias("nodes"),
+            F.when(F.col("status").isin("ok", "challenge"), dom.subtree(nodes, F.col("root"))).alias("nodes"),
         )
     )
 
@@ -276,7 +276,7 @@ def _serialize(rows: DataFrame, rules: CleanRules, standalone: bool) -> DataFram
             F.when(F.col("root_tag") == "body", content).otherwise(F.concat(F.lit("<body>"), content, F.lit("</body>"))),
             F.lit("</html>"),
         )
-    ok = page["status"] == "ok"
+    ok = page["status"].isin("ok", "challenge") & F.col("root_tag").isNotNull()
     return grouped.select(
         "page_id",
         "page.*",

@@ -17,8 +17,6 @@ from pageloom.profile import CleanRules, SiteProfile
 from pageloom.session import stage
 from pageloom.sources.pages import fetch_pages
 
-PART_BYTES = 256 * 1024 * 1024
-
 
 @dataclass(frozen=True)
 class RunResult:
@@ -61,14 +59,14 @@ def run_bulk(
     images: DataFrame | None = None,
     width: int = 100,
 ) -> RunResult:
-    """Crawl from ``seed``, clean what was found, keep one document per key, bundle."""
+    """Crawl from ``seed``, clean what was found, keep one document per key, bundle.
+
+    A bundle's part holds the documents of ``width`` consecutive ranks, whatever their size.
+    """
     found = crawl(pages, seed, profile).pages
     fetched = fetch_pages(found, pages, urls.may_be_wanted(F.col("norm_url"), profile))
     outcomes = stage(_outcomes(fetched, rules, images), "outcomes")
-    documents = last_writer_wins(outcomes.filter("status = 'ok'"))
-    # Parts of so many documents that even the largest ones together fit a row.
-    largest = outcomes.agg(F.max(F.octet_length("clean_html"))).first()[0] or 1
-    width = min(width, max(1, PART_BYTES // largest))
+    documents = last_writer_wins(outcomes.filter("status IN ('ok', 'challenge') AND clean_html IS NOT NULL"))
     subject = F.lit("-".join(urls.keyword_list(pages.sparkSession, seed, profile)))
     bundles = bundle_parts(documents.withColumn("subject", subject), "subject", "rank", "clean_html", width)
     return RunResult(outcomes, documents, bundles)

@@ -9,12 +9,16 @@ from pageloom.profile import IMAGE_TYPES, MAX_IMAGE_BYTES
 
 
 def read_image_files(spark: SparkSession, path: str, types: dict[str, str], base_url: str) -> DataFrame:
-    """Image files as an asset table; ``types`` maps a file ending to its content type."""
+    """Image files as an asset table; ``types`` maps a file ending to its content type.
+
+    The URL of an asset is ``base_url`` and the file's path below ``path``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    root = rf"^.*?\Q{path.split(':', 1)[-1].strip('/')}\E/+"
     kind = F.coalesce(*[F.when(ending == e, t) for e, t in types.items()], F.lit(""))
     return files.select(
-        F.concat(F.lit(base_url), F.regexp_extract("path", r"([^/]+)$", 1)).alias("img_url"),
+        F.concat(F.lit(base_url), F.element_at(F.split("path", root), -1)).alias("img_url"),
         kind.alias("content_type"),
         F.col("length").alias("content_length"),
         F.col("content").alias("payload"),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions import urls
 from pageloom.operators.links import first_snapshots, with_norm_url
-from pageloom.profile import MAX_ATTEMPTS, SiteProfile
+from pageloom.profile import MAX_ATTEMPTS
 from pageloom.session import stage
 
 
@@ -27,14 +26,14 @@ def spread_pages(pages: DataFrame) -> DataFrame:
 def fetch_pages(wanted: DataFrame, pages: DataFrame, likely: Column | None = None) -> DataFrame:
     """Left join the wanted list (norm_url, depth, rank) to its stored pages.
 
-    ``likely`` is a test on ``norm_url`` that holds for every wanted page, by default that
-    of the default profile. It rules out nearly all stored pages, and only one snapshot per
-    URL is taken, both before any html moves. Without a stored page ``page_id`` and
-    ``html`` are null.
+    ``likely`` is a test on ``norm_url`` that holds for every wanted page and rules out
+    nearly all others; without it every stored page is considered. Only one snapshot per
+    URL is taken before any html moves. Without a stored page ``page_id`` and ``html`` are
+    null.
     """
-    if likely is None:
-        likely = urls.may_be_wanted(F.col("norm_url"), SiteProfile())
-    stored = with_norm_url(pages.select("page_id", "url", "html")).filter(likely)
+    stored = with_norm_url(pages.select("page_id", "url", "html"))
+    if likely is not None:
+        stored = stored.filter(likely)
     chosen = stage(
         wanted.join(first_snapshots(stored.select("page_id", "norm_url")), "norm_url", "left"), "wanted"
     )

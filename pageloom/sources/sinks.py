@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_FILE = 100_000
 
@@ -19,6 +19,11 @@ def write_documents(docs: DataFrame, path: str, subject: str | None = None, fmt:
     (writer.partitionBy(subject) if subject else writer).save(path)
 
 
+def read_written(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """What a sink wrote. The schema keeps folder names what they were: a key 007 stays text."""
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
 def write_bundles(parts: DataFrame, path: str, key: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """The parts of all bundles in order; range partitions split a large bundle over tasks."""
     ordered = parts.repartitionByRange(key, "part").sortWithinPartitions(key, "part")

@@ -129,7 +129,7 @@ def test_status_and_document(spark):
     assert got[4].clean_html.endswith("</style></head><body>plain<p>y</p></body></html>")
     assert got[4].clean_text == "plainy"
     assert got[5].clean_html.endswith("<body><div>d</div></body></html>")
-    assert got[1].clean_html is None and got[2].clean_text is None
+    assert got[1].clean_html is None and got[2].clean_text == "x"
 
 
 def test_one_bad_page_does_not_fail_the_others(spark, monkeypatch):

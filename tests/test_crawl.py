@@ -4,11 +4,14 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom import SiteProfile
+from pageloom.functions import urls
 from pageloom.operators.crawl import crawl
 from pageloom.plans.runs import clean_listed, run_bulk
 from pageloom.profile import DOMAINS
+from pageloom.sources.pages import fetch_pages
 
 SITE = f"https://{DOMAINS[1]}"
 SEED = f"{SITE}/1000-stack-questions-answers/"
@@ -129,3 +132,22 @@ def test_single_pages(spark):
     assert got == {
         "stack-questions-answers-p2": ("ok", "c"), "c-programming-examples": ("ok", "a"), "x": ("missing", None),
     }
+
+
+def test_no_page_is_lost_before_the_join(spark):
+    """What is wanted, or a listing, passes the tests on stored URLs too, also with ";" inside; off-site lists work."""
+    site = SEED.split("/1000")[0]
+    links = [f"{site}{p}" for p in ("/a;b-mcq-c/", "/stack;x-questions-answers-y/", "/stack-mcq-z;p=1", "/b;stack-list/", "/x;stack/", "/stack-a/;q/")]
+    rows = spark.createDataFrame([(u,) for u in links], "url string")
+    keywords = urls.keyword_list(spark, SEED)
+    norm = urls.normalize(F.col("url"))
+    parts = (F.col("url"), urls.netloc(F.col("url")), urls.path(F.col("url")))
+    judged = rows.select(
+        urls.classify(*parts, F.lit(SEED), keywords, SiteProfile()).alias("kind"),
+        urls.may_be_wanted(norm, SiteProfile()).alias("page"), urls.may_be_listing(norm, keywords, SiteProfile()).alias("listing"))
+    got = judged.collect()
+    assert {r.kind for r in got} >= {"page", "listing"}
+    assert all(r.page for r in got if r.kind == "page") and all(r.listing for r in got if r.kind == "listing")
+    pages = spark.createDataFrame([(1, "https://other.org/p1", "<p>x</p>")], "page_id long, url string, html string")
+    wanted = spark.createDataFrame([("https://other.org/p1", 0, 1)], "norm_url string, depth int, rank long")
+    assert fetch_pages(wanted, pages).first().page_id == 1
