@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pageloom.operators.clean import clean_pages, with_content
 from pageloom.operators.crawl import crawl
 from pageloom.operators.links import link_edges, page_links, with_norm_url
 from pageloom.operators.parse import node_table, parse_pages
-from pageloom.plans.runs import run_bulk
+from pageloom.plans.runs import clean_typed, run_bulk
 from pageloom.session import stage, stage_folder
 from pageloom.sources import assets, sinks
 from pageloom.sources.pages import fetch_pages, read_pages, resolve_attempts, spread_pages
@@ -294,14 +296,14 @@ def image_refs(spark, sf_dir):
 def image_embed(spark, sf_dir):
     """References joined to accepted assets"""
     refs = stage(images.image_refs(with_content(parse_pages(image_pages(spark, sf_dir)))), "refs")
-    accepted = assets.accept_images(image_assets(spark, sf_dir), limit=shapes.IMAGE_LIMIT)
+    accepted = assets.acceptable_images(image_assets(spark, sf_dir), limit=shapes.IMAGE_LIMIT)
     return images.embed_refs(refs, accepted).select("page_id", "img_url", F.md5("data_uri").alias("uri_md5"))
 
 
 @query
 def image_clean(spark, sf_dir):
     """C2, C3, I1, I2 within cleaning"""
-    accepted = assets.accept_images(image_assets(spark, sf_dir), limit=shapes.IMAGE_LIMIT)
+    accepted = assets.acceptable_images(image_assets(spark, sf_dir), limit=shapes.IMAGE_LIMIT)
     cleaned = clean_pages(parse_pages(image_pages(spark, sf_dir)), images=accepted, standalone=False)
     return cleaned.select("page_id", F.md5("clean_html").alias("html_md5"), F.length("clean_html").cast("bigint").alias("n_chars"))
 
@@ -317,10 +319,10 @@ def fan_out(documents: int) -> int:
     return degree
 
 
-def site_pages(spark, sf_dir):
+def site_pages(spark, sf_dir, more="''"):
     """A site of the documents: listing i links to its children in a heap-shaped tree, to
     page i (in three spellings), to the seed and to links nobody wants. Page i holds the
-    text; every tenth page is stored under an address no link has."""
+    text and ``more``; every tenth page is stored under an address no link has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.count()
     degree = fan_out(n)
@@ -337,7 +339,7 @@ def site_pages(spark, sf_dir):
         F.expr(f"""'<div class="entry-content">' || {links} || '</div><a href="/stack-mcq-outside">x</a>'""").alias("html"),
     )
     body = f"""'<div class="entry-content"><h1>Doc ' || doc_id || '</h1><p>' || {shapes.ESCAPED_TEXT}
-      || '</p><div class="sf-mobile-ads">ad</div><p>To practice all</p></div>'"""
+      || '</p>' || {more} || '<div class="sf-mobile-ads">ad</div><p>To practice all</p></div>'"""
     moved = "CASE WHEN doc_id % 10 = 7 THEN '-moved' ELSE '' END"
     pages = docs.select(
         (F.col("doc_id") * 2 + 1).alias("page_id"),
@@ -375,7 +377,15 @@ def fetch_by_url(spark, sf_dir):
         F.lit(0).alias("depth"), (F.col("doc_id") + 1).alias("rank"),
     )
     fetched = fetch_pages(wanted, site_pages(spark, sf_dir))
-    return fetched.select("url", "page_id", F.coalesce(F.length("html"), F.lit(0)).cast("bigint").alias("n_chars"))
+    return fetched.select("url", "page_id", F.md5("html").alias("html_md5"))
+
+
+@query
+def single_pages(spark, sf_dir):
+    """URLs as typed, stored or not"""
+    pages = stored_pages(spark, sf_dir)
+    typed = pages.select(F.expr(shapes.TYPED_URL).alias("url"), F.col("page_id").alias("rank"))
+    return clean_typed(pages, typed).select("rank", "url", "file_key", "page_id", "status")
 
 
 @query
@@ -389,7 +399,40 @@ def bulk_outcomes(spark, sf_dir):
 def bulk_bundles(spark, sf_dir):
     """The subject's documents in crawl order, in parts"""
     bundles = run_bulk(site_pages(spark, sf_dir), shapes.SEED).bundles
-    return bundles.select("subject", "part", "n_docs", F.length(F.col("body")).cast("bigint").alias("n_chars"))
+    return bundles.select("subject", "part", "n_docs", F.md5("body").alias("body_md5"))
+
+
+@query
+def bulk_with_images(spark, sf_dir):
+    """A run that embeds or drops every image"""
+    pages = site_pages(spark, sf_dir, f"""'<p><img src="' || {shapes.FIRST_IMAGE} || '"></p>'""")
+    accepted = assets.acceptable_images(image_assets(spark, sf_dir), limit=shapes.IMAGE_LIMIT)
+    return run_bulk(pages, shapes.SEED, images=accepted).documents.select("file_key", F.md5("clean_html").alias("html_md5"))
+
+
+@query
+def bulk_failed(spark, sf_dir):
+    """A7 with S3, U1, A3, A4: a seed without scheme, tries to get each page, what failed, the bundle's name"""
+    attempts = table(spark, sf_dir, "documents").select(
+        F.expr(f"'{shapes.SITE}/stack-questions-answers-p' || doc_id").alias("url"),
+        F.posexplode(F.expr(shapes.OUTCOMES)).alias("attempt", "outcome"),
+    )
+    run = run_bulk(site_pages(spark, sf_dir), f" {shapes.SEED.removeprefix('https://')}", attempts=attempts,
+                   run_time=datetime(2024, 1, 2, 3, 4, 5))
+    return run.failed.withColumn("bundle_name", F.lit(run.name))
+
+
+@query
+def empty_run(spark, sf_dir):
+    """A5: a run over all stored pages from a listing nobody stored gives empty tables of the usual columns"""
+    pages = stored_pages(spark, sf_dir)
+    run = run_bulk(pages, shapes.SEED)
+    tables = {"pages": pages, "outcomes": run.outcomes, "documents": run.documents, "bundles": run.bundles, "failed": run.failed}
+    counted = [
+        df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(",".join(df.columns)).alias("fields"))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
 
 
 # ---- outcomes, keys and bundles --------------------------------------------
@@ -454,6 +497,18 @@ def sink_documents(spark, sf_dir):
     return written.select("page_id", "file_key", F.md5("clean_text").alias("text_md5"))
 
 
+@query
+def merge_documents(spark, sf_dir):
+    """A2 over what the document sink holds: written, read back, the last per key, one bundle"""
+    path = f"{stage_folder(spark)}/documents-{uuid.uuid4().hex}"
+    docs = clean_pages(parse_pages(stored_pages(spark, sf_dir)), ARTICLE)
+    docs = docs.withColumn("file_key", F.concat_ws("-", "file_key", F.col("page_id") % 50))
+    sinks.write_documents(docs.select("page_id", "file_key", "clean_text"), path)
+    written = sinks.read_written(spark, path, "page_id long, file_key string, clean_text string")
+    parts = bundle.merged(bundle.last_writer_wins(written, order="page_id"), ["file_key"], "clean_text", "merged")
+    return parts.select("subject", "part", "n_docs", F.md5("body").alias("body_md5"))
+
+
 @query
 def sink_bundles(spark, sf_dir):
     """Bundles in parts, a folder per key, read back"""

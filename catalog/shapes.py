@@ -107,7 +107,7 @@ CLEANED_HTML = f"""'<div><h1>' || source || '</h1><p>' || {ESCAPED_TEXT} || '</p
   WHEN 1 THEN '<p><b>x</b> now</p>'
   WHEN 2 THEN '<div>u</div>'
   WHEN 3 THEN '<p>a<br/>b</p>'
-  WHEN 4 THEN '<table class="t"><tr><td align="l" style="y">' || doc_id || '</td></tr></table>'
+  WHEN 4 THEN '<table class="t"><tr><td style="y" align="l">' || doc_id || '</td></tr></table>'
   WHEN 5 THEN '<p>Advertisement</p><!--c-->'
   WHEN 6 THEN '<ul><li>one</li></ul><img class="advertisement" src="/i.png"/>'
   ELSE '<div><i>k</i></div>' END || '</div>'"""
@@ -131,3 +131,9 @@ BROKEN_HTML = """CASE page_id % 10 WHEN 1 THEN NULL WHEN 2 THEN replace(html, '<
 MATH_HTML = """CASE page_id % 4 WHEN 0 THEN replace(html, '<style>', '<script src="https://c/libs/mathjax/2.7.7/MathJax.js"></script><style>')
   WHEN 1 THEN replace(html, '<style>', '<script src="/MathJax.js"></script><style>')
   WHEN 2 THEN replace(html, '</body>', '<script async src=/mathjax.js></script></body>') ELSE html END"""
+
+# What somebody types: a stored address, the same with a fragment, or one that differs in its query only.
+TYPED_URL = """CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '#sec' ELSE url || '?id=' || page_id END"""
+# The tries to get page i of the derived site.
+OUTCOMES = """CASE doc_id % 7 WHEN 3 THEN array('error', 'error', 'error', 'ok') WHEN 2 THEN array('rejected', 'ok')
+  WHEN 1 THEN array('error', 'error', 'ok') ELSE array('ok') END"""

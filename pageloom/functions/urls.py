@@ -209,10 +209,8 @@ def _slug_in(path_: Column, profile: SiteProfile) -> Column:
 def subject_keywords(listing: Column, profile: SiteProfile = SiteProfile()) -> Column:
     """What the listing is about, from its path."""
     slug = outer_path(listing)
-    if profile.subject_suffixes:
-        # The suffixes exclude each other, so one alternation drops "the first that fits".
-        endings = "|".join(profile.subject_suffixes)
-        slug = F.regexp_replace(slug, f"(?:{endings})$", "")
+    without = [F.when(slug.endswith(s), F.left(slug, F.length(slug) - len(s))) for s in profile.subject_suffixes]
+    slug = F.coalesce(*without, slug)  # the first that fits is dropped
     slug = F.regexp_replace(slug, r"^\p{Nd}+-", "")
     return F.filter(F.split(F.lower(slug), "-"), lambda word: word != "")
 
@@ -278,6 +276,20 @@ def classify(
     )
 
 
+def requested(url: Column) -> Column:
+    """What a fetch of ``url`` asks for: all but the fragment, which stays with the reader."""
+    return F.substring_index(url, "#", 1)
+
+
+def known_seed(spark: SparkSession, seed: str, profile: SiteProfile = SiteProfile()) -> str:
+    """U1 and U2 of the listing to start from; one that is blank or off the list is refused."""
+    full = ensure_scheme(F.lit(seed))
+    row = spark.range(1).select(full.alias("full"), allowed_domain(full, profile).alias("allowed")).first()
+    if row.full is None or (profile.domains and not row.allowed):
+        raise ValueError(f"not a listing of {', '.join(profile.domains) or 'any site'}: {seed!r}")
+    return row.full
+
+
 def keyword_list(spark: SparkSession, listing: str, profile: SiteProfile = SiteProfile()) -> list[str]:
     """U13 of one listing, as literals for the expressions of a job."""
     return spark.range(1).select(subject_keywords(F.lit(listing), profile)).first()[0]

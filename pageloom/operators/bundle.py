@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.operators.skew import number_rows
 from pageloom.profile import BUNDLE_PREFIX, BUNDLE_TIME_FORMAT
 
 
@@ -37,6 +38,15 @@ def bundle_parts(
     )
 
 
+def merged(docs: DataFrame, order: list[str], body: str, subject: str, width: int = 100) -> DataFrame:
+    """A2 over stored documents: (subject, part, n_docs, body) of all of them, by ``order``.
+
+    ``order`` must be unique, such as the key of ``last_writer_wins``.
+    """
+    ranked = number_rows(docs.select(*order, F.col(body).alias("_body")), order, "_rank")
+    return bundle_parts(ranked.withColumn("subject", F.lit(subject)), "subject", "_rank", "_body", width)
+
+
 def bundle_name(run_ts: Column, prefix: str = BUNDLE_PREFIX) -> Column:
     """A4: the run's time comes in as an argument."""
     return F.concat(F.lit(prefix), F.date_format(run_ts, BUNDLE_TIME_FORMAT))

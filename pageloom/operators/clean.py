@@ -23,7 +23,7 @@ from pageloom.operators.htmltree import STRING_CONTAINERS, VOID
 from pageloom.operators.images import uris_by_page
 from pageloom.operators.parse import NODE_TYPE
 from pageloom.operators.skew import HOT_ROWS
-from pageloom.profile import MATH_CONFIG, MATH_LIBRARY_URL, PAGE_STYLE, POLYFILL_URL, CleanRules
+from pageloom.profile import MATH_CONFIG, MATH_LIBRARY_URL, PAGE_STYLE, CleanRules
 from pageloom.session import stage
 
 CONTAINERS = sorted(STRING_CONTAINERS)
@@ -114,8 +114,8 @@ def _place_uris(pages: DataFrame, rules: CleanRules) -> DataFrame:
 
 
 def _attributes(attrs: Column) -> Column:
-    """Serialized attributes, by name."""
-    entries = F.array_sort(F.map_entries(attrs))
+    """Serialized attributes, in the order of the source."""
+    entries = F.map_entries(attrs)
     return F.array_join(
         F.transform(entries, lambda e: F.concat(F.lit(" "), e["key"], F.lit("="), quote_attribute(e["value"]))), ""
     )
@@ -228,8 +228,9 @@ def _remove_empty(rows: DataFrame) -> DataFrame:
 def head_markup(has_mathjax: Column, rules: CleanRules) -> Column:
     """C14: the head of the standalone document."""
     hook = f'<script src="{rules.math_hook_src}"></script>' if rules.math_hook_src else ""
+    polyfill = f'<script src="{rules.polyfill_url}"></script>' if rules.polyfill_url else ""
     math = (
-        f'<script src="{POLYFILL_URL}"></script>{hook}'
+        f'{polyfill}{hook}'
         f'<script type="text/x-mathjax-config">{MATH_CONFIG}</script>'
         f'<script async="" id="MathJax-script" src="{MATH_LIBRARY_URL}"></script>'
     )
@@ -295,7 +296,8 @@ def clean_pages(
     """C17: one row per input page: its columns, file_key, title, status, has_mathjax,
     clean_html and clean_text.
 
-    ``images`` holds the accepted assets (img_url, data_uri). Given, every web image is
+    ``images`` holds the accepted assets, encoded (img_url, data_uri) or not yet (img_url,
+    content_type, payload). Given, every web image is
     embedded or dropped; left out, images stay as they are. ``standalone=False`` leaves
     the content root unwrapped. ``page_id`` must be unique.
     """

@@ -31,6 +31,7 @@ def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot
     ``depth`` is the depth of the page that holds the link; the first discovery counts.
     """
     spark = pages.sparkSession
+    seed = urls.known_seed(spark, seed, profile)
     edges, stored = link_edges(pages, seed, profile)
     edges = stage(edges, "edges")
     hot = hot_keys(edges, "src", hot_rows)

@@ -9,6 +9,7 @@ from pageloom.functions import dom
 from pageloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from pageloom.profile import CleanRules
 from pageloom.session import stage
+from pageloom.sources.assets import encode_images
 
 
 def image_refs(pages: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
@@ -28,9 +29,13 @@ def embed_refs(refs: DataFrame, accepted: DataFrame, hot_rows: int = HOT_ROWS) -
     """Refs with their ``data_uri``; refs without an accepted asset are dropped.
 
     An image that very many pages show makes its URL a hot key, hence the salted join.
-    ``refs`` should be staged, as it is counted first.
+    ``refs`` should be staged, as it is counted first. ``accepted`` is best not encoded yet
+    (``acceptable_images``): then assets that nothing refers to never are.
     """
-    return salted_join(refs, one_per_url(accepted), "img_url", ["page_id", "pre"], hot_keys(refs, "img_url", hot_rows))
+    shown = accepted.join(refs.select("img_url").distinct(), "img_url", "left_semi")
+    if "data_uri" not in shown.columns:
+        shown = encode_images(shown)
+    return salted_join(refs, one_per_url(shown), "img_url", ["page_id", "pre"], hot_keys(refs, "img_url", hot_rows))
 
 
 def uris_by_page(pages: DataFrame, accepted: DataFrame, rules: CleanRules, hot_rows: int = HOT_ROWS) -> DataFrame:

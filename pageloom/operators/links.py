@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import dom, urls
@@ -34,6 +36,33 @@ def first_snapshots(pages: DataFrame) -> DataFrame:
     return pages.groupBy("norm_url").agg(F.min("page_id").alias("page_id"))
 
 
+# Ranges of page_id that one scan is asked for.
+RANGES = 64
+
+
+def id_ranges(ids: DataFrame, ranges: int = RANGES) -> Column:
+    """A test on ``page_id`` that holds for all of ``ids`` and that a scan can use to skip row groups.
+
+    At most ``ranges`` pairs of numbers come to the driver. On a table clustered by site
+    the ranges are narrow; on any other they rule out little and cost little.
+    """
+    low, high = ids.agg(F.min("page_id"), F.max("page_id")).first()
+    if low is None:
+        return F.lit(False)
+    width = (high - low) / ranges + 1
+    spans = (
+        ids.groupBy(F.floor((F.col("page_id").cast("double") - F.lit(float(low))) / width))
+        .agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect()
+    )
+    return reduce(Column.__or__, (F.col("page_id").between(s.low, s.high) for s in spans))
+
+
+def with_html(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+    """A staged table of pages with their html, which only this scan reads."""
+    html = pages.select("page_id", "html").filter(id_ranges(chosen))
+    return chosen.join(html, "page_id")
+
+
 def with_norm_url(pages: DataFrame) -> DataFrame:
     return bind(pages, norm_url=urls.normalize(F.col("url")))
 
@@ -41,18 +70,17 @@ def with_norm_url(pages: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()) -> tuple[DataFrame, DataFrame]:
     """Edges (src, pos, dst, is_page) a crawl from ``seed`` can use, and the stored listings.
 
-    Whether a page can be crawled at all shows in its URL, so all others are dropped by
-    the scan, before their html reaches Python or a shuffle.
+    Whether a page can be crawled at all shows in its URL, so a scan of the URLs alone
+    finds those whose html is read.
     """
     listing, link, norm = F.lit(seed), F.col("abs_url"), F.col("norm_url")
     seed_norm = urls.normalize(listing)
     keywords = urls.keyword_list(pages.sparkSession, seed, profile)
-    readable = with_norm_url(pages.select("page_id", "url", "html")).filter(
+    readable = with_norm_url(pages.select("page_id", "url")).filter(
         (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
     )
     stored = stage(first_snapshots(readable), "listings")
-    chosen = readable.select("page_id", "norm_url", "html").join(stored.select("page_id"), "page_id", "left_semi")
-    parsed = parse_pages(chosen.withColumnRenamed("norm_url", "url"))
+    parsed = parse_pages(with_html(stored.withColumnRenamed("norm_url", "url"), pages))
     links = page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url")
     parts = bind(links, netloc=urls.netloc(link), path=urls.path(link))
     netloc, path = F.col("netloc"), F.col("path")

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from pageloom.session import stage
 
-# A key is hot when it holds more than 1/200 of the rows, so there are fewer than 200 hot
-# keys and the table of them (a hash and a count each) can always be broadcast.
-HOT_SHARE = 200
-# Below this many rows one task can take a whole key.
+# One task can take this many rows of a key; a key with more is hot and is cut into shares of
+# that size. The table of hot keys (a hash and a count each) is staged, so that its size is
+# known: it is broadcast below the configured limit and shuffled beyond it.
 HOT_ROWS = 1_000_000
 
 
@@ -19,10 +18,9 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     total = df.count()
     if total <= hot_rows:
         return None
-    limit = max(total // HOT_SHARE, hot_rows)
-    counts = df.groupBy(F.xxhash64(key).alias("_key_hash")).count().filter(F.col("count") > limit)
+    counts = df.groupBy(F.xxhash64(key).alias("_key_hash")).count().filter(F.col("count") > hot_rows)
     return stage(
-        counts.select("_key_hash", F.ceil(F.col("count") / limit).cast("int").alias("_salts")), "hot-keys"
+        counts.select("_key_hash", F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")), "hot-keys"
     )
 
 
@@ -34,7 +32,6 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str], ho
     """
     if hot is None:
         return many.join(one, key, how)
-    hot = F.broadcast(hot)
     hashed = F.xxhash64(key).alias("_key_hash")
     left = (
         many.select("*", hashed).join(hot, "_key_hash", "left")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.operators.bundle import bundle_parts, last_writer_wins
+from pageloom.operators.bundle import bundle_name, bundle_parts, failed_members, last_writer_wins
 from pageloom.operators.clean import clean_pages
 from pageloom.operators.crawl import crawl
-from pageloom.operators.links import with_norm_url
 from pageloom.operators.parse import parse_pages
 from pageloom.profile import CleanRules, SiteProfile
 from pageloom.session import stage
-from pageloom.sources.pages import fetch_pages
+from pageloom.sources.pages import fetch_pages, resolve_attempts
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class RunResult:
     outcomes: DataFrame   # one row per wanted page, whatever became of it
     documents: DataFrame  # the last document per file_key
     bundles: DataFrame    # the documents of the subject, in crawl order
+    failed: DataFrame     # A3: what did not make it
+    name: str             # A4: the bundle's name, from the time of the run
 
 
 def _outcomes(fetched: DataFrame, rules: CleanRules, images: DataFrame | None) -> DataFrame:
@@ -35,20 +38,32 @@ def _outcomes(fetched: DataFrame, rules: CleanRules, images: DataFrame | None) -
     return clean_pages(parsed, rules, images).unionByName(missing, allowMissingColumns=True)
 
 
-def clean_listed(
-    pages: DataFrame, wanted_urls: list[str], rules: CleanRules = CleanRules(), images: DataFrame | None = None
+def clean_typed(
+    pages: DataFrame, typed: DataFrame, rules: CleanRules = CleanRules(), images: DataFrame | None = None
 ) -> DataFrame:
-    """Clean the given pages, without asking whether the site profile wants them.
+    """One outcome per URL of ``typed`` (url, rank), fetched and named as typed.
 
-    One outcome per URL; the list is an argument typed by hand, not a table.
+    A scheme is put in front where none is, blank URLs drop out, and a fragment is not part
+    of what is fetched; nothing else is normalized and no site profile is asked. A page that
+    several typed URLs ask for is cleaned once.
     """
+    full = typed.select(urls.ensure_scheme(F.col("url")).alias("url"), "rank").filter("url IS NOT NULL")
+    asked = full.groupBy("url").agg(F.min("rank").alias("rank")).withColumn("address", urls.requested(F.col("url")))
+    wanted = asked.groupBy(F.col("address").alias("norm_url")).agg(F.min("rank").alias("rank"))
+    fetched = fetch_pages(wanted.select("norm_url", F.lit(0).alias("depth"), "rank"), pages, address=urls.requested)
+    outcomes = _outcomes(fetched, rules, images).drop("rank", "file_key").withColumnRenamed("url", "address")
+    named = asked.join(outcomes, "address").drop("address")
+    return named.withColumn("file_key", urls.file_key(F.col("url")))
+
+
+def clean_listed(
+    pages: DataFrame, wanted_urls: list[str], rules: CleanRules = CleanRules(), images: DataFrame | None = None
+) -> DataFrame:
+    """A6 for a list typed by hand; its URLs reach the scan of the stored pages."""
     listed = pages.sparkSession.createDataFrame(list(enumerate(wanted_urls, 1)), "rank long, url string")
-    wanted = (
-        with_norm_url(listed).groupBy("norm_url").agg(F.min("rank").alias("rank"))
-        .select("norm_url", F.lit(0).alias("depth"), "rank")
-    )
-    keys = [urls.normalize(F.lit(url)) for url in wanted_urls]
-    return _outcomes(fetch_pages(wanted, pages, F.col("norm_url").isin(*keys)), rules, images)
+    asked = [urls.requested(urls.ensure_scheme(F.lit(url))) for url in wanted_urls]
+    tests = [(F.col("url") == a) | F.col("url").startswith(F.concat(a, F.lit("#"))) for a in asked]
+    return clean_typed(pages.filter(reduce(Column.__or__, tests, F.lit(False))), listed, rules, images)
 
 
 def run_bulk(
@@ -58,15 +73,38 @@ def run_bulk(
     rules: CleanRules = CleanRules(),
     images: DataFrame | None = None,
     width: int = 100,
+    attempts: DataFrame | None = None,
+    run_time: datetime | None = None,
 ) -> RunResult:
     """Crawl from ``seed``, clean what was found, keep one document per key, bundle.
 
     A bundle's part holds the documents of ``width`` consecutive ranks, whatever their size.
+    ``attempts`` (url, attempt, outcome) are the tries to get a page: one that they never
+    got counts as failed, stored or not; a page without attempts counts as got.
+    ``run_time`` names the bundle; left out, it is the time of the call.
     """
+    spark = pages.sparkSession
+    seed = urls.known_seed(spark, seed, profile)
     found = crawl(pages, seed, profile).pages
-    fetched = fetch_pages(found, pages, urls.may_be_wanted(F.col("norm_url"), profile))
-    outcomes = stage(_outcomes(fetched, rules, images), "outcomes")
+    lost = None
+    if attempts is not None:
+        tries = attempts.select(urls.normalize(F.col("url")).alias("norm_url"), "attempt", "outcome")
+        final = resolve_attempts(tries, "norm_url", ["attempt"], F.col("outcome"))
+        lost = stage(final.filter("status = 'failed'").select("norm_url"), "lost")
+        found = stage(found, "found")
+    reached = found if lost is None else found.join(lost, "norm_url", "left_anti")
+    fetched = fetch_pages(reached, pages, urls.may_be_wanted(F.col("norm_url"), profile))
+    outcomes = _outcomes(fetched, rules, images)
+    if lost is not None:
+        given_up = found.join(lost, "norm_url", "left_semi").select(
+            F.col("norm_url").alias("url"), "depth", "rank",
+            F.lit("failed").alias("status"), urls.file_key(F.col("norm_url")).alias("file_key"),
+        )
+        outcomes = outcomes.unionByName(given_up, allowMissingColumns=True)
+    outcomes = stage(outcomes, "outcomes")
     documents = last_writer_wins(outcomes.filter("status IN ('ok', 'challenge') AND clean_html IS NOT NULL"))
-    subject = F.lit("-".join(urls.keyword_list(pages.sparkSession, seed, profile)))
+    subject = F.lit("-".join(urls.keyword_list(spark, seed, profile)))
     bundles = bundle_parts(documents.withColumn("subject", subject), "subject", "rank", "clean_html", width)
-    return RunResult(outcomes, documents, bundles)
+    at = F.current_timestamp() if run_time is None else F.lit(run_time)
+    name = spark.range(1).select(bundle_name(at)).first()[0]
+    return RunResult(outcomes, documents, bundles, failed_members(outcomes), name)

@@ -176,5 +176,7 @@ class CleanRules:
     challenge_title: str = CHALLENGE_TITLE
     # Source of the script that reports finished math; the tag is left out when None.
     math_hook_src: str | None = None
+    # Source of the compatibility script in documents with math; no tag when None.
+    polyfill_url: str | None = POLYFILL_URL
     # Put between the stripped text pieces of clean_text.
     text_separator: str = ""

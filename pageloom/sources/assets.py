@@ -44,18 +44,29 @@ def data_uri(content_type, payload):
     return F.concat(F.lit("data:"), F.lower(F.coalesce(content_type, F.lit(""))), F.lit(";base64,"), encoded)
 
 
-def accept_images(
+def acceptable_images(
     assets: DataFrame, types=IMAGE_TYPES, limit: int = MAX_IMAGE_BYTES, strict: bool = True
 ) -> DataFrame:
-    """(img_url, data_uri) of the assets that may be embedded.
+    """(img_url, content_type, payload) of the assets that may be embedded, not encoded yet.
 
     ``strict=False`` is the lenient rule I6: any data URI that starts with data:image.
     """
     kind, length, payload = F.col("content_type"), F.col("content_length"), F.col("payload")
-    uri = data_uri(kind, payload)
     if strict:
         # The announced length comes first: it can be tested by the scan.
         test = accepted_type(kind, types) & accepted_size(length, payload, limit)
     else:
-        test = uri.startswith("data:image")
-    return assets.filter(test).select("img_url", uri.alias("data_uri"))
+        test = F.lower(kind).startswith("image") & payload.isNotNull()
+    return assets.filter(test).select("img_url", "content_type", "payload")
+
+
+def encode_images(images: DataFrame) -> DataFrame:
+    """(img_url, data_uri)."""
+    return images.select("img_url", data_uri(F.col("content_type"), F.col("payload")).alias("data_uri"))
+
+
+def accept_images(
+    assets: DataFrame, types=IMAGE_TYPES, limit: int = MAX_IMAGE_BYTES, strict: bool = True
+) -> DataFrame:
+    """(img_url, data_uri) of the assets that may be embedded."""
+    return encode_images(acceptable_images(assets, types, limit, strict))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.operators.links import first_snapshots, with_norm_url
+from pageloom.functions import urls
+from pageloom.functions.bind import bind
+from pageloom.operators.links import first_snapshots, with_html
 from pageloom.profile import MAX_ATTEMPTS
 from pageloom.session import stage
 
@@ -23,22 +27,24 @@ def spread_pages(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores, "page_id")
 
 
-def fetch_pages(wanted: DataFrame, pages: DataFrame, likely: Column | None = None) -> DataFrame:
+def fetch_pages(
+    wanted: DataFrame, pages: DataFrame, likely: Column | None = None, address: Callable[[Column], Column] = urls.normalize
+) -> DataFrame:
     """Left join the wanted list (norm_url, depth, rank) to its stored pages.
 
     ``likely`` is a test on ``norm_url`` that holds for every wanted page and rules out
-    nearly all others; without it every stored page is considered. Only one snapshot per
-    URL is taken before any html moves. Without a stored page ``page_id`` and ``html`` are
-    null.
+    nearly all others; without it every stored page is considered. ``address`` makes the
+    ``norm_url`` of a stored URL. Only one snapshot per URL is taken before any html is
+    read. Without a stored page ``page_id`` and ``html`` are null.
     """
-    stored = with_norm_url(pages.select("page_id", "url", "html"))
+    stored = bind(pages.select("page_id", "url"), norm_url=address(F.col("url")))
     if likely is not None:
         stored = stored.filter(likely)
     chosen = stage(
         wanted.join(first_snapshots(stored.select("page_id", "norm_url")), "norm_url", "left"), "wanted"
     )
     listed = ("page_id", F.col("norm_url").alias("url"), "depth", "rank")
-    present = chosen.filter("page_id IS NOT NULL").join(stored.select("page_id", "html"), "page_id")
+    present = with_html(chosen.filter("page_id IS NOT NULL"), pages)
     missing = chosen.filter("page_id IS NULL")
     return present.select(*listed, "html").unionByName(
         missing.select(*listed, F.lit(None).cast("string").alias("html"))

@@ -46,7 +46,7 @@ class Node:
             return f"<!--{self.text}-->" if self.text else ""
         if not self.element:
             return self.text if self.kind in ("script", "style") else html_lib.escape(self.text, quote=False)
-        inner = "".join(f' {k}="{v}"' for k, v in sorted(self.attrs.items()))
+        inner = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
         if self.tag in VOID:
             return f"<{self.tag}{inner}/>"
         return f"<{self.tag}{inner}>{''.join(c.write() for c in self.children)}</{self.tag}>"

@@ -41,7 +41,7 @@ VECTORS = {
                           '<p><img class="advertisement" src="/i.png"/></p>'),
     "escapes": ("<p>a &lt; b &amp; c</p>", "<p>a &lt; b &amp; c</p>"),
     "quotes": ("<table b='x\"y' a=\"it's\"><tr><td>v</td></tr></table>",
-               "<table a=\"it's\" b='x\"y'><tr><td>v</td></tr></table>"),
+               "<table b='x\"y' a=\"it's\"><tr><td>v</td></tr></table>"),
     "two strings": ("<p>To practice<br></p>", "<p><br/></p>"),
     "link deep keeps others": ("<ul><li>a</li><li><a href=x>b</a></li></ul>", "<ul><li>a</li></ul>"),
     "prefix then empty parent stays": ("<div><p>x</p>Next steps here</div>", "<div><p>x</p></div>"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pageloom import SiteProfile
 from pageloom.functions import urls
 from pageloom.operators.crawl import crawl
+from pageloom.operators.links import id_ranges
 from pageloom.plans.runs import clean_listed, run_bulk
 from pageloom.profile import DOMAINS
 from pageloom.sources.pages import fetch_pages
@@ -123,15 +124,38 @@ def test_whole_run(spark):
 
 
 def test_single_pages(spark):
-    """Listed pages are cleaned whatever their URL, once each, from their first snapshot."""
+    """Listed pages are fetched and named as typed, whatever the site; a fragment is not fetched."""
     other = "https://elsewhere.example.org/c-programming-examples/"
-    rows = [(5, other, "<article>a</article>"), (9, other + "?copy", "<article>b</article>"), (7, url("P2"), "<main>c</main>")]
+    rows = [(5, other, "<article>a</article>"), (9, other + "?copy", "<article>b</article>"), (7, url("P2"), "<main>c</main>"),
+            (8, other, "<article>later</article>"), (3, "https://h.example.org/?p=5", "<article>d</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    asked = [url("P2").replace("https", "http"), other, other + "#x", "https://not.stored/x"]
-    got = {r.file_key: (r.status, r.clean_text) for r in clean_listed(pages, asked).collect()}
-    assert got == {
-        "stack-questions-answers-p2": ("ok", "c"), "c-programming-examples": ("ok", "a"), "x": ("missing", None),
-    }
+    asked = [url("P2").replace("https", "http"), f" {url('P2')[8:]}", other, other, other + "?copy", other + "#x",
+             "h.example.org/?p=5", " ", "https://not.stored/x"]
+    got = sorted((r.rank, r.file_key, r.status, r.clean_text) for r in clean_listed(pages, asked).collect())
+    p2 = "stack-questions-answers-p2"
+    assert got == [
+        (1, p2, "missing", None), (2, p2, "ok", "c"), (3, "c-programming-examples", "ok", "a"),
+        (5, "c-programming-examples", "ok", "b"), (6, "c-programming-examples", "ok", "a"),
+        (7, "p5", "ok", "d"), (9, "x", "missing", None),
+    ]
+
+
+def test_seed_is_checked(spark):
+    pages = page_table(spark, {"S": ["P1"], "P1": []})
+    assert names(crawl(pages, f" {SEED.split('//')[1]}").pages.collect()) == [("P1", 0)]
+    for seed in ("https://elsewhere.example.org/1000-stack-questions-answers/", "  "):
+        with pytest.raises(ValueError):
+            run_bulk(pages, seed)
+
+
+def test_page_id_ranges(spark):
+    """The test holds for every id, at the ends of the number range too, and leaves gaps out."""
+    ids = spark.createDataFrame([(i,) for i in (-(2**63), -5, 0, 7, 2**40, 2**63 - 1)], "page_id long")
+    assert ids.filter(id_ranges(ids)).count() == 6
+    near = spark.range(1000).select(F.col("id").alias("page_id"))
+    test = id_ranges(near.filter("page_id IN (3, 4, 900)"))
+    assert [r.page_id for r in near.filter(test).orderBy("page_id").collect()] == [3, 4, 900]
+    assert near.filter(id_ranges(near.filter("false"))).isEmpty()
 
 
 def test_no_page_is_lost_before_the_join(spark):

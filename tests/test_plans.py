@@ -9,9 +9,11 @@ from pageloom import SiteProfile
 from pageloom.functions import urls
 from pageloom.operators.bundle import last_writer_wins
 from pageloom.operators.clean import clean_pages
+from pageloom.operators.images import embed_refs
 from pageloom.operators.links import page_links
 from pageloom.operators.parse import parse_pages
-from pageloom.sources.assets import accept_images
+from pageloom.sources.assets import accept_images, acceptable_images
+from pageloom.sources.pages import fetch_pages
 
 
 @pytest.fixture
@@ -56,8 +58,29 @@ def test_embedding_shuffles_pages_once(spark, pages):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert len([m for m in moved if "page_id" in m]) == 2
-    assert len([m for m in moved if "img_url" in m]) == 2
-    assert len(moved) == 4
+    assert len([m for m in moved if "img_url" in m]) == 3
+    assert len(moved) == 5
+
+
+def test_only_shown_images_are_encoded(spark, tmp_path):
+    """The semi join with what pages refer to lies below the encoding."""
+    spark.createDataFrame(
+        [("http://i/a", "image/png", 1, bytearray(b"a"))],
+        "img_url string, content_type string, content_length long, payload binary").write.parquet(str(tmp_path / "a"))
+    refs = spark.createDataFrame([(1, 2, "http://i/a")], "page_id long, pre int, img_url string")
+    lines = plan(embed_refs(refs, acceptable_images(spark.read.parquet(str(tmp_path / "a"))))).split("\n")
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    encoded = [i for i, line in enumerate(lines) if ";base64," in line]
+    assert encoded and max(encoded) < semi
+
+
+def test_html_is_read_by_ranges_of_page_id(pages):
+    """URLs are looked up without html; the html scan gets the chosen ids' ranges."""
+    wanted = pages.select(urls.normalize(F.col("url")).alias("norm_url"), F.lit(0).alias("depth"), F.col("page_id").alias("rank"))
+    text = plan(fetch_pages(wanted.filter("page_id = 7"), pages))
+    scan = next(line for line in text.split("\n") if "html" in line and "FileScan" in line)
+    assert "GreaterThanOrEqual(page_id,7)" in scan and "LessThanOrEqual(page_id,7)" in scan
+    assert "ReadSchema: struct<page_id:bigint,html:string>" in scan
 
 
 def test_announced_image_size_reaches_the_scan(spark, tmp_path):
