@@ -489,10 +489,10 @@ def bundle_names(spark, sf_dir):
 
 @query
 def sink_documents(spark, sf_dir):
-    """Cleaned documents, a folder per key, read back"""
+    """Cleaned documents in a fixed number of folders, read back"""
     path = f"{stage_folder(spark)}/documents-{uuid.uuid4().hex}"
     docs = clean_pages(parse_pages(stored_pages(spark, sf_dir)), ARTICLE)
-    sinks.write_documents(docs.select("page_id", "file_key", "clean_text"), path, subject="file_key")
+    sinks.write_documents(docs.select("page_id", "file_key", "clean_text"), path, subject="file_key", folders=16)
     written = sinks.read_written(spark, path, "page_id long, clean_text string, file_key string")
     return written.select("page_id", "file_key", F.md5("clean_text").alias("text_md5"))
 
@@ -511,9 +511,9 @@ def merge_documents(spark, sf_dir):
 
 @query
 def sink_bundles(spark, sf_dir):
-    """Bundles in parts, a folder per key, read back"""
+    """Bundles in parts, in a fixed number of folders, read back"""
     path = f"{stage_folder(spark)}/bundles-{uuid.uuid4().hex}"
     pages = table(spark, sf_dir, "pages").select("page_id", "url", urls.file_key(F.col("url")).alias("file_key"))
-    sinks.write_bundles(bundle.bundle_parts(pages, "file_key", "page_id", "url"), path, "file_key")
+    sinks.write_bundles(bundle.bundle_parts(pages, "file_key", "page_id", "url"), path, "file_key", folders=16)
     written = sinks.read_written(spark, path, "part long, n_docs long, body string, file_key string")
     return written.select("file_key", "part", "n_docs", "body")

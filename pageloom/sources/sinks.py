@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 100_000
 
 
-def write_documents(docs: DataFrame, path: str, subject: str | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One row per document; a folder per subject when given.
+def _shelved(df: DataFrame, key: str, folders: int | None) -> tuple[DataFrame, str]:
+    """The column that names a row's folder: the key itself, or one of ``folders`` numbers drawn from its hash."""
+    if folders is None:
+        return df, key
+    return df.withColumn("shelf", F.pmod(F.xxhash64(key), F.lit(folders))), "shelf"
 
-    Without a subject nothing is shuffled. With one, rows of a subject are brought together
-    so that not every task writes to every folder; a large subject is still split.
+
+def write_documents(
+    docs: DataFrame, path: str, subject: str | None = None, fmt: str = "parquet", mode: str = "overwrite", folders: int | None = None
+) -> None:
+    """One row per document; a folder per subject when given, or a fixed number of ``folders`` for keys that are many.
+
+    Without a subject nothing is shuffled. With one, rows of a folder are brought together
+    so that not every task writes to every folder; a large one is still split.
     """
+    folder = None
     if subject:
-        docs = docs.hint("rebalance", subject)
+        docs, folder = _shelved(docs, subject, folders)
+        docs = docs.hint("rebalance", folder)
     writer = docs.write.mode(mode).format(fmt).option("maxRecordsPerFile", ROWS_PER_FILE)
-    (writer.partitionBy(subject) if subject else writer).save(path)
+    (writer.partitionBy(folder) if folder else writer).save(path)
 
 
 def read_written(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -24,7 +36,10 @@ def read_written(spark: SparkSession, path: str, schema: str, fmt: str = "parque
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def write_bundles(parts: DataFrame, path: str, key: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_bundles(
+    parts: DataFrame, path: str, key: str, fmt: str = "parquet", mode: str = "overwrite", folders: int | None = None
+) -> None:
     """The parts of all bundles in order; range partitions split a large bundle over tasks."""
-    ordered = parts.repartitionByRange(key, "part").sortWithinPartitions(key, "part")
-    ordered.write.mode(mode).format(fmt).partitionBy(key).save(path)
+    parts, folder = _shelved(parts, key, folders)
+    ordered = parts.repartitionByRange(folder, key, "part").sortWithinPartitions(folder, key, "part")
+    ordered.write.mode(mode).format(fmt).partitionBy(folder).save(path)

@@ -97,6 +97,18 @@ def test_sinks(spark, tmp_path):
     assert [(r.subject, r.part, r.n_docs) for r in back] == [(s, p, 5) for s in (0, 1) for p in range(5)]
 
 
+def test_sinks_with_many_keys(spark, tmp_path):
+    """A fixed number of folders, and keys that look like numbers stay text."""
+    keys = ["007", "42", "a b/c", "1e5"] + [f"k{i}" for i in range(40)]
+    docs = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "file_key string, part long")
+    for write in (sinks.write_documents, sinks.write_bundles):
+        path = str(tmp_path / write.__name__)
+        write(docs, path, "file_key", folders=4)
+        assert len(list((tmp_path / write.__name__).glob("shelf=*"))) == 4
+        back = sinks.read_written(spark, path, "file_key string, part long").collect()
+        assert {(r.file_key, r.part) for r in back} == set(map(tuple, docs.collect())) and len(back) == len(keys)
+
+
 def test_number_rows(spark):
     rows = spark.range(997).select(F.pmod(F.col("id") * 7919, F.lit(997)).alias("v"), F.array(F.col("id")).alias("x"))
     got = number_rows(rows, ["v"], "n").collect()
