@@ -17,11 +17,11 @@ def docs(spark, testdata):
 
 def contexts_of(text):
     """(context of each predictor, byte) of each byte of a text and its end mark, plainly."""
-    data, start = text.encode() + b"\xff", 0
+    data, start, last = text.encode() + b"\xff", 0, b""
     for i, byte in enumerate(data):
-        yield [*(data[max(i - n, start) : i] for n in mixing.ORDERS), data[start:i]], byte
+        yield [*(data[max(i - n, 0) : i] for n in mixing.ORDERS), data[start:i], (last, data[start:i])], byte
         if byte in b" \t\n\x0b\x0c\r":
-            start = i + 1
+            last, start = data[start : i + 1], i + 1
 
 
 def test_mixing_counts_every_context(docs):
@@ -45,3 +45,13 @@ def test_mixing_counts_every_context(docs):
             assert counts[8][where[p][w.of_byte]].tolist() == [seen[p][contexts[p], byte] for contexts, byte in plain]
         n += len(texts)
     assert n == len(rows)
+
+
+def test_mixing_sees_the_words_before(spark):
+    """The order of a text's words counts, and phrases that repeat cost less than the same words anew."""
+    rng, names = np.random.default_rng(3), [f"{a}{b}" for a in ("ka", "lo", "mi", "su") for b in ("ren", "tal", "vok", "zim", "dar")]
+    phrase = " ".join(rng.permutation(names))
+    rows = [(i, " ".join(rng.permutation(names)) if i % 2 else phrase) for i in range(60)]
+    table = spark.createDataFrame([*rows, (1000, phrase), (1000, " ".join([*reversed(phrase.split()[:-1]), phrase.split()[-1]]))], "doc_id long, text string")
+    scores = sorted(r["score"] for r in mixing.scores(table).collect() if r["doc_id"] == 1000)
+    assert scores[0] < scores[1] - 5
