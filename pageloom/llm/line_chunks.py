@@ -1,10 +1,10 @@
 """Removal of repeated line chunks (operator 4).
 
-Lines are hashed; a rolling hash over the last two line hashes ends a chunk where its lowest bits are zero,
-and a long line is a chunk by itself. Both depend on the lines alone, so a passage is cut in the same way
-wherever it stands. Chunks of enough words whose hash occurs more than once are candidates; only their bytes
-are gathered, and each is compared with the first one of that hash. Equal ones but the first (by id, text
-hash and line) are taken out of their texts.
+A run of lines that an earlier text (by id, text hash and line) or an earlier place of the same text has too is taken out whole if it has
+at least MIN_WORDS words. Chunks are the shortest runs of so many words that start or that end at a line; every repeated run is the
+union of such chunks inside it, however it is broken into lines. A rolling hash over the line hashes gives each chunk's hash. Chunks whose hash
+occurs more than once are candidates; only their bytes are gathered, and each is compared with the first one of that hash. The first
+place of a line always stays. Lines without words do not count; they go with the line before them (at the start: the one after).
 
 Null and empty texts stay as they are (empty). Rows that repeat both id and text count as one document and lose the
 same chunks. A null id sorts first. Very long texts are rows like others. No documents: no rows.
@@ -24,48 +24,71 @@ from pageloom.llm.common import id_and_text, map_batches
 from pageloom.session import stage
 
 CHUNKS = "at_id bigint, tie bigint, line int, n_lines int, chunk bigint"
-MEAN_LINES = 4  # a power of two
-LONG_LINE = 30
+BODIES = "at_id bigint, tie bigint, line int, n_lines int, chunk bigint, body string"
+LONG_LINE = 30  # words of a line that is certainly a chunk by itself
 MIN_WORDS = 12
+FACTOR = 0x9E3779B97F4A7C15
 LOWEST = -(1 << 63)
 MASK = (1 << 64) - 1
 
 
-def cut(text: str, mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(first line, lines, hash) of a text's chunks that have enough words."""
+def filled(text: str) -> tuple[list[str], list[int], list[int]]:
+    """(all lines, places of those that have words, their numbers of words)."""
     lines = text.split("\n")
-    out, start, words, before = [], 0, 0, 0
-
-    def close(end: int) -> None:
-        nonlocal start, words
-        if words >= min_words:
-            chunk = xxhash.xxh3_64_intdigest("\n".join(lines[start:end]).encode())
-            out.append((start, end - start, chunk - (1 << 64) if chunk >> 63 else chunk))
-        start, words = end, 0
-
-    for i, line in enumerate(lines):
-        n = len(line.split())
-        if n >= long_line:
-            close(i)
-        words += n
-        now = xxhash.xxh3_64_intdigest(line.encode())
-        rolled = (before * 0x9E3779B97F4A7C15 + now) & MASK
-        before = now
-        if n >= long_line or rolled >> 40 & (mean_lines - 1) == 0:
-            close(i + 1)
-    close(len(lines))
+    words = [len(line.split()) for line in lines]
+    return lines, [i for i, n in enumerate(words) if n], [n for n in words if n]
+
+
+def cut(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(first line, lines, hash) of a text's chunks, in lines that have words."""
+    lines, at, words = filled(text)
+    rolled, powers, total = [0], [1], [0]
+    for i, n in zip(at, words, strict=True):
+        rolled.append((rolled[-1] * FACTOR + xxhash.xxh3_64_intdigest(lines[i].encode())) & MASK)
+        powers.append(powers[-1] * FACTOR & MASK)
+        total.append(total[-1] + n)
+    spans, end, start = set(), 0, 0
+    for i in range(len(at)):
+        while end < len(at) and total[end] - total[i] < min_words:
+            end += 1
+        if total[end] - total[i] >= min_words:
+            spans.add((i, end))
+        while total[i + 1] - total[start + 1] >= min_words and start < i:
+            start += 1
+        if total[i + 1] - total[start] >= min_words:
+            spans.add((start, i + 1))
+    out = []
+    for start, end in sorted(spans):
+        chunk = (rolled[end] - rolled[start] * powers[end - start]) & MASK
+        out.append((start, end - start, chunk - (1 << 64) if chunk >> 63 else chunk))
     return out
 
 
-def dedupe(docs: DataFrame, mean_lines: int = MEAN_LINES, long_line: int = LONG_LINE, min_words: int = MIN_WORDS, id_col="doc_id", text_col="text",
-           keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, text, n_lines, removed_lines, removed_chunks) of every document; ``text`` is what stays. Other columns to
-    ``keep`` follow."""
+def without(text: str, chunks: list[tuple[int, int]]) -> tuple[str, int, int, int]:
+    """(what stays without the (first line, lines) ``chunks``, lines, removed lines, removed runs)."""
+    lines, at, _ = filled(text)
+    if not chunks:
+        return text, len(lines), 0, 0
+    gone = np.zeros(len(at) + 1, np.int64)
+    for start, n in chunks:
+        gone[start] += 1
+        gone[start + n] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    # Each line without words has the fate of the one before it.
+    of_line = np.maximum(np.searchsorted(at, np.arange(len(lines)), "right") - 1, 0)
+    removed = gone[of_line]
+    stays = [line for line, r in zip(lines, removed.tolist(), strict=True) if not r]
+    return "\n".join(stays), len(lines), int(removed.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+
+
+def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, id_col="doc_id", text_col="text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, removed_lines, removed_chunks) of every document; ``text`` is what stays, ``removed_chunks`` counts the
+    runs of lines that went. Other columns to ``keep`` follow."""
     whole = id_and_text(docs, id_col, text_col, keep).withColumns({"at_id": F.coalesce("doc_id", F.lit(LOWEST)), "tie": F.xxhash64("text")})
     keyed = whole.select("at_id", "tie", "text")
 
     def step(batch: pa.RecordBatch) -> dict | None:
-        found = [cut(text, mean_lines, long_line, min_words) for text in batch.column(2).to_pylist()]
+        found = [cut(text, min_words) for text in batch.column(2).to_pylist()]
         rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
         flat = [c for f in found for c in f]
         return {"at_id": batch.column(0).take(pa.array(rows)), "tie": batch.column(1).take(pa.array(rows)),
@@ -77,22 +100,32 @@ def dedupe(docs: DataFrame, mean_lines: int = MEAN_LINES, long_line: int = LONG_
     by_doc = (chunks.join(again, "chunk", "left_semi").groupBy("at_id", "tie")
               .agg(F.collect_set(F.struct("line", "n_lines", "chunk")).alias("found")))
 
-    lines = F.split("text", "\n")
-    bodies = (keyed.join(by_doc, ["at_id", "tie"]).select("at_id", "tie", "found", lines.alias("lines"))
-              .select("at_id", "tie", F.explode(F.transform("found", lambda c: F.struct(
-                  c["line"].alias("line"), c["n_lines"].alias("n_lines"), c["chunk"].alias("chunk"),
-                  F.array_join(F.slice("lines", c["line"] + 1, c["n_lines"]), "\n").alias("body")))).alias("c"))
-              .select("at_id", "tie", "c.*"))
-    bodies = stage(bodies, "bodies")
+    def body(batch: pa.RecordBatch) -> dict:
+        rows, flat, bodies = [], [], []
+        for row, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)):
+            lines, at, _ = filled(text)
+            for c in found:
+                rows.append(row)
+                flat.append(c)
+                bodies.append("\n".join(lines[i] for i in at[c["line"] : c["line"] + c["n_lines"]]))
+        made = {name: batch.column(name).take(pa.array(rows, pa.int64())) for name in ("at_id", "tie")}
+        made |= {name: pa.array([c[name] for c in flat], kind) for name, kind in (("line", pa.int32()), ("n_lines", pa.int32()), ("chunk", pa.int64()))}
+        return made | {"body": pa.array(bodies, pa.string())}
+
+    bodies = stage(map_batches(keyed.join(by_doc, ["at_id", "tie"]).select("at_id", "tie", "found", "text"), body, BODIES), "bodies")
     place = F.struct("at_id", "tie", "line")
     first = bodies.groupBy("chunk").agg(F.min(place).alias("first"), F.min_by("body", place).alias("first_body"))
     repeats = bodies.join(first, "chunk").filter((F.col("body") == F.col("first_body")) & (place != F.col("first")))
     removed = repeats.groupBy("at_id", "tie").agg(F.collect_set(F.struct("line", "n_lines")).alias("removed"))
 
-    gone = F.flatten(F.transform("removed", lambda r: F.sequence(r["line"], r["line"] + r["n_lines"] - 1)))
-    joined = whole.join(stage(removed, "removed"), ["at_id", "tie"], "left").withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
-    stays = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return joined.select(
-        "doc_id", F.when(F.size("gone") == 0, F.col("text")).otherwise(stays).alias("text"), F.size(lines).cast("long").alias("n_lines"),
-        F.size("gone").cast("long").alias("removed_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.col("tie").alias("text_hash"), *(["kept_columns.*"] if keep else []))
+    joined = whole.join(stage(removed, "removed"), ["at_id", "tie"], "left")
+
+    def stays(batch: pa.RecordBatch) -> dict:
+        texts, removed = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
+        out = [without(text, [(c["line"], c["n_lines"]) for c in chunks or ()]) for text, chunks in zip(texts, removed, strict=True)]
+        counts = {name: pa.array([o[k] for o in out], pa.int64()) for k, name in ((1, "n_lines"), (2, "removed_lines"), (3, "removed_chunks"))}
+        return {"doc_id": batch.column("doc_id"), "text": pa.array([o[0] for o in out], pa.string())} | counts | {"text_hash": batch.column("tie")}
+
+    id_type = whole.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, text string, n_lines bigint, removed_lines bigint, removed_chunks bigint, text_hash bigint"
+    return map_batches(joined, stays, schema, keep)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pageloom.llm import mixing, queries
+from pageloom.llm import line_chunks, mixing, queries
 from pageloom.session import stage
 
 
@@ -55,3 +55,33 @@ def test_mixing_sees_the_words_before(spark):
     table = spark.createDataFrame([*rows, (1000, phrase), (1000, " ".join([*reversed(phrase.split()[:-1]), phrase.split()[-1]]))], "doc_id long, text string")
     scores = sorted(r["score"] for r in mixing.scores(table).collect() if r["doc_id"] == 1000)
     assert scores[0] < scores[1] - 5
+
+
+def plain_runs(rows, min_words):
+    """What stays of each text: without the lines in a run of enough words that stands earlier, too, in lines with words."""
+    texts, places = sorted(set(rows)), {}
+    lines = [[x for x in t.split("\n") if x.split()] for _, t in texts]
+    gone = [set() for _ in texts]
+    for k, doc in enumerate(lines):
+        for i in range(len(doc)):
+            for j in range(i + 1, len(doc) + 1):
+                if sum(len(x.split()) for x in doc[i:j]) >= min_words:
+                    if places.setdefault(tuple(doc[i:j]), (k, i)) != (k, i):
+                        gone[k] |= set(range(i, j))
+    return {i: [x for n, x in enumerate(doc) if n not in g] for (i, _), doc, g in zip(texts, lines, gone, strict=True)}
+
+
+def test_line_chunks_take_out_every_repeated_run(spark):
+    """Passages of 2 to 20 short lines inside unlike documents, and random texts of few lines, against all runs tried."""
+    rng, rows = np.random.default_rng(4), []
+    for n in range(2, 21):
+        size = max(1, 54 // n)
+        passage = [" ".join(f"p{n}x{k}w{w}" for w in range(size)) for k in range(n)]
+        for d in range(2):
+            own = [[f"own{n}d{d}l{k}{side} a b" for k in range(3)] for side in "ab"]
+            rows.append((10 * n + d, "\n".join([*own[0], *passage, *[""] * d, *own[1]])))
+    rows += [(1000 + k, "\n".join(rng.choice(["", "one two", "three four five six", "seven", "eight nine " * 4, "ten " * 13], rng.integers(1, 12)))) for k in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_runs(rows, line_chunks.MIN_WORDS)
+    assert {i: [x for x in t.split("\n") if x.split()] for i, t in got.items()} == want
+    assert all("p" not in got[10 * n + 1] for n in range(2, 21) if n * max(1, 54 // n) >= line_chunks.MIN_WORDS)
