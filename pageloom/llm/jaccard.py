@@ -172,12 +172,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cells(df: DataFrame, keys: list[str], n_blocks: str, member: str) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is part of: (block, cell)."""
+    """Each row once for every pair of blocks that its own block is part of: (block, cell, crosses)."""
     rows = df.withColumn("block", F.pmod(F.xxhash64(F.lit(17), member), F.col(n_blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col(n_blocks) - 1)).alias("other")
     rows = rows.select("*", other)
     cell = F.least("block", "other") * F.col(n_blocks) + F.greatest("block", "other")
-    return rows.withColumn("cell", cell.cast("long")).drop("other", n_blocks)
+    rows = rows.withColumn("cell", cell.cast("long"))
+    # Whether the cell has two blocks: its rows do not tell, as one of the blocks may be empty.
+    crosses = F.floor(F.col("cell") / F.col(n_blocks)) != F.col("cell") % F.col(n_blocks)
+    return rows.withColumn("crosses", crosses).drop("other", n_blocks)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col="doc_id", text_col="text") -> DataFrame:
@@ -211,7 +214,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
     company = buckets.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1")
     company = company.select("bucket", F.ceil(F.col("count") / BUCKET_BLOCK).cast("int").alias("n_blocks"))
     met = buckets.join(company, "bucket").join(members.select("shape", "signature"), "shape")
-    met = cells(met, ["bucket"], "n_blocks", "shape").select("bucket", "cell", "block", "shape", "signature")
+    met = cells(met, ["bucket"], "n_blocks", "shape").select("bucket", "cell", "block", "crosses", "shape", "signature")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 2):
@@ -221,7 +224,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
                 seen = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(n, -1)
                 blocks = table.column("block").to_numpy()
                 labels = np.arange(n)
-                for i, j in block_pairs(blocks, blocks.min() != blocks.max()):
+                for i, j in block_pairs(blocks, table.column("crosses")[0].as_py()):
                     labels = joined(labels, *survivors(seen, i, j, rule))
                 linked = np.flatnonzero(labels != np.arange(n)).tolist()
                 if linked:
@@ -242,7 +245,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
     brought = map_batches(
         group.join(keyed, ["at_id", "tie"]).select(F.xxhash64("root").alias("group_key"), "n_blocks", "shape", "size", "signature", "text"),
         with_shingles, "group_key bigint, n_blocks int, shape binary, size bigint, signature binary, shingles binary")
-    blocked = cells(brought, ["group_key"], "n_blocks", "shape").select("group_key", "cell", "block", "shape", "size", "signature", "shingles")
+    blocked = cells(brought, ["group_key"], "n_blocks", "shape").select("group_key", "cell", "block", "crosses", "shape", "size", "signature", "shingles")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 2):
@@ -257,7 +260,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
             _, flat = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
             starts = np.cumsum(lengths) - lengths
             links, labels, mine = np.zeros(n, np.int64), np.arange(n), np.zeros(int(flat.max()) + 1, np.int64)
-            for i, j in block_pairs(blocks, blocks.min() != blocks.max()):
+            for i, j in block_pairs(blocks, table.column("crosses")[0].as_py()):
                 i, j = survivors(seen, i, j, rule)
                 kept_i, kept_j = [], []
                 for a in np.unique(i).tolist():

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pageloom.llm import line_chunks, mixing, queries
+from pageloom.llm import jaccard, line_chunks, mixing, queries
 from pageloom.session import stage
 
 
@@ -85,3 +85,14 @@ def test_line_chunks_take_out_every_repeated_run(spark):
     want = plain_runs(rows, line_chunks.MIN_WORDS)
     assert {i: [x for x in t.split("\n") if x.split()] for i, t in got.items()} == want
     assert all("p" not in got[10 * n + 1] for n in range(2, 21) if n * max(1, 54 // n) >= line_chunks.MIN_WORDS)
+
+
+def test_jaccard_counts_links_once_where_a_block_is_empty(spark, monkeypatch):
+    """Pairs whose group gets more blocks than it has members; some pairs fall into one block."""
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 50)
+    rows = []
+    for k in range(15):
+        words = [f"g{k}t{n}" for n in range(120)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "edit"]))]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["class_id"], r["n_links"]) for r in sorted(got)] == [(i - i % 2, 1) for i, _ in rows]
