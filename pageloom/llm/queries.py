@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
 
-from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, packing, quality, repetition, token_files
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-ORACLES: dict[str, str] = {}
+from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, packing, quality, repetition, token_files, url_filter
+from pageloom.llm.sql import URL_FILTER
+
+URL_RULES = (
+    url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+)
+# Every address that pages are stored under at these hosts and their subdomains is on the list.
+SPAM_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
 
 
 def tokenizer(name: str) -> str:
@@ -61,6 +70,15 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(documents(spark, sf_dir))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = url_filter.lower_ascii(F.regexp_extract(url_filter.after_scheme(F.col("url")), "^[^/?#]*", 0))
+    listed = pages.filter(reduce(Column.__or__, ((host == name) | host.endswith(f".{name}") for name in SPAM_HOSTS)))
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_jaccard, op3_quality, op4_line_chunks, op5_imatch, op6_token_files, op7_mixing, op8_licenses, op9_packing, op10_repetition,
+    op13_url_filter,
 )}
+ORACLES = {"op13_url_filter": URL_FILTER}
