@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, packing, quality, repetition, token_files, url_filter
+from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, packing, quality, repetition, token_files, url_filter, whitening
 from pageloom.llm.sql import URL_FILTER
 
 URL_RULES = (
@@ -70,6 +70,10 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = url_filter.lower_ascii(F.regexp_extract(url_filter.after_scheme(F.col("url")), "^[^/?#]*", 0))
@@ -79,6 +83,6 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_jaccard, op3_quality, op4_line_chunks, op5_imatch, op6_token_files, op7_mixing, op8_licenses, op9_packing, op10_repetition,
-    op13_url_filter,
+    op11_whitening, op13_url_filter,
 )}
 ORACLES = {"op13_url_filter": URL_FILTER}
