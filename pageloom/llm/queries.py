@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, packing, quality, repetition, token_files, url_filter, whitening
-from pageloom.llm.sql import URL_FILTER
+from pageloom.llm import bpe, imatch, jaccard, licenses, line_chunks, mixing, negatives, packing, quality, repetition, token_files, url_filter, whitening
+from pageloom.llm.sql import HARD_NEGATIVES, URL_FILTER
 
 URL_RULES = (
     url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
@@ -74,6 +74,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = url_filter.lower_ascii(F.regexp_extract(url_filter.after_scheme(F.col("url")), "^[^/?#]*", 0))
@@ -83,6 +88,6 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_jaccard, op3_quality, op4_line_chunks, op5_imatch, op6_token_files, op7_mixing, op8_licenses, op9_packing, op10_repetition,
-    op11_whitening, op13_url_filter,
+    op11_whitening, op12_negatives, op13_url_filter,
 )}
-ORACLES = {"op13_url_filter": URL_FILTER}
+ORACLES = {"op12_negatives": HARD_NEGATIVES, "op13_url_filter": URL_FILTER}
