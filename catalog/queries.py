@@ -475,6 +475,24 @@ def bundle_by_key(spark, sf_dir):
     return parts.select("file_key", "part", "n_docs", F.md5("body").alias("body_md5"))
 
 
+@query
+def bundle_offsets(spark, sf_dir):
+    """Bundles of any size, written as members with an index of 64-bit offsets and read back"""
+    path = f"{stage_folder(spark)}/indexed-{uuid.uuid4().hex}"
+    docs = clean_pages(parse_pages(stored_pages(spark, sf_dir)), ARTICLE)
+    sinks.write_indexed(docs, path, "file_key", ["page_id"], "clean_text")
+    index, members = (spark.read.parquet(f"{path}/{part}") for part in ("index", "members"))
+    return members.join(index, ["file_key", "page_id"]).select(
+        "file_key", "page_id", F.col("member").cast("bigint").alias("member"), "start", "length", F.md5("clean_text").alias("text_md5"))
+
+
+@query
+def bulk_members(spark, sf_dir):
+    """Where each document of a run lies in the subject's bundle"""
+    members = run_bulk(site_pages(spark, sf_dir), shapes.SEED).members()
+    return members.select("subject", "member", "start", "length", "file_key")
+
+
 @query
 def bundle_conversations(spark, sf_dir):
     """A2"""

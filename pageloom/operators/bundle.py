@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from pageloom.operators.skew import number_rows
 from pageloom.profile import BUNDLE_PREFIX, BUNDLE_TIME_FORMAT
+from pageloom.session import stage
+
+# A page that came through a challenge is cleaned like the others.
+WITH_DOCUMENT = ("ok", "challenge")
 
 
 def last_writer_wins(docs: DataFrame, key: str = "file_key", order: str = "rank") -> DataFrame:
@@ -19,16 +23,17 @@ def last_writer_wins(docs: DataFrame, key: str = "file_key", order: str = "rank"
 
 
 def bundle_parts(
-    docs: DataFrame, key: str, order: str, body: str, width: int = 100, separator: str = "\n"
+    docs: DataFrame, key: str, order: str, body: str, width: int = 100, separator: str = "\n", first: int = 0
 ) -> DataFrame:
-    """A2: (key, part, n_docs, body), each part the documents of ``width`` consecutive orders.
+    """A2: (key, part, n_docs, body), each part the documents of ``width`` consecutive orders from ``first`` on.
 
     The parts of a key, in order, are its bundle. ``order`` is a whole number and unique
-    within a key, so no group exceeds ``width`` documents however large the bundle is.
+    within a key, so no group exceeds ``width`` documents however large the bundle is. A part
+    is one string: for documents of any size use ``bundle_members``.
     """
     members = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(body).alias("body"))))
     return (
-        docs.groupBy(key, F.floor(F.col(order) / width).cast("bigint").alias("part"))
+        docs.groupBy(key, F.floor((F.col(order) - first) / width).cast("bigint").alias("part"))
         .agg(members.alias("members"))
         .select(
             key, "part",
@@ -38,13 +43,42 @@ def bundle_parts(
     )
 
 
+def bundle_members(docs: DataFrame, key: str, order: list[str], body: str, separator: int = 1) -> DataFrame:
+    """A2 for bundles of any size: (key, member, start, length, *order), where each document lies in its bundle.
+
+    ``member`` counts from 1; ``start`` is the offset of the document's first byte when the
+    documents of a key follow each other in ``order`` (unique within the key), ``separator``
+    bytes apart. No row holds two documents and no document moves: lengths alone are range
+    partitioned, added up within (partition, key), and then over the partitions of a key, so
+    a key with most of all documents is spread like any other.
+    """
+    narrow = docs.select(key, *order, F.coalesce(F.octet_length(body), F.lit(0)).cast("bigint").alias("length"))
+    ordered = stage(narrow.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "bundle-order")
+    step = F.col("length") + separator
+    within = Window.partitionBy("_part", key).orderBy(*order)
+    placed = ordered.select(
+        "*", F.row_number().over(within).alias("_nth"), (F.sum(step).over(within) - step).alias("_from")
+    )
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = ordered.groupBy("_part", key).agg(F.count("*").alias("_n"), F.sum(step).alias("_bytes"))
+    starts = shares.select(
+        F.col("_part").alias("_in"), F.col(key).alias("_of"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_members"),
+        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_offset"),
+    )
+    same = (F.col("_part") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_of"))
+    return placed.join(starts, same).select(
+        key, (F.col("_members") + F.col("_nth")).alias("member"), (F.col("_offset") + F.col("_from")).alias("start"), "length", *order
+    )
+
+
 def merged(docs: DataFrame, order: list[str], body: str, subject: str, width: int = 100) -> DataFrame:
     """A2 over stored documents: (subject, part, n_docs, body) of all of them, by ``order``.
 
     ``order`` must be unique, such as the key of ``last_writer_wins``.
     """
     ranked = number_rows(docs.select(*order, F.col(body).alias("_body")), order, "_rank")
-    return bundle_parts(ranked.withColumn("subject", F.lit(subject)), "subject", "_rank", "_body", width)
+    return bundle_parts(ranked.withColumn("subject", F.lit(subject)), "subject", "_rank", "_body", width, first=1)
 
 
 def bundle_name(run_ts: Column, prefix: str = BUNDLE_PREFIX) -> Column:
@@ -58,5 +92,5 @@ def run_statistics(outcomes: DataFrame) -> DataFrame:
 
 
 def failed_members(outcomes: DataFrame) -> DataFrame:
-    """A3: the documents that did not make it, as rows."""
-    return outcomes.filter(F.col("status") != "ok").select("file_key", "url", "status")
+    """A3: the pages that no document came of, as rows."""
+    return outcomes.filter(~F.col("status").isin(*WITH_DOCUMENT)).select("file_key", "url", "status")

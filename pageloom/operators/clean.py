@@ -19,6 +19,7 @@ from pageloom.functions import dom, urls
 from pageloom.functions.text import (
     escape_text, has_any_token, has_token, is_blank, quote_attribute, starts_with_any, strip,
 )
+from pageloom.operators.bundle import WITH_DOCUMENT
 from pageloom.operators.htmltree import STRING_CONTAINERS, VOID
 from pageloom.operators.images import uris_by_page
 from pageloom.operators.parse import NODE_TYPE
@@ -41,7 +42,8 @@ def _backward(until: int):
 def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
     """One row per page with its status, and ``nodes`` cut to the root.
 
-    Status: ok, failed (not parsed), missing (no html), challenge, no_content (no root).
+    Status: failed (not parsed), missing (no html), no_content (no root), and of pages that
+    have content challenge (by the title) or ok.
     """
     nodes = F.col("nodes")
     seen = parsed.select(
@@ -53,8 +55,8 @@ def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
     status = (
         F.when(F.col("parse_error").isNotNull(), "failed")
         .when(nodes.isNull(), "missing")
-        .when(F.col("title").contains(rules.challenge_title), "challenge")
         .when(F.col("root").isNull(), "no_content")
+        .when(F.col("title").contains(rules.challenge_title), "challenge")
         .otherwise("ok")
     )
     kept = [c for c in parsed.columns if c not in ("nodes", "parse_error")]
@@ -63,7 +65,7 @@ def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
         .select(
             *kept, "title", "status", "has_mathjax",
             F.col("root.pre").alias("root_pre"),
-            F.when(F.col("status").isin("ok", "challenge"), dom.subtree(nodes, F.col("root"))).alias("nodes"),
+            F.when(F.col("status").isin(*WITH_DOCUMENT), dom.subtree(nodes, F.col("root"))).alias("nodes"),
         )
     )
 
@@ -277,7 +279,7 @@ def _serialize(rows: DataFrame, rules: CleanRules, standalone: bool) -> DataFram
             F.when(F.col("root_tag") == "body", content).otherwise(F.concat(F.lit("<body>"), content, F.lit("</body>"))),
             F.lit("</html>"),
         )
-    ok = page["status"].isin("ok", "challenge") & F.col("root_tag").isNotNull()
+    ok = page["status"].isin(*WITH_DOCUMENT) & F.col("root_tag").isNotNull()
     return grouped.select(
         "page_id",
         "page.*",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.operators.bundle import bundle_name, bundle_parts, failed_members, last_writer_wins
+from pageloom.operators.bundle import WITH_DOCUMENT, bundle_members, bundle_name, bundle_parts, failed_members, last_writer_wins
 from pageloom.operators.clean import clean_pages
 from pageloom.operators.crawl import crawl
 from pageloom.operators.parse import parse_pages
@@ -24,8 +24,13 @@ class RunResult:
     outcomes: DataFrame   # one row per wanted page, whatever became of it
     documents: DataFrame  # the last document per file_key
     bundles: DataFrame    # the documents of the subject, in crawl order
-    failed: DataFrame     # A3: what did not make it
+    failed: DataFrame     # A3: the pages that no document came of
     name: str             # A4: the bundle's name, from the time of the run
+    subject: str          # A4: the key of the bundle
+
+    def members(self) -> DataFrame:
+        """A2 for documents of any size: (subject, member, start, length, rank, file_key), without their bodies."""
+        return bundle_members(self.documents.withColumn("subject", F.lit(self.subject)), "subject", ["rank", "file_key"], "clean_html")
 
 
 def _outcomes(fetched: DataFrame, rules: CleanRules, images: DataFrame | None) -> DataFrame:
@@ -102,9 +107,9 @@ def run_bulk(
         )
         outcomes = outcomes.unionByName(given_up, allowMissingColumns=True)
     outcomes = stage(outcomes, "outcomes")
-    documents = last_writer_wins(outcomes.filter("status IN ('ok', 'challenge') AND clean_html IS NOT NULL"))
-    subject = F.lit("-".join(urls.keyword_list(spark, seed, profile)))
-    bundles = bundle_parts(documents.withColumn("subject", subject), "subject", "rank", "clean_html", width)
+    documents = last_writer_wins(outcomes.filter(F.col("status").isin(*WITH_DOCUMENT)))
+    subject = "-".join(urls.keyword_list(spark, seed, profile))
+    bundles = bundle_parts(documents.withColumn("subject", F.lit(subject)), "subject", "rank", "clean_html", width, first=1)
     at = F.current_timestamp() if run_time is None else F.lit(run_time)
     name = spark.range(1).select(bundle_name(at)).first()[0]
-    return RunResult(outcomes, documents, bundles, failed_members(outcomes), name)
+    return RunResult(outcomes, documents, bundles, failed_members(outcomes), name, subject)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.operators.bundle import bundle_members
+
 ROWS_PER_FILE = 100_000
 
 
@@ -43,3 +45,24 @@ def write_bundles(
     parts, folder = _shelved(parts, key, folders)
     ordered = parts.repartitionByRange(folder, key, "part").sortWithinPartitions(folder, key, "part")
     ordered.write.mode(mode).format(fmt).partitionBy(folder).save(path)
+
+
+def write_indexed(docs: DataFrame, path: str, key: str, order: list[str], body: str) -> None:
+    """S7 for bundles of any size: one document per row in bundle order, and the index of ``bundle_members``.
+
+    Range partitions split a large bundle over tasks; the index holds no bodies.
+    """
+    ordered = docs.select(key, *order, body).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    ordered.write.parquet(f"{path}/members")
+    bundle_members(docs, key, order, body).repartitionByRange(key, "start").sortWithinPartitions(key, "start").write.parquet(f"{path}/index")
+
+
+def read_indexed(spark: SparkSession, path: str, key: str, value: str, order: list[str], start: int = 0, stop: int | None = None) -> DataFrame:
+    """The members of one bundle that hold bytes from ``start`` up to ``stop``: (*order, member, start, length, body).
+
+    Key and offsets reach the scan of the index, the key that of the members.
+    """
+    index = spark.read.parquet(f"{path}/index").filter(F.col(key) == value).filter(F.col("start") + F.col("length") > start)
+    if stop is not None:
+        index = index.filter(F.col("start") < stop)
+    return spark.read.parquet(f"{path}/members").filter(F.col(key) == value).join(index.drop(key), order)

@@ -121,6 +121,21 @@ def test_whole_run(spark):
     parts = result.bundles.orderBy("part").collect()
     assert [(r.subject, r.part, r.n_docs) for r in parts] == [("stack", 0, 1), ("stack", 1, 1)]
     assert "<p>P1</p>" in parts[0].body and "<p>P2</p>" in parts[1].body
+    members = result.members().orderBy("member").collect()
+    assert [(r.member, r.start, r.file_key) for r in members] == [(1, 0, key(1)), (2, members[0].length + 1, key(2))]
+
+
+def test_a_page_is_a_document_or_failed(spark):
+    """Nobody is in the bundle and on the failed list; a page whose title only looks like a challenge is a document."""
+    pages = page_table(spark, {"S": ["P1", "P2", "P3", "P4", "P7"], "P1": [], "P2": [], "P3": [], "P4": []})
+    html = (F.when(F.col("url").contains("-p2"), "<title>Just a moment of inertia</title><div class='entry-content'><p>hello</p></div>")
+            .when(F.col("url").contains("-p3"), "<title>Just a moment...</title>").when(F.col("url").contains("-p4"), None).otherwise(F.col("html")))
+    run = run_bulk(pages.withColumn("html", html), SEED)
+    made, failed = ({r.file_key for r in df.collect()} for df in (run.documents, run.failed))
+    key = "stack-questions-answers-p{}".format
+    assert made == {key(1), key(2)} and failed == {key(3), key(4), key(7)}
+    assert {r.file_key: r.status for r in run.outcomes.collect()}[key(2)] == "challenge"
+    assert made | failed == {r.file_key for r in run.outcomes.collect()}
 
 
 def test_single_pages(spark):

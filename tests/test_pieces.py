@@ -70,6 +70,28 @@ def test_last_writer_and_parts(spark):
     assert "\n".join(r.body for r in parts).split("\n") == [str(i) for i in range(0, 1000, 3)]
 
 
+def test_members_have_offsets(spark, tmp_path):
+    """A key with most documents lies in several partitions; multi-byte, empty and null bodies count in bytes."""
+    docs = spark.range(3000).select(
+        (F.col("id") * 7919 % 3001).alias("rank"), F.when(F.col("id") % 10 != 0, "hot").when(F.col("id") % 20 == 0, None).otherwise(F.col("id").cast("string")).alias("file_key"),
+        F.expr("CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'é' ELSE repeat('x', int(id % 50)) END").alias("body"),
+    )
+    rows = sorted((r.file_key or "", r.rank, len((r.body or "").encode())) for r in docs.collect())
+    got = bundle.bundle_members(docs, "file_key", ["rank"], "body").collect()
+    assert {(r.file_key or "", r.rank, r.length) for r in got} == set(rows) and len(got) == len(rows)
+    at, nth = {}, {}
+    want = {}
+    for k, rank, length in rows:
+        want[k, rank] = nth.get(k, 0) + 1, at.get(k, 0)
+        nth[k], at[k] = nth.get(k, 0) + 1, at.get(k, 0) + length + 1
+    assert {(r.file_key or "", r.rank): (r.member, r.start) for r in got} == want
+
+    sinks.write_indexed(docs, str(tmp_path / "i"), "file_key", ["rank"], "body")
+    hot = [(rank, *want[k, rank], length) for k, rank, length in rows if k == "hot"]
+    part = sinks.read_indexed(spark, str(tmp_path / "i"), "file_key", "hot", ["rank"], 1000, 1500).collect()
+    assert sorted((r.rank, r.member, r.start, r.length) for r in part) == [h for h in hot if h[2] + h[3] > 1000 and h[2] < 1500]
+
+
 def test_empty_inputs_keep_their_schema(spark):
     none = spark.createDataFrame([], "rank long, file_key string, url string, status string, body string")
     assert bundle.run_statistics(none).collect() == []
