@@ -21,7 +21,7 @@ from pageloom.operators.links import link_edges, page_links, with_norm_url
 from pageloom.operators.parse import node_table, parse_pages
 from pageloom.plans.runs import clean_typed, run_bulk
 from pageloom.session import stage, stage_folder
-from pageloom.sources import assets, sinks
+from pageloom.sources import assets, layout, sinks
 from pageloom.sources.pages import fetch_pages, read_pages, resolve_attempts, spread_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,6 +380,29 @@ def fetch_by_url(spark, sf_dir):
     return fetched.select("url", "page_id", F.md5("html").alias("html_md5"))
 
 
+def clustered(pages):
+    path = f"{stage_folder(pages.sparkSession)}/clustered-{uuid.uuid4().hex}"
+    layout.write_clustered(pages, path)
+    return layout.read_clustered(pages.sparkSession, path)
+
+
+@query
+def fetch_clustered(spark, sf_dir):
+    """Pages with shuffled ids, laid out by URL, then every address looked up; every fifth also one that is not stored"""
+    pages = stored_pages(spark, sf_dir).withColumn("page_id", F.expr(shapes.SHUFFLED_ID))
+    asked = pages.select(urls.normalize(F.col("url")).alias("norm_url"), F.col("page_id").alias("rank"))
+    absent = asked.filter("rank % 5 = 0").select(F.concat("norm_url", F.lit("/absent")).alias("norm_url"), "rank")
+    wanted = asked.unionByName(absent).groupBy("norm_url").agg(F.min("rank").alias("rank")).withColumn("depth", F.lit(0))
+    return fetch_pages(wanted, clustered(pages)).select("url", "page_id", "rank", F.md5("html").alias("html_md5"))
+
+
+@query
+def crawl_clustered(spark, sf_dir):
+    """G1, G2 over pages laid out by URL"""
+    found = crawl(clustered(site_pages(spark, sf_dir)), shapes.SEED).pages
+    return found.select("norm_url", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def single_pages(spark, sf_dir):
     """URLs as typed, stored or not"""

@@ -137,3 +137,5 @@ TYPED_URL = """CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '#sec' ELSE u
 # The tries to get page i of the derived site.
 OUTCOMES = """CASE doc_id % 7 WHEN 3 THEN array('error', 'error', 'error', 'ok') WHEN 2 THEN array('rejected', 'ok')
   WHEN 1 THEN array('error', 'error', 'ok') ELSE array('ok') END"""
+# Ids that do not follow the URLs: an odd factor takes the numbers below 2^32 to each other.
+SHUFFLED_ID = "page_id * 2654435761 % 4294967296"

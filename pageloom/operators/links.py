@@ -57,14 +57,57 @@ def id_ranges(ids: DataFrame, ranges: int = RANGES) -> Column:
     return reduce(Column.__or__, (F.col("page_id").between(s.low, s.high) for s in spans))
 
 
-def with_html(chosen: DataFrame, pages: DataFrame) -> DataFrame:
-    """A staged table of pages with their html, which only this scan reads."""
-    html = pages.select("page_id", "html").filter(id_ranges(chosen))
+# Single URLs that a scan is asked for one by one, so that it can use Bloom filters; Spark hands
+# lists of at most ten to the Parquet reader as they are.
+POINTS, PER_LIST = 200, 10
+# Longer URLs are cut in the ranges, below for the smallest, open above for the largest.
+LONGEST_BOUND = 1000
+
+
+def url_ranges(wanted: DataFrame, ranges: int = RANGES, points: int = POINTS) -> Column:
+    """A test on ``norm_url`` that holds for all of ``wanted`` and that a scan can use to skip row groups.
+
+    Few URLs are named one by one, more by ranges of about as many wanted URLs each; at most
+    ``points`` URLs or ``ranges`` pairs come to the driver.
+    """
+    url = F.col("norm_url")
+    few = [r.norm_url for r in wanted.select(F.left(url, F.lit(LONGEST_BOUND + 1)).alias("norm_url")).filter("norm_url IS NOT NULL").limit(points + 1).collect()]
+    if not few:
+        return F.lit(False)
+    if len(few) <= points and max(map(len, few)) <= LONGEST_BOUND:
+        few = sorted(set(few))
+        return reduce(Column.__or__, (url.isin(few[i : i + PER_LIST]) for i in range(0, len(few), PER_LIST)))
+    spans = (
+        wanted.select("norm_url").filter("norm_url IS NOT NULL").repartitionByRange(ranges, "norm_url")
+        .groupBy(F.spark_partition_id().alias("part")).agg(F.min("norm_url").alias("low"), F.max("norm_url").alias("high"))
+        .select(F.left("low", F.lit(LONGEST_BOUND)).alias("low"), F.when(F.length("high") <= LONGEST_BOUND, F.col("high")).alias("high"))
+        .collect()
+    )
+    return reduce(Column.__or__, ((url >= s.low) & (F.lit(True) if s.high is None else url <= s.high) for s in spans))
+
+
+def with_html(chosen: DataFrame, pages: DataFrame, near: Column | None = None) -> DataFrame:
+    """A staged table of pages with their html, which only this scan reads.
+
+    ``near`` is a test on the stored pages that holds for all of ``chosen``; ranges of
+    ``page_id`` unless given.
+    """
+    html = pages.filter(id_ranges(chosen) if near is None else near).select("page_id", "html")
     return chosen.join(html, "page_id")
 
 
+def is_clustered(pages: DataFrame) -> bool:
+    """Whether the normalized URL is stored, as ``sources.layout`` does it."""
+    return "norm_url" in pages.columns
+
+
 def with_norm_url(pages: DataFrame) -> DataFrame:
-    return bind(pages, norm_url=urls.normalize(F.col("url")))
+    return pages if is_clustered(pages) else bind(pages, norm_url=urls.normalize(F.col("url")))
+
+
+def addresses(pages: DataFrame) -> DataFrame:
+    """(page_id, url, norm_url) of the stored pages, from a scan that reads no html."""
+    return with_norm_url(pages.drop("html")).select("page_id", "url", "norm_url")
 
 
 def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()) -> tuple[DataFrame, DataFrame]:
@@ -76,11 +119,12 @@ def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()
     listing, link, norm = F.lit(seed), F.col("abs_url"), F.col("norm_url")
     seed_norm = urls.normalize(listing)
     keywords = urls.keyword_list(pages.sparkSession, seed, profile)
-    readable = with_norm_url(pages.select("page_id", "url")).filter(
+    readable = addresses(pages).filter(
         (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
     )
     stored = stage(first_snapshots(readable), "listings")
-    parsed = parse_pages(with_html(stored.withColumnRenamed("norm_url", "url"), pages))
+    near = url_ranges(stored) if is_clustered(pages) else None
+    parsed = parse_pages(with_html(stored, pages, near).withColumnRenamed("norm_url", "url"))
     links = page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url")
     parts = bind(links, netloc=urls.netloc(link), path=urls.path(link))
     netloc, path = F.col("netloc"), F.col("path")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.functions.bind import bind
-from pageloom.operators.links import first_snapshots, with_html
+from pageloom.operators.links import addresses, first_snapshots, is_clustered, url_ranges, with_html
 from pageloom.profile import MAX_ATTEMPTS
 from pageloom.session import stage
 
@@ -36,15 +36,26 @@ def fetch_pages(
     nearly all others; without it every stored page is considered. ``address`` makes the
     ``norm_url`` of a stored URL. Only one snapshot per URL is taken before any html is
     read. Without a stored page ``page_id`` and ``html`` are null.
+
+    On pages clustered by URL (``sources.layout``) both scans skip what lies far from the
+    wanted URLs; on others the html scan skips by ``page_id``.
     """
-    stored = bind(pages.select("page_id", "url"), norm_url=address(F.col("url")))
+    stored, near = pages, None
+    if is_clustered(pages):
+        wanted = stage(wanted, "asked")
+        sought = wanted.select("norm_url") if address is urls.normalize else wanted.select(urls.normalize(F.col("norm_url")).alias("norm_url"))
+        near = url_ranges(sought)
+        stored = stored.filter(near)
+    stored = addresses(stored)
+    if address is not urls.normalize:
+        stored = bind(stored.drop("norm_url"), norm_url=address(F.col("url")))
     if likely is not None:
         stored = stored.filter(likely)
     chosen = stage(
         wanted.join(first_snapshots(stored.select("page_id", "norm_url")), "norm_url", "left"), "wanted"
     )
     listed = ("page_id", F.col("norm_url").alias("url"), "depth", "rank")
-    present = with_html(chosen.filter("page_id IS NOT NULL"), pages)
+    present = with_html(chosen.filter("page_id IS NOT NULL"), pages, near)
     missing = chosen.filter("page_id IS NULL")
     return present.select(*listed, "html").unionByName(
         missing.select(*listed, F.lit(None).cast("string").alias("html"))
