@@ -1,24 +1,20 @@
-"""Cut a page down to its content with rules over node rows.
+"""Cut a page down to its content, inside the page's row.
 
-Pages are shuffled once, by page_id. Everything after that is windows over one page:
-
-* "inside a removed element": the running maximum of ``last`` over removed rows, in
-  document order, reaches the row;
-* "the subtree holds an x": the next x after ``pre``, found in reverse order, is not
-  past ``last``.
-
-Rows are never dropped between rules, only marked dead: intervals stay whole.
+What a node shows about itself becomes a few marks per node; ``operators.tree`` turns them into
+the nodes that stay and the order in which they are written; the markup is put together from the
+page's own array. Nothing is shuffled or sorted, and no page is unfolded into rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import dom, urls
 from pageloom.functions.text import (
     escape_text, has_any_token, has_token, is_blank, quote_attribute, starts_with_any, strip,
 )
+from pageloom.operators import tree
 from pageloom.operators.bundle import WITH_DOCUMENT
 from pageloom.operators.htmltree import STRING_CONTAINERS, VOID
 from pageloom.operators.images import uris_by_page
@@ -30,14 +26,6 @@ from pageloom.session import stage
 CONTAINERS = sorted(STRING_CONTAINERS)
 UNESCAPED = ("script", "style")
 
-def _forward():
-    return Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _backward(until: int):
-    """The rows after this one, in reverse order, up to and including ``until``."""
-    return Window.partitionBy("page_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, until)
-
 
 def with_content(parsed: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
     """One row per page with its status, and ``nodes`` cut to the root.
@@ -123,108 +111,51 @@ def _attributes(attrs: Column) -> Column:
     )
 
 
-def _node_rows(pages: DataFrame, rules: CleanRules, embed: bool) -> DataFrame:
-    """Unfold the nodes; whatever a node shows about itself is settled here
-    (C1, C2, C4, C6, C7, C9, I2). Attributes end here, so the sorts below move short rows.
-
-    ``family`` ties an ``a`` to the element that holds it and all others to themselves.
-    """
-    rows = pages.select(
-        "page_id", "root_pre",
-        F.struct([c for c in pages.columns if c not in ("page_id", "nodes", "root_pre")]).alias("page"),
-        F.explode_outer("nodes").alias("n"),
-    ).select("page_id", "root_pre", "page", "n.*")
-    tag, kind, attrs, text = F.col("tag"), F.col("kind"), F.col("attrs"), F.col("text")
-    is_root = F.coalesce(F.col("pre") == F.col("root_pre"), F.lit(True))
-    element = F.coalesce(kind == "element", F.lit(False))
-    judged = element & ~is_root & ~F.coalesce(tag.isin(*rules.protected_tags), F.lit(False))
-    banned = F.coalesce(
-        tag.isin(*rules.removed_tags)
-        | F.coalesce(attrs["id"].isin(*rules.removed_ids), F.lit(False))
-        | has_any_token(attrs["class"], rules.removed_classes),
-        F.lit(False),
-    )
-    image = F.coalesce(tag == "img", F.lit(False))
-    dead = (kind == "unwrapped") | (image & _is_lazy(rows, rules))
-    if embed:
-        dead = dead | (dom.is_image_task(rows, rules.lazy_class) & text.isNull())
-    written = (
-        F.when(is_root, "")
-        .when(image & text.isNotNull(), F.concat(F.lit(" src="), quote_attribute(text)))
-        .when(tag.isin(*rules.attribute_tags, *rules.protected_tags), _attributes(attrs))
-        .otherwise("")
-    )
-    void = tag.isin(*sorted(VOID))
-    opening = F.concat(F.lit("<"), tag, written, F.when(void, "/>").otherwise(">"))
-    closing = F.when(element & ~void, F.concat(F.lit("</"), tag, F.lit(">"))).otherwise("")
-    return rows.select(
-        "page_id", "pre", "last", "kind", "tag",
-        F.when(tag == "a", F.col("parent")).otherwise(F.col("pre")).alias("family"),
-        F.when(is_root, F.col("page")).alias("page"),
-        F.coalesce(~dead, F.lit(False)).alias("alive"),
-        element.alias("element"),
-        judged.alias("judged"),
-        banned.alias("banned"),
-        F.coalesce(starts_with_any(text, rules.removed_text_prefixes), F.lit(False)).alias("boilerplate"),
-        F.coalesce(is_blank(text), F.lit(False)).alias("blank"),
-        F.when(element, opening).otherwise(text).alias("body"),
-        closing.alias("closing"),
-    )
-
-
-def _own_kind(tag: Column) -> Column:
-    """The kind of strings that count as an element's text."""
-    return F.when(tag.isin(*CONTAINERS), tag).otherwise("text")
-
+def _is_boilerplate(n: Column, rules: CleanRules) -> Column:
+    return F.coalesce(starts_with_any(n["text"], rules.removed_text_prefixes), F.lit(False))
 
-def _drop_covered(rows: DataFrame, condition: Column) -> DataFrame:
-    """Kill the rows that meet the condition and everything inside them."""
-    reach = F.max(F.when(condition, F.col("last"))).over(_forward())
-    return rows.withColumn("alive", F.col("alive") & (F.coalesce(reach, F.lit(-1)) < F.col("pre")))
 
+def _node_marks(pages: DataFrame, rules: CleanRules, embed: bool) -> Column:
+    """Whatever a node shows about itself (C1, C4, C6, C7, C9, I2), for ``tree.kept``."""
+    root_pre = F.col("root_pre")
+    containers = F.array(*[F.lit(c) for c in CONTAINERS])
 
-def _remove_unwanted(rows: DataFrame) -> DataFrame:
-    """C4-C8 and C10."""
-    pre, last, alive = F.col("pre"), F.col("last"), F.col("alive")
-    rows = rows.withColumn(
-        "holds_link", F.max(F.col("tag") == "a").over(Window.partitionBy("page_id", "family"))
-    )
-    rows = rows.withColumn("next_alive", F.min(F.when(alive, pre)).over(_backward(-1)))
-    leaf = alive & (F.coalesce(F.col("next_alive"), last + 1) > last)
-    rows = rows.withColumn("leaf", leaf)
-    rows = rows.withColumn("next_leaf", F.min(F.when(F.col("leaf"), pre)).over(_backward(-1)))
-    rows = rows.withColumn(
-        "first_leaf",
-        F.last(F.when(F.col("leaf"), F.struct("kind", "boilerplate", "next_leaf")), True).over(_backward(0)),
-    )
-    first = F.col("first_leaf")
-    single_string = (first["kind"] == _own_kind(F.col("tag"))) & (F.coalesce(first["next_leaf"], last + 1) > last)
-    unwanted = (
-        alive & F.col("judged")
-        & (F.col("banned") | F.coalesce(F.col("holds_link"), F.lit(False))
-           | F.coalesce(single_string & first["boilerplate"], F.lit(False)))
-    )
-    return _drop_covered(rows, unwanted).drop("holds_link", "next_alive", "leaf", "next_leaf", "first_leaf", "banned", "family")
-
+    def marks(n):
+        tag, kind, attrs, text = n["tag"], n["kind"], n["attrs"], n["text"]
+        element = kind == "element"
+        image = F.coalesce(tag == "img", F.lit(False))
+        dead = (kind == "unwrapped") | (image & _is_lazy(n, rules))
+        if embed:
+            dead = dead | (dom.is_image_task(n, rules.lazy_class) & text.isNull())
+        banned = (
+            tag.isin(*rules.removed_tags)
+            | F.coalesce(attrs["id"].isin(*rules.removed_ids), F.lit(False))
+            | has_any_token(attrs["class"], rules.removed_classes)
+        )
+        tests = {
+            "alive": ~dead,
+            "judged": element & (n["pre"] != root_pre) & ~F.coalesce(tag.isin(*rules.protected_tags), F.lit(False)),
+            "banned": element & banned,
+            "boilerplate": _is_boilerplate(n, rules),
+            "blank": is_blank(text),
+            "link": tag == "a",
+            "image": image,
+            "closes": element & ~tag.isin(*sorted(VOID)),
+        }
+        bits = sum(
+            (F.when(F.coalesce(test, F.lit(False)), tree.BIT[name]).otherwise(0) for name, test in tests.items()), F.lit(0)
+        )
+        # 1 is plain text, then the containers; nodes that are no string have 0, which is nobody's own kind.
+        place = F.coalesce(F.array_position(containers, kind), F.lit(0)).cast("int")
+        of_kind = F.when(place > 0, place + 1).when(kind == "text", 1).otherwise(0)
+        own = F.coalesce(F.array_position(containers, tag), F.lit(0)).cast("int") + 1
+        return bits + F.shiftleft(of_kind, tree.KIND_SHIFT) + F.shiftleft(own, tree.OWN_SHIFT)
 
-def _remove_empty(rows: DataFrame) -> DataFrame:
-    """No text of its own kind and no image below."""
-    pre, alive, kind = F.col("pre"), F.col("alive"), F.col("kind")
-    following = {
-        k: F.min(F.when(alive & (kind == k) & ~F.col("blank"), pre)).over(_backward(-1)) for k in ("text", *CONTAINERS)
-    }
-    rows = rows.select(
-        "*",
-        F.min(F.when(alive & (F.col("tag") == "img"), pre)).over(_backward(-1)).alias("next_img"),
-        *[c.alias(f"next_{k}") for k, c in following.items()],
-    )
-    own = F.col("next_text")
-    for k in CONTAINERS:
-        own = F.when(F.col("tag") == k, F.col(f"next_{k}")).otherwise(own)
-    filled = (F.coalesce(own <= F.col("last"), F.lit(False))
-              | F.coalesce(F.col("next_img") <= F.col("last"), F.lit(False)))
-    rows = _drop_covered(rows, alive & F.col("judged") & ~filled)
-    return rows.drop("next_img", *[f"next_{k}" for k in following], "judged", "blank")
+    return F.transform("nodes", lambda n: F.struct(
+        (n["last"] - root_pre).alias("last"),
+        F.greatest(n["parent"] - root_pre, F.lit(-1)).alias("parent"),
+        marks(n).alias("marks"),
+    ))
 
 
 def head_markup(has_mathjax: Column, rules: CleanRules) -> Column:
@@ -240,51 +171,50 @@ def head_markup(has_mathjax: Column, rules: CleanRules) -> Column:
     return F.concat(F.lit(f"<head>{style}"), F.when(has_mathjax, math).otherwise(""), F.lit("</head>"))
 
 
-def _serialize(rows: DataFrame, rules: CleanRules, standalone: bool) -> DataFrame:
-    """One row per page again."""
-    kind, alive = F.col("kind"), F.col("alive")
-    body = F.when(F.col("boilerplate") & ~F.col("element"), "").otherwise(F.col("body"))
-    markup = (
-        F.when(F.col("element") | kind.isin(*UNESCAPED), body)
-        .when(kind == "comment", F.when(body == "", "").otherwise(F.concat(F.lit("<!--"), body, F.lit("-->"))))
-        .otherwise(escape_text(body))
-    )
-    words = F.when(kind == "text", strip(body))
-    grouped = rows.groupBy("page_id").agg(
-        F.max("page").alias("page"),
-        F.first(F.when(F.col("page").isNotNull(), F.col("tag")), True).alias("root_tag"),
-        F.collect_list(
-            F.when(alive, F.struct("pre", "last", markup.alias("markup"), "closing", words.alias("words")))
-        ).alias("pieces"),
-    )
-    # A closing tag follows the last node of its subtree; of several, the innermost first.
-    def at(position, turn):
-        return (F.shiftleft(position.cast("bigint"), 32) + turn).alias("at")
-
-    opened = F.transform("pieces", lambda p: F.struct(at(p["pre"], F.lit(0)), p["markup"].alias("token")))
-    closed = F.transform(
-        F.filter("pieces", lambda p: p["closing"] != ""),
-        lambda p: F.struct(at(p["last"], F.lit(2**31) - p["pre"]), p["closing"].alias("token")),
-    )
-    content = F.array_join(F.transform(F.array_sort(F.concat(opened, closed)), lambda t: t["token"]), "")
-    said = F.filter("pieces", lambda p: p["words"] != "")
-    texts = F.transform(
-        F.array_sort(F.transform(said, lambda p: F.struct(p["pre"], p["words"].alias("words")))), lambda p: p["words"]
+def _opening(n: Column, root_pre: Column, rules: CleanRules) -> Column:
+    """What a node that stays writes before its content."""
+    tag, kind, text = n["tag"], n["kind"], n["text"]
+    written = (
+        F.when(n["pre"] == root_pre, "")
+        .when((tag == "img") & text.isNotNull(), F.concat(F.lit(" src="), quote_attribute(text)))
+        .when(tag.isin(*rules.attribute_tags, *rules.protected_tags), _attributes(n["attrs"]))
+        .otherwise("")
     )
-    page = F.col("page")
+    end = F.when(tag.isin(*sorted(VOID)), "/>").otherwise(">")
+    return (
+        F.when(kind == "element", F.concat(F.lit("<"), tag, written, end))
+        .when(_is_boilerplate(n, rules), "")
+        .when(kind.isin(*UNESCAPED), text)
+        .when(kind == "comment", F.when(text == "", "").otherwise(F.concat(F.lit("<!--"), text, F.lit("-->"))))
+        .otherwise(escape_text(text))
+    )
+
+
+def _serialize(pages: DataFrame, rules: CleanRules, standalone: bool) -> DataFrame:
+    """C12, C14-C16 from ``order``, which is null where there is no document."""
+    nodes, order, root_pre = F.col("nodes"), F.col("order"), F.col("root_pre")
+    placed = F.transform(order, lambda o: F.struct(
+        (o < 0).alias("ends"), F.get(nodes, F.when(o < 0, -1 - o).otherwise(o)).alias("n")
+    ))
+    content = F.array_join(F.transform(placed, lambda p: F.when(
+        p["ends"], F.concat(F.lit("</"), p["n"]["tag"], F.lit(">"))
+    ).otherwise(_opening(p["n"], root_pre, rules))), "")
+    said = F.filter(placed, lambda p: (p["n"]["kind"] == "text") & ~_is_boilerplate(p["n"], rules))
+    texts = F.filter(F.transform(said, lambda p: strip(p["n"]["text"])), lambda t: t != "")
     html = content
     if standalone:
+        whole = F.get(nodes, F.lit(0))["tag"] == "body"
         html = F.concat(
-            F.lit("<!DOCTYPE html><html>"), head_markup(page["has_mathjax"], rules),
-            F.when(F.col("root_tag") == "body", content).otherwise(F.concat(F.lit("<body>"), content, F.lit("</body>"))),
+            F.lit("<!DOCTYPE html><html>"), head_markup(F.col("has_mathjax"), rules),
+            F.when(whole, content).otherwise(F.concat(F.lit("<body>"), content, F.lit("</body>"))),
             F.lit("</html>"),
         )
-    ok = page["status"].isin(*WITH_DOCUMENT) & F.col("root_tag").isNotNull()
-    return grouped.select(
+    kept = [c for c in pages.columns if c not in ("page_id", "nodes", "root_pre", "order")]
+    return pages.select(
         "page_id",
-        "page.*",
-        F.when(ok, html).alias("clean_html"),
-        F.when(ok, F.array_join(texts, rules.text_separator)).alias("clean_text"),
+        *kept,
+        F.when(order.isNotNull(), html).alias("clean_html"),
+        F.when(order.isNotNull(), F.array_join(texts, rules.text_separator)).alias("clean_text"),
     )
 
 
@@ -304,14 +234,11 @@ def clean_pages(
     the content root unwrapped. ``page_id`` must be unique.
     """
     pages = with_content(parsed, rules).withColumn("file_key", urls.file_key(F.col("url")))
-    if images is None:
-        pages = pages.repartition("page_id")
-    else:
+    if images is not None:
         # Read twice, by the references and by the rules: do not parse twice.
         pages = stage(pages, "content")
         uris = uris_by_page(pages, images, rules, hot_rows)
-        pages = _place_uris(pages.repartition("page_id").join(uris, "page_id", "left"), rules)
-    # Shuffled once by page_id; all windows keep to that.
+        pages = _place_uris(pages.join(uris, "page_id", "left"), rules)
     pages = _unwrap_noscripts(pages, rules)
-    rows = _remove_empty(_remove_unwanted(_node_rows(pages, rules, embed=images is not None)))
-    return _serialize(rows, rules, standalone)
+    marked = pages.withColumn("order", tree.kept_order(_node_marks(pages, rules, embed=images is not None)))
+    return _serialize(marked, rules, standalone)

@@ -1,10 +1,13 @@
 """Random pages through the Spark rules and through the plain tree walk."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from pageloom import CleanRules
+from pageloom.operators import tree
 from pageloom.operators.clean import clean_pages
 from pageloom.operators.parse import parse_pages
 from pageloom.sources.assets import accept_images
@@ -49,3 +52,28 @@ def test_random_pages(spark, embed):
         if (got[i].clean_html, got[i].clean_text) != want:
             wrong.append((source, got[i].clean_html, want[0]))
     assert not wrong, (len(wrong), min(wrong, key=lambda w: len(w[0])))
+
+
+def test_large_pages_stay_linear():
+    """A chain, a flat row and a comb of a million nodes are judged in a few steps over arrays."""
+    n = 1_000_000
+    element = tree.BIT["alive"] | tree.BIT["judged"] | tree.BIT["closes"] | (1 << tree.OWN_SHIFT)
+    string = tree.BIT["alive"] | (1 << tree.KIND_SHIFT) | (1 << tree.OWN_SHIFT)
+    at = np.arange(n)
+    shapes = {
+        "chain": (np.full(n, n - 1), at - 1, n),
+        "flat": (np.where(at == 0, n - 1, at), np.where(at == 0, -1, 0), 2),
+        "comb": (np.where(at % 2 == 0, n - 1, at), np.where(at % 2 == 0, at - 2, at - 1), n // 2 + 1),
+    }
+    started = time.perf_counter()
+    for last, parent, stay in shapes.values():
+        marks = np.full(n, element)
+        assert not tree.kept(last, parent, marks).any()  # elements without content, all judged
+        marks[-1] = string
+        alive = tree.kept(last, parent, marks)
+        assert alive[-1] and alive.sum() == stay
+        closes = (marks & tree.BIT["closes"]) > 0
+        order = tree.written_order(alive, closes, last)
+        assert len(order) == stay + (alive & closes).sum() and order[0] == 0
+        assert (order[-(stay - 1) :] < 0).all()  # the string comes last, then every element that holds it ends
+    assert time.perf_counter() - started < 20

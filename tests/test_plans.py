@@ -40,10 +40,11 @@ def test_links_do_not_shuffle_and_parse_reads_three_columns(pages):
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in text
 
 
-def test_cleaning_shuffles_once(pages):
-    df = clean_pages(parse_pages(pages))
-    assert len(shuffles(df)) == 1 and "page_id" in shuffles(df)[0]
-    assert plan(df).count("MapInArrow") == 1 and "Join" not in plan(df)
+def test_cleaning_stays_in_the_page(pages):
+    """No shuffle, no sort, no window, no rows per node; two passes through Python."""
+    text = plan(clean_pages(parse_pages(pages)))
+    assert text.count("MapInArrow") == 1 and text.count("ArrowEvalPython") == 1
+    assert not re.search("Exchange|Sort|Window|Generate|Join|Aggregate", text)
 
 
 def test_embedding_shuffles_pages_once(spark, pages):
