@@ -15,7 +15,7 @@ from pageloom import CleanRules, SiteProfile
 from pageloom.functions import dom, urls
 from pageloom.functions.bind import bind
 from pageloom.operators import bundle, images
-from pageloom.operators.clean import clean_pages, with_content
+from pageloom.operators.clean import clean_pages, clean_pieces, with_content
 from pageloom.operators.crawl import crawl
 from pageloom.operators.links import link_edges, page_links, with_norm_url
 from pageloom.operators.parse import node_table, parse_pages
@@ -308,6 +308,14 @@ def image_clean(spark, sf_dir):
     return cleaned.select("page_id", F.md5("clean_html").alias("html_md5"), F.length("clean_html").cast("bigint").alias("n_chars"))
 
 
+@query
+def image_pieces(spark, sf_dir):
+    """Documents in ordered pieces, contents kept once by their hash; no row holds two images"""
+    accepted = assets.acceptable_images(image_assets(spark, sf_dir), limit=shapes.IMAGE_LIMIT)
+    pieces = clean_pieces(parse_pages(image_pages(spark, sf_dir)), accepted, standalone=False).pieces()
+    return pieces.select("page_id", F.col("piece").cast("bigint").alias("piece"), F.md5("markup").alias("markup_md5"))
+
+
 # ---- crawl and whole runs --------------------------------------------------
 
 

@@ -7,6 +7,9 @@ page's own array. Nothing is shuffled or sorted, and no page is unfolded into ro
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from pageloom.functions.text import (
 from pageloom.operators import tree
 from pageloom.operators.bundle import WITH_DOCUMENT
 from pageloom.operators.htmltree import STRING_CONTAINERS, VOID
-from pageloom.operators.images import uris_by_page
+from pageloom.operators.images import assets_by_page, image_refs, shown_assets, with_uris
 from pageloom.operators.parse import NODE_TYPE
 from pageloom.operators.skew import HOT_ROWS
 from pageloom.profile import MATH_CONFIG, MATH_LIBRARY_URL, PAGE_STYLE, CleanRules
@@ -94,13 +97,16 @@ def _is_lazy(n: Column, rules: CleanRules) -> Column:
     return has_token(dom.attr(n, "class"), rules.lazy_class)
 
 
-def _place_uris(pages: DataFrame, rules: CleanRules) -> DataFrame:
-    """I1 inside the page's row: an embedded image carries its data URI as ``text``."""
-    nodes, uris = F.col("nodes"), F.col("uris")
-    placed = _rewrite(
-        nodes, text=lambda n: F.when(dom.is_image_task(n, rules.lazy_class), uris[n["pre"]]).otherwise(n["text"])
-    )
-    return pages.withColumn("nodes", F.when(uris.isNotNull(), placed).otherwise(nodes)).drop("uris")
+def _name_assets(pages: DataFrame, rules: CleanRules, mark: str) -> DataFrame:
+    """I1 inside the page's row: an embedded image carries its asset's name between two marks as ``text``."""
+    nodes, assets = F.col("nodes"), F.col("assets")
+
+    def named(n):
+        image = assets[n["pre"]]
+        return F.concat(F.lit(mark), image["asset"], F.lit(":"), F.coalesce(image["content_type"], F.lit("")), F.lit(mark))
+
+    placed = _rewrite(nodes, text=lambda n: F.when(dom.is_image_task(n, rules.lazy_class), named(n)).otherwise(n["text"]))
+    return pages.withColumn("nodes", F.when(assets.isNotNull(), placed).otherwise(nodes)).drop("assets")
 
 
 def _attributes(attrs: Column) -> Column:
@@ -176,7 +182,7 @@ def _opening(n: Column, root_pre: Column, rules: CleanRules) -> Column:
     tag, kind, text = n["tag"], n["kind"], n["text"]
     written = (
         F.when(n["pre"] == root_pre, "")
-        .when((tag == "img") & text.isNotNull(), F.concat(F.lit(" src="), quote_attribute(text)))
+        .when((tag == "img") & text.isNotNull(), F.concat(F.lit(" src="), text))
         .when(tag.isin(*rules.attribute_tags, *rules.protected_tags), _attributes(n["attrs"]))
         .otherwise("")
     )
@@ -218,6 +224,63 @@ def _serialize(pages: DataFrame, rules: CleanRules, standalone: bool) -> DataFra
     )
 
 
+def _cleaned(pages: DataFrame, rules: CleanRules, standalone: bool, embed: bool) -> DataFrame:
+    pages = _unwrap_noscripts(pages, rules)
+    marked = pages.withColumn("order", tree.kept_order(_node_marks(pages, rules, embed)))
+    return _serialize(marked, rules, standalone)
+
+
+@dataclass(frozen=True)
+class CleanPieces:
+    """Cleaned pages whose images are kept apart from their markup."""
+
+    pages: DataFrame   # staged: one row per page; ``clean_html`` names its images between marks
+    shown: DataFrame   # staged: the assets that pages show, by the hash of their content
+    mark: str
+    hot_rows: int
+
+    def _named(self) -> Column:
+        return F.coalesce(F.col("clean_html").contains(self.mark), F.lit(False))
+
+    def _split(self, keep: list[str]) -> DataFrame:
+        """Markup and images in turn; the columns to ``keep`` go with a page's first piece."""
+        first = F.struct(*keep) if keep else F.lit(None).cast("string")
+        split = self.pages.filter(self._named()).select("page_id", first.alias("page"), F.posexplode(F.split("clean_html", self.mark)).alias("piece", "markup"))
+        markup = split.filter("piece % 2 = 0").withColumn("page", F.when(F.col("piece") == 0, F.col("page")))
+        name = F.split("markup", ":", 2)
+        uses = split.filter("piece % 2 = 1").select("page_id", "piece", name[0].alias("asset"), name[1].alias("content_type"))
+        images = with_uris(uses, self.shown, ["page_id", "piece"], self.hot_rows)
+        return markup.unionByName(images.select("page_id", "piece", quote_attribute(F.col("data_uri")).alias("markup")), allowMissingColumns=True)
+
+    def pieces(self) -> DataFrame:
+        """(page_id, piece, markup): the documents in ordered pieces; a row holds markup or one image, never two."""
+        whole = self.pages.filter(~self._named() & F.col("clean_html").isNotNull())
+        return self._split([]).drop("page").unionByName(whole.select("page_id", F.lit(0).alias("piece"), F.col("clean_html").alias("markup")))
+
+    def whole(self) -> DataFrame:
+        """The pages with whole documents, each of which must fit one row."""
+        others = [c for c in self.pages.columns if c not in ("page_id", "clean_html")]
+        pieces = self._split(others).groupBy("page_id").agg(
+            F.first("page", True).alias("page"), F.array_sort(F.collect_list(F.struct("piece", "markup"))).alias("pieces")
+        )
+        html = F.array_join(F.transform("pieces", lambda p: p["markup"]), "")
+        joined = pieces.select("page_id", "page.*", html.alias("clean_html")).select(self.pages.columns)
+        return self.pages.filter(~self._named()).unionByName(joined)
+
+
+def clean_pieces(
+    parsed: DataFrame, images: DataFrame, rules: CleanRules = CleanRules(), standalone: bool = True, hot_rows: int = HOT_ROWS
+) -> CleanPieces:
+    """C17 with I1 for pages of any weight: what a page shows is named by the hash of its content
+    while the page is cleaned, and joined to it piece by piece."""
+    pages = stage(with_content(parsed, rules).withColumn("file_key", urls.file_key(F.col("url"))), "content")
+    refs = stage(image_refs(pages, rules), "image-refs")
+    shown = shown_assets(refs, images)
+    mark = uuid.uuid4().hex  # in no page
+    named = _name_assets(pages.join(assets_by_page(refs, shown, hot_rows), "page_id", "left"), rules, mark)
+    return CleanPieces(stage(_cleaned(named, rules, standalone, embed=True), "cleaned"), shown, mark, hot_rows)
+
+
 def clean_pages(
     parsed: DataFrame,
     rules: CleanRules = CleanRules(),
@@ -233,12 +296,7 @@ def clean_pages(
     embedded or dropped; left out, images stay as they are. ``standalone=False`` leaves
     the content root unwrapped. ``page_id`` must be unique.
     """
-    pages = with_content(parsed, rules).withColumn("file_key", urls.file_key(F.col("url")))
     if images is not None:
-        # Read twice, by the references and by the rules: do not parse twice.
-        pages = stage(pages, "content")
-        uris = uris_by_page(pages, images, rules, hot_rows)
-        pages = _place_uris(pages.join(uris, "page_id", "left"), rules)
-    pages = _unwrap_noscripts(pages, rules)
-    marked = pages.withColumn("order", tree.kept_order(_node_marks(pages, rules, embed=images is not None)))
-    return _serialize(marked, rules, standalone)
+        return clean_pieces(parsed, images, rules, standalone, hot_rows).whole()
+    pages = with_content(parsed, rules).withColumn("file_key", urls.file_key(F.col("url")))
+    return _cleaned(pages, rules, standalone, embed=False)

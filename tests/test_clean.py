@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom import CleanRules
-from pageloom.operators.clean import clean_pages
+from pageloom.operators.clean import clean_pages, clean_pieces
+from pageloom.operators.images import one_per_content
 from pageloom.operators.parse import parse_pages
-from pageloom.sources.assets import accept_images
+from pageloom.sources.assets import accept_images, acceptable_images
 
 IMG = "http://i/a.png"
 VECTORS = {
@@ -107,6 +108,28 @@ def test_hot_image_is_salted(spark):
     assert [(r[0], r[1]) for r in rows] == [('<article>t<img src="data:image/png;base64,AAE="/></article>', 300)]
 
 
+def test_images_are_kept_once_and_apart(spark):
+    """Only shown assets are staged, equal contents once; of assets with one URL the smallest type and hash counts;
+    no row of the pieces holds two images."""
+    size = 200_000
+    assets = [(f"http://i/{i}", "image/png", None, bytes([i // 2]) * size) for i in range(20)]
+    assets += [("http://i/0", "image/gif", None, b"g"), ("http://i/unused", "image/png", None, b"u"), ("http://i/bad", "text/html", None, b"t")]
+    assets = spark.createDataFrame(assets, "img_url string, content_type string, content_length long, payload binary")
+    shown = "".join(f'<p>{i}<img src="http://i/{i}"></p>' for i in range(20)) + '<img src="http://i/bad">'
+    rows = [(1, "u", f"<article>{shown}</article>"), (2, "u", "<article>plain</article>"), (3, "u", '<article><img src="http://i/3"></article>'), (4, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = clean_pieces(parse_pages(pages), acceptable_images(assets), standalone=False, hot_rows=2)
+    assert made.shown.count() == 21 and one_per_content(made.shown).count() == 11
+    pieces = sorted(made.pieces().collect(), key=lambda r: (r.page_id, r.piece))
+    assert max(len(r.markup) for r in pieces) < 1.4 * size and sum(len(r.markup) for r in pieces) > 20 * 1.3 * size
+    assert [r.piece for r in pieces if r.page_id == 1] == list(range(41))
+    joined = {i: "".join(r.markup for r in pieces if r.page_id == i) for i in (1, 2, 3)}
+    whole = {r.page_id: r.clean_html for r in made.whole().collect()}
+    assert whole == joined | {4: None}
+    assert joined[1].startswith('<article><p>0<img src="data:image/gif;base64,Zw=="/></p><p>1<img src="data:image/png;base64,AAAA')
+    assert joined[2] == "<article>plain</article>" and joined[3].count("data:image/png;base64,AQEB") == 1 and "bad" not in joined[1]
+
+
 def test_status_and_document(spark):
     math = '<script src="https://c/libs/mathjax/2.7.7/MathJax.js"></script>'
     rows = [

@@ -9,7 +9,6 @@ from pageloom import SiteProfile
 from pageloom.functions import urls
 from pageloom.operators.bundle import last_writer_wins
 from pageloom.operators.clean import clean_pages
-from pageloom.operators.images import embed_refs
 from pageloom.operators.links import page_links
 from pageloom.operators.parse import parse_pages
 from pageloom.sources.assets import accept_images, acceptable_images
@@ -47,32 +46,18 @@ def test_cleaning_stays_in_the_page(pages):
     assert not re.search("Exchange|Sort|Window|Generate|Join|Aggregate", text)
 
 
-def test_embedding_shuffles_pages_once(spark, pages):
-    """Without any broadcast: pages, references, assets and references by page."""
+def test_embedding_moves_an_image_once(spark, pages):
+    """Without any broadcast: contents by their hash, uses by the same, then the pieces of a page; no other shuffle."""
     assets = spark.createDataFrame(
         [("http://i/a", "image/png", 1, bytearray(b"a"))],
         "img_url string, content_type string, content_length long, payload binary")
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        moved = shuffles(clean_pages(parse_pages(pages), images=accept_images(assets)))
+        moved = shuffles(clean_pages(parse_pages(pages), images=acceptable_images(assets)))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert len([m for m in moved if "page_id" in m]) == 2
-    assert len([m for m in moved if "img_url" in m]) == 3
-    assert len(moved) == 5
-
-
-def test_only_shown_images_are_encoded(spark, tmp_path):
-    """The semi join with what pages refer to lies below the encoding."""
-    spark.createDataFrame(
-        [("http://i/a", "image/png", 1, bytearray(b"a"))],
-        "img_url string, content_type string, content_length long, payload binary").write.parquet(str(tmp_path / "a"))
-    refs = spark.createDataFrame([(1, 2, "http://i/a")], "page_id long, pre int, img_url string")
-    lines = plan(embed_refs(refs, acceptable_images(spark.read.parquet(str(tmp_path / "a"))))).split("\n")
-    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
-    encoded = [i for i, line in enumerate(lines) if ";base64," in line]
-    assert encoded and max(encoded) < semi
+    assert sorted(re.findall(r"\((\w+)#", m)[0] for m in moved) == ["asset", "asset", "page_id"]
 
 
 def test_html_is_read_by_ranges_of_page_id(pages):
