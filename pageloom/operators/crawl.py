@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.operators.links import link_edges
-from pageloom.operators.skew import HOT_ROWS, hot_keys, number_rows, salted_join
+from pageloom.operators.skew import HOT_ROWS, hot_keys, number_rows, salt_many, salt_one
 from pageloom.profile import SiteProfile
-from pageloom.session import stage
+from pageloom.session import stage, stage_bucketed
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,31 @@ class CrawlResult:
     listings: DataFrame   # norm_url, depth, fetched
 
 
+@dataclass(frozen=True)
+class StagedEdges:
+    """Edges that no step of a walk moves: in buckets by their source, or few enough to be sent along."""
+
+    table: DataFrame
+    by: tuple[str, ...]
+    hot: DataFrame | None = None
+
+    @classmethod
+    def of(cls, edges: DataFrame, hot_rows: int = HOT_ROWS) -> StagedEdges:
+        """From staged edges. A source with very many of them is cut into shares, each in a bucket of its own."""
+        if edges.count() <= hot_rows:
+            return cls(edges, ("src",))
+        hot = hot_keys(edges, "src", hot_rows)
+        if hot is None or hot.isEmpty():
+            return cls(stage_bucketed(edges, "edges-by-src", ["src"]), ("src",))
+        salted = salt_many(edges, "src", ["pos", "dst"], hot)
+        return cls(stage_bucketed(salted, "edges-by-src", ["src", "_salt"]), ("src", "_salt"), hot)
+
+    def leaving(self, frontier: DataFrame) -> DataFrame:
+        """The edges of the sources in ``frontier`` (src, path), which alone is moved."""
+        sources = frontier if self.hot is None else salt_one(frontier, "src", self.hot)
+        return self.table.join(sources, list(self.by))
+
+
 def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot_rows: int = HOT_ROWS) -> CrawlResult:
     """Wanted pages reachable from ``seed`` over at most ``profile.max_depth`` listings.
 
@@ -33,8 +58,7 @@ def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot
     spark = pages.sparkSession
     seed = urls.known_seed(spark, seed, profile)
     edges, stored = link_edges(pages, seed, profile)
-    edges = stage(edges, "edges")
-    hot = hot_keys(edges, "src", hot_rows)
+    edges = StagedEdges.of(stage(edges, "edges"), hot_rows)
 
     frontier = spark.range(1).select(
         urls.normalize(F.lit(seed)).alias("src"), F.array().cast("array<int>").alias("path")
@@ -42,7 +66,7 @@ def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot
     crawled = [frontier.select("src", F.lit(0).alias("depth"))]
     found = []
     for depth in range(profile.max_depth + 1):
-        links = salted_join(edges, frontier, "src", ["pos", "dst"], hot)
+        links = edges.leaving(frontier)
         if depth == profile.max_depth:
             links = links.filter("is_page")
         # min() combines on the map side, so a page everybody links to is no hot spot.

@@ -24,26 +24,33 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     )
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str], hot: DataFrame | None, how: str = "inner"):
-    """Join ``many`` rows per key to at most one row of ``one``.
-
-    Rows of a hot key are spread by the hash of ``spread``; the single row they meet is
-    copied once per share. All other keys are joined as usual.
-    """
-    if hot is None:
-        return many.join(one, key, how)
-    hashed = F.xxhash64(key).alias("_key_hash")
-    left = (
-        many.select("*", hashed).join(hot, "_key_hash", "left")
+def salt_many(many: DataFrame, key: str, spread: list[str], hot: DataFrame) -> DataFrame:
+    """Add ``_salt``: rows of a hot key are spread by the hash of ``spread``, others have 0."""
+    return (
+        many.select("*", F.xxhash64(key).alias("_key_hash")).join(hot, "_key_hash", "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int"))
         .drop("_key_hash", "_salts")
     )
-    right = (
-        one.select("*", hashed).join(hot, "_key_hash", "left")
+
+
+def salt_one(one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The single row that rows of a hot key meet, once per share."""
+    return (
+        one.select("*", F.xxhash64(key).alias("_key_hash")).join(hot, "_key_hash", "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_key_hash", "_salts")
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str], hot: DataFrame | None, how: str = "inner"):
+    """Join ``many`` rows per key to at most one row of ``one``.
+
+    Rows of a hot key are spread over shares, to each of which its single row is copied.
+    All other keys are joined as usual.
+    """
+    if hot is None:
+        return many.join(one, key, how)
+    return salt_many(many, key, spread, hot).join(salt_one(one, key, hot), [key, "_salt"], how).drop("_salt")
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -48,3 +48,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """``stage`` in buckets by ``by``, as many as Spark shuffles into: joins on exactly these columns
+    read them where they are, however often.
+
+    The files lie in the same shared folder; the table's name is known to this session only.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}-{uuid.uuid4().hex}"
+    table = name.replace("-", "_")
+    dealt = df.repartition(buckets, *by)
+    dealt.write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{stage_folder(spark)}/{name}").saveAsTable(table, format="parquet")
+    return spark.table(table)

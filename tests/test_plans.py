@@ -9,9 +9,11 @@ from pageloom import SiteProfile
 from pageloom.functions import urls
 from pageloom.operators.bundle import last_writer_wins
 from pageloom.operators.clean import clean_pages
+from pageloom.operators.crawl import StagedEdges
 from pageloom.operators.links import page_links
 from pageloom.operators.parse import parse_pages
 from pageloom.sources.assets import accept_images, acceptable_images
+from pageloom.session import stage
 from pageloom.sources.pages import fetch_pages
 
 
@@ -81,3 +83,21 @@ def test_one_document_per_key_is_limited_before_the_shuffle(pages):
     keyed = pages.select("page_id", "html", urls.file_key(F.col("url")).alias("file_key"))
     text = plan(last_writer_wins(keyed, "file_key", "page_id"))
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("hot_rows", [1500, 10])
+def test_a_crawl_step_does_not_move_edges(spark, hot_rows):
+    """Of the step's join only the frontier is shuffled, also where a hot source is cut into shares."""
+    edges = stage(spark.range(2000).selectExpr("if(id % 2 = 0, 'hub', concat('s', id)) AS src", "int(id) AS pos", "concat('d', id) AS dst", "id % 3 = 0 AS is_page"), "edges")
+    frontier = stage(spark.createDataFrame([("hub", [1]), ("s7", [2, 3])], "src string, path array<int>"), "frontier")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = StagedEdges.of(edges, hot_rows).leaving(frontier)
+        text = plan(links)
+        assert sorted(r.dst for r in links.collect()) == sorted(["d7", *(f"d{i}" for i in range(0, 2000, 2))])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    join = text[text.index("SortMergeJoin"):]
+    edge_side = join[: join.index("Exchange")]
+    assert "edges_by_src" in edge_side and "Bucketed: true" in edge_side
