@@ -16,20 +16,15 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.bind import bind
+from pageloom.llm.bloom import MAX_BLOCKS, blocks_for, bloom_filter, possible
 from pageloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from pageloom.session import stage
 
-WORDS = 8
-BLOCK_BITS = 64 * WORDS
-BITS_PER_URL = 16
-# 2^19 blocks of eight words are 32 MB, enough for 16 million listed URLs at full strength.
-MAX_BLOCKS = 1 << 19
 # Query parameters that tell where a visitor came from, not which page is meant.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|\z)"
 
@@ -86,38 +81,6 @@ def fitting(rules: Sequence[Rule], host: Column, path: Column) -> Column:
     return F.coalesce(*found, F.lit(None).cast(struct))
 
 
-def bits(canonical: Column) -> list[Column]:
-    """The bit that a URL sets in each word of its block."""
-    drawn = F.xxhash64(canonical, F.lit("bits"))
-    places = [F.shiftrightunsigned(drawn, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(WORDS)]
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), place) for place in places]
-
-
-def block_of(canonical: Column, n_blocks: int) -> Column:
-    return F.xxhash64(canonical, F.lit("block")).bitwiseAND(F.lit(n_blocks - 1))
-
-
-def blocks_for(n_urls: int, max_blocks: int = MAX_BLOCKS) -> int:
-    """A power of two, at most ``max_blocks``."""
-    wanted = max(1, -(-n_urls * BITS_PER_URL // BLOCK_BITS))
-    return min(1 << (wanted - 1).bit_length(), max_blocks)
-
-
-def bloom_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, w0 .. w7), a row per block in use, from distinct canonical URLs."""
-    set_bits = bits(F.col("canonical"))
-    return listed.groupBy(block_of(F.col("canonical"), n_blocks).alias("block")).agg(
-        *[F.bit_or(bit).alias(f"w{i}") for i, bit in enumerate(set_bits)])
-
-
-def possible(rows: DataFrame, bloom: DataFrame, n_blocks: int) -> DataFrame:
-    """``rows`` with ``possible``: whether the filter holds the row's canonical URL, or seems to."""
-    asked = rows.withColumn("block", block_of(F.col("canonical"), n_blocks))
-    met = asked.join(F.broadcast(bloom), "block", "left")  # at most MAX_BLOCKS rows
-    all_set = reduce(Column.__and__, (F.col(f"w{i}").bitwiseAND(bit) != 0 for i, bit in enumerate(bits(F.col("canonical")))))
-    return met.withColumn("possible", F.coalesce(all_set, F.lit(False))).drop("block", *(f"w{i}" for i in range(WORDS)))
-
-
 def judge(
     pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), id_col: str = "page_id", url_col: str = "url", listed_col: str = "url",
     max_blocks: int = MAX_BLOCKS, hot_rows: int = HOT_ROWS,
@@ -128,10 +91,10 @@ def judge(
     """
     known = stage(addressed(listed, listed_col).select("canonical").filter("canonical IS NOT NULL").distinct(), "listed")
     n_blocks = blocks_for(known.count(), max_blocks)
-    bloom = stage(bloom_filter(known, n_blocks), "bloom")
+    bloom = stage(bloom_filter(known, "canonical", n_blocks), "bloom")
     rows = addressed(pages, url_col, keep=[F.col(id_col).alias("asked_id")])
     told = bind(rows, fits=fitting(rules, F.col("host"), F.col("path")))
-    asked = possible(told.select("asked_id", "host", "path", "canonical", "fits.rule", "fits.verdict"), bloom, n_blocks)
+    asked = possible(told.select("asked_id", "host", "path", "canonical", "fits.rule", "fits.verdict"), "canonical", bloom, n_blocks)
     hits = stage(asked.filter("possible").drop("possible"), "possible-hits")
     # A URL that very many pages have is one hot key of the join; it is cut into shares.
     hits = hits.withColumn("place", F.monotonically_increasing_id())

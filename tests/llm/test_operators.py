@@ -181,8 +181,8 @@ def test_line_chunks(tables):
         # What stays is a subsequence of lines; every long line stays somewhere, and once.
         for r in rows:
             assert any(all(x in it for x in r["text"].split("\n")) for t in texts[r["doc_id"]] for it in [iter(t.split("\n"))]) or r["text"] == ""
-        kept = Counter(x for r in rows for x in r["text"].split("\n") if len(x.split()) >= line_chunks.LONG_LINE)
-        assert set(kept) == {x for ts in texts.values() for t in ts for x in t.split("\n") if len(x.split()) >= line_chunks.LONG_LINE}
+        kept = Counter(x for r in rows for x in r["text"].split("\n") if len(x.split()) >= 30)
+        assert set(kept) == {x for ts in texts.values() for t in ts for x in t.split("\n") if len(x.split()) >= 30}
         assert all(n == 1 for n in kept.values())
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from pageloom.llm import bloom as blocked
 from pageloom.llm import queries, url_filter
 
 URLS = [
@@ -43,7 +44,7 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, host string, listed string").repartition(3)
 
 
-@pytest.mark.parametrize("max_blocks, hot_rows", [(url_filter.MAX_BLOCKS, 1_000_000), (1, 1)])
+@pytest.mark.parametrize("max_blocks, hot_rows", [(blocked.MAX_BLOCKS, 1_000_000), (1, 1)])
 def test_judge(spark, pages, max_blocks, hot_rows):
     """Also with a filter of one block, and with every URL taken for a hot key."""
     listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
@@ -62,9 +63,9 @@ def test_filter_passes_every_listed_url_and_few_others(spark):
     """At full strength at most one in a hundred unlisted URLs takes the join."""
     listed = spark.range(20_000).selectExpr("concat('h', id, '.net/x') AS canonical")
     others = spark.range(20_000).selectExpr("concat('h', id, '.net/y') AS canonical")
-    n_blocks = url_filter.blocks_for(20_000)
-    bloom = url_filter.bloom_filter(listed, n_blocks)
-    assert bloom.count() <= n_blocks <= url_filter.MAX_BLOCKS
-    assert url_filter.possible(listed, bloom, n_blocks).filter("NOT possible").count() == 0
-    assert url_filter.possible(others, bloom, n_blocks).filter("possible").count() < 200
-    assert url_filter.blocks_for(10**9) == url_filter.MAX_BLOCKS
+    n_blocks = blocked.blocks_for(20_000)
+    bloom = blocked.bloom_filter(listed, "canonical", n_blocks)
+    assert bloom.count() <= n_blocks <= blocked.MAX_BLOCKS
+    assert blocked.possible(listed, "canonical", bloom, n_blocks).filter("NOT possible").count() == 0
+    assert blocked.possible(others, "canonical", bloom, n_blocks).filter("possible").count() < 200
+    assert blocked.blocks_for(10**9) == blocked.MAX_BLOCKS
