@@ -20,6 +20,7 @@ from pageloom.operators.crawl import crawl
 from pageloom.operators.links import link_edges, page_links, with_norm_url
 from pageloom.operators.parse import node_table, parse_pages
 from pageloom.plans.runs import clean_typed, run_bulk
+from pageloom.plans.store import RunStore
 from pageloom.session import stage, stage_folder
 from pageloom.sources import assets, layout, sinks
 from pageloom.sources.pages import fetch_pages, read_pages, resolve_attempts, spread_pages
@@ -411,6 +412,16 @@ def crawl_clustered(spark, sf_dir):
     return found.select("norm_url", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def fetch_snapshots(spark, sf_dir):
+    """Three stored pages per address, some empty, missing or a challenge; the first valid one is read"""
+    pages = stored_pages(spark, sf_dir)
+    versions = pages.withColumn("v", F.explode(F.array(*[F.lit(v) for v in range(3)]))).select(
+        (F.col("page_id") * 3 + F.col("v")).alias("page_id"), "url", F.expr(shapes.VERSION_HTML).alias("html"))
+    wanted = pages.select(urls.normalize(F.col("url")).alias("norm_url")).distinct().select("norm_url", F.lit(0).alias("depth"), F.lit(1).alias("rank"))
+    return fetch_pages(wanted, versions).select("url", "page_id", F.md5("html").alias("html_md5"))
+
+
 @query
 def single_pages(spark, sf_dir):
     """URLs as typed, stored or not"""
@@ -453,6 +464,23 @@ def bulk_failed(spark, sf_dir):
     return run.failed.withColumn("bundle_name", F.lit(run.name))
 
 
+@query
+def bulk_counts(spark, sf_dir):
+    """A1: the counts of a run, gathered while its outcomes are written"""
+    counts = run_bulk(site_pages(spark, sf_dir), shapes.SEED).counts
+    return spark.createDataFrame(sorted(counts.items()), "status string, n long")
+
+
+@query
+def incremental_runs(spark, sf_dir):
+    """A run over the pages of even ids, then one over all that leaves out what is done; the documents of both"""
+    pages = site_pages(spark, sf_dir)
+    store = RunStore(spark, f"{stage_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.add(pages.filter("page_id % 2 = 0 OR page_id % 4 = 1"), shapes.SEED)
+    store.add(pages, shapes.SEED)
+    return store.documents().select("file_key", F.col("run").cast("bigint").alias("run"), "rank", F.md5("clean_html").alias("html_md5"))
+
+
 @query
 def empty_run(spark, sf_dir):
     """A5: a run over all stored pages from a listing nobody stored gives empty tables of the usual columns"""

@@ -139,3 +139,6 @@ OUTCOMES = """CASE doc_id % 7 WHEN 3 THEN array('error', 'error', 'error', 'ok')
   WHEN 1 THEN array('error', 'error', 'ok') ELSE array('ok') END"""
 # Ids that do not follow the URLs: an odd factor takes the numbers below 2^32 to each other.
 SHUFFLED_ID = "page_id * 2654435761 % 4294967296"
+# Three versions of a page: missing, a challenge, empty or as it is.
+VERSION_HTML = """CASE (page_id + v) % 4 WHEN 0 THEN NULL WHEN 1 THEN replace(html, '<title>', '<title>Just a moment... ')
+  WHEN 2 THEN '' ELSE html END"""

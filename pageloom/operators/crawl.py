@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import urls
 from pageloom.operators.links import link_edges
 from pageloom.operators.skew import HOT_ROWS, hot_keys, number_rows, salt_many, salt_one
-from pageloom.profile import SiteProfile
+from pageloom.profile import CleanRules, SiteProfile
 from pageloom.session import stage, stage_bucketed
 
 
@@ -50,14 +50,16 @@ class StagedEdges:
         return self.table.join(sources, list(self.by))
 
 
-def crawl(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot_rows: int = HOT_ROWS) -> CrawlResult:
+def crawl(
+    pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), hot_rows: int = HOT_ROWS, rules: CleanRules = CleanRules()
+) -> CrawlResult:
     """Wanted pages reachable from ``seed`` over at most ``profile.max_depth`` listings.
 
     ``depth`` is the depth of the page that holds the link; the first discovery counts.
     """
     spark = pages.sparkSession
     seed = urls.known_seed(spark, seed, profile)
-    edges, stored = link_edges(pages, seed, profile)
+    edges, stored = link_edges(pages, seed, profile, rules)
     edges = StagedEdges.of(stage(edges, "edges"), hot_rows)
 
     frontier = spark.range(1).select(

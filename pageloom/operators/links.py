@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import dom, urls
 from pageloom.functions.bind import bind
 from pageloom.operators.parse import parse_pages
-from pageloom.profile import SiteProfile
+from pageloom.profile import CleanRules, SiteProfile
 from pageloom.session import stage
 
 
@@ -31,9 +31,26 @@ def page_links(parsed: DataFrame, profile: SiteProfile = SiteProfile()) -> DataF
     return links.select("page_id", "url", "pos", "href", joined.alias("abs_url"))
 
 
-def first_snapshots(pages: DataFrame) -> DataFrame:
-    """One stored page per normalized URL: (norm_url, page_id), the smallest page_id."""
-    return pages.groupBy("norm_url").agg(F.min("page_id").alias("page_id"))
+def choose_snapshots(versions: DataFrame, pages: DataFrame, near: Column | None = None, rules: CleanRules = CleanRules()) -> DataFrame:
+    """Of the stored pages of one URL the one that counts: (norm_url, page_id).
+
+    ``versions`` is staged (norm_url, page_id). A page that is there and no challenge comes
+    before a challenge, and that before an empty or missing one; of equals the smallest
+    ``page_id``. Only pages of URLs with several are looked at, and only their title is kept.
+    """
+    counted = versions.groupBy("norm_url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+    several = stage(versions.join(counted.filter("n > 1").select("norm_url"), "norm_url", "left_semi"), "versions")
+    alone = counted.filter("n = 1").select("norm_url", "page_id")
+    if several.isEmpty():
+        return alone
+    seen = parse_pages(with_html(several, pages, near), keep=("norm_url", "page_id"))
+    nodes = F.col("nodes")
+    worth = (
+        F.when(F.coalesce(F.size(nodes), F.lit(0)) <= 0, 2)
+        .when(F.coalesce(dom.title(nodes).contains(rules.challenge_title), F.lit(False)), 1).otherwise(0)
+    )
+    best = F.min(F.struct(worth.alias("worth"), "page_id")).alias("best")
+    return alone.unionByName(seen.groupBy("norm_url").agg(best).select("norm_url", "best.page_id"))
 
 
 # Ranges of page_id that one scan is asked for.
@@ -110,7 +127,9 @@ def addresses(pages: DataFrame) -> DataFrame:
     return with_norm_url(pages.drop("html")).select("page_id", "url", "norm_url")
 
 
-def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()) -> tuple[DataFrame, DataFrame]:
+def link_edges(
+    pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), rules: CleanRules = CleanRules()
+) -> tuple[DataFrame, DataFrame]:
     """Edges (src, pos, dst, is_page) a crawl from ``seed`` can use, and the stored listings.
 
     Whether a page can be crawled at all shows in its URL, so a scan of the URLs alone
@@ -122,8 +141,9 @@ def link_edges(pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile()
     readable = addresses(pages).filter(
         (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
     )
-    stored = stage(first_snapshots(readable), "listings")
-    near = url_ranges(stored) if is_clustered(pages) else None
+    versions = stage(readable.select("norm_url", "page_id"), "listing-versions")
+    near = url_ranges(versions) if is_clustered(pages) else None
+    stored = stage(choose_snapshots(versions, pages, near, rules), "listings")
     parsed = parse_pages(with_html(stored, pages, near).withColumnRenamed("norm_url", "url"))
     links = page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url")
     parts = bind(links, netloc=urls.netloc(link), path=urls.path(link))

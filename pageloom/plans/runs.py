@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
@@ -19,6 +19,10 @@ from pageloom.session import stage
 from pageloom.sources.pages import fetch_pages, resolve_attempts
 
 
+# All that can become of a wanted page.
+STATUSES = (*WITH_DOCUMENT, "no_content", "missing", "failed")
+
+
 @dataclass(frozen=True)
 class RunResult:
     outcomes: DataFrame   # one row per wanted page, whatever became of it
@@ -27,6 +31,7 @@ class RunResult:
     failed: DataFrame     # A3: the pages that no document came of
     name: str             # A4: the bundle's name, from the time of the run
     subject: str          # A4: the key of the bundle
+    counts: dict[str, int]  # A1: pages, and those of each status, counted while the outcomes were written
 
     def members(self) -> DataFrame:
         """A2 for documents of any size: (subject, member, start, length, rank, file_key), without their bodies."""
@@ -55,7 +60,7 @@ def clean_typed(
     full = typed.select(urls.ensure_scheme(F.col("url")).alias("url"), "rank").filter("url IS NOT NULL")
     asked = full.groupBy("url").agg(F.min("rank").alias("rank")).withColumn("address", urls.requested(F.col("url")))
     wanted = asked.groupBy(F.col("address").alias("norm_url")).agg(F.min("rank").alias("rank"))
-    fetched = fetch_pages(wanted.select("norm_url", F.lit(0).alias("depth"), "rank"), pages, address=urls.requested)
+    fetched = fetch_pages(wanted.select("norm_url", F.lit(0).alias("depth"), "rank"), pages, address=urls.requested, rules=rules)
     outcomes = _outcomes(fetched, rules, images).drop("rank", "file_key").withColumnRenamed("url", "address")
     named = asked.join(outcomes, "address").drop("address")
     return named.withColumn("file_key", urls.file_key(F.col("url")))
@@ -80,17 +85,21 @@ def run_bulk(
     width: int = 100,
     attempts: DataFrame | None = None,
     run_time: datetime | None = None,
+    done: DataFrame | None = None,
 ) -> RunResult:
     """Crawl from ``seed``, clean what was found, keep one document per key, bundle.
 
     A bundle's part holds the documents of ``width`` consecutive ranks, whatever their size.
     ``attempts`` (url, attempt, outcome) are the tries to get a page: one that they never
     got counts as failed, stored or not; a page without attempts counts as got.
-    ``run_time`` names the bundle; left out, it is the time of the call.
+    ``run_time`` names the bundle; left out, it is the time of the call. Pages in ``done``
+    (norm_url) are left to the runs that made them; links are followed past them.
     """
     spark = pages.sparkSession
     seed = urls.known_seed(spark, seed, profile)
-    found = crawl(pages, seed, profile).pages
+    found = crawl(pages, seed, profile, rules=rules).pages
+    if done is not None:
+        found = found.join(done.select("norm_url"), "norm_url", "left_anti")
     lost = None
     if attempts is not None:
         tries = attempts.select(urls.normalize(F.col("url")).alias("norm_url"), "attempt", "outcome")
@@ -98,7 +107,7 @@ def run_bulk(
         lost = stage(final.filter("status = 'failed'").select("norm_url"), "lost")
         found = stage(found, "found")
     reached = found if lost is None else found.join(lost, "norm_url", "left_anti")
-    fetched = fetch_pages(reached, pages, urls.may_be_wanted(F.col("norm_url"), profile))
+    fetched = fetch_pages(reached, pages, urls.may_be_wanted(F.col("norm_url"), profile), rules=rules)
     outcomes = _outcomes(fetched, rules, images)
     if lost is not None:
         given_up = found.join(lost, "norm_url", "left_semi").select(
@@ -106,10 +115,12 @@ def run_bulk(
             F.lit("failed").alias("status"), urls.file_key(F.col("norm_url")).alias("file_key"),
         )
         outcomes = outcomes.unionByName(given_up, allowMissingColumns=True)
-    outcomes = stage(outcomes, "outcomes")
+    seen = Observation()
+    by_status = [F.count_if(F.col("status") == status).alias(status) for status in STATUSES]
+    outcomes = stage(outcomes.observe(seen, F.count("*").alias("pages"), *by_status), "outcomes")
     documents = last_writer_wins(outcomes.filter(F.col("status").isin(*WITH_DOCUMENT)))
     subject = "-".join(urls.keyword_list(spark, seed, profile))
     bundles = bundle_parts(documents.withColumn("subject", F.lit(subject)), "subject", "rank", "clean_html", width, first=1)
     at = F.current_timestamp() if run_time is None else F.lit(run_time)
     name = spark.range(1).select(bundle_name(at)).first()[0]
-    return RunResult(outcomes, documents, bundles, failed_members(outcomes), name, subject)
+    return RunResult(outcomes, documents, bundles, failed_members(outcomes), name, subject, seen.get)

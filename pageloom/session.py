@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+STAGED_TABLE = "pageloom_staged"
 # What a job over large page tables wants; none of it changes results.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,8 +30,33 @@ def builder(name: str = "pageloom") -> SparkSession.Builder:
     return build
 
 
+# The folder of the run that is going on, if it has one of its own.
+_run_folder: ContextVar[str | None] = ContextVar("run folder", default=None)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Whatever is staged inside lies in a folder of its own below the shared one and goes when the scope ends.
+
+    Results that are to stay are written elsewhere before that; lazy ones end with the scope.
+    """
+    folder = f"{stage_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(token)
+        for table in spark.catalog.listTables():
+            if table.name.rpartition("_")[0].startswith(STAGED_TABLE) and table.name.endswith(folder.rpartition("-")[2][:8]):
+                spark.sql(f"DROP TABLE `{table.name}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one in local mode only."""
+    """The folder of the run, else the shared one named by spark.checkpoint.dir; a temporary one in local mode only."""
+    if (own := _run_folder.get()) is not None:
+        return own
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -58,8 +87,10 @@ def stage_bucketed(df: DataFrame, label: str, by: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = stage_folder(spark)
     name = f"{label}-{uuid.uuid4().hex}"
-    table = name.replace("-", "_")
+    # The last part tells the run that the table ends with.
+    table = f"{STAGED_TABLE}_{name}_{folder.rpartition('-')[2][:8]}".replace("-", "_")
     dealt = df.repartition(buckets, *by)
-    dealt.write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{stage_folder(spark)}/{name}").saveAsTable(table, format="parquet")
+    dealt.write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{folder}/{name}").saveAsTable(table, format="parquet")
     return spark.table(table)

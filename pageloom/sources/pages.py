@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.functions.bind import bind
-from pageloom.operators.links import addresses, first_snapshots, is_clustered, url_ranges, with_html
-from pageloom.profile import MAX_ATTEMPTS
+from pageloom.operators.links import addresses, choose_snapshots, is_clustered, url_ranges, with_html
+from pageloom.profile import MAX_ATTEMPTS, CleanRules
 from pageloom.session import stage
 
 
@@ -28,21 +28,21 @@ def spread_pages(pages: DataFrame) -> DataFrame:
 
 
 def fetch_pages(
-    wanted: DataFrame, pages: DataFrame, likely: Column | None = None, address: Callable[[Column], Column] = urls.normalize
+    wanted: DataFrame, pages: DataFrame, likely: Column | None = None, address: Callable[[Column], Column] = urls.normalize,
+    rules: CleanRules = CleanRules(),
 ) -> DataFrame:
     """Left join the wanted list (norm_url, depth, rank) to its stored pages.
 
     ``likely`` is a test on ``norm_url`` that holds for every wanted page and rules out
     nearly all others; without it every stored page is considered. ``address`` makes the
-    ``norm_url`` of a stored URL. Only one snapshot per URL is taken before any html is
-    read. Without a stored page ``page_id`` and ``html`` are null.
+    ``norm_url`` of a stored URL. Of several stored pages of a URL ``choose_snapshots``
+    takes one; only then the html of what is wanted is read. Without a stored page ``page_id`` and ``html`` are null.
 
     On pages clustered by URL (``sources.layout``) both scans skip what lies far from the
     wanted URLs; on others the html scan skips by ``page_id``.
     """
-    stored, near = pages, None
+    stored, near, wanted = pages, None, stage(wanted, "asked")
     if is_clustered(pages):
-        wanted = stage(wanted, "asked")
         sought = wanted.select("norm_url") if address is urls.normalize else wanted.select(urls.normalize(F.col("norm_url")).alias("norm_url"))
         near = url_ranges(sought)
         stored = stored.filter(near)
@@ -51,9 +51,9 @@ def fetch_pages(
         stored = bind(stored.drop("norm_url"), norm_url=address(F.col("url")))
     if likely is not None:
         stored = stored.filter(likely)
-    chosen = stage(
-        wanted.join(first_snapshots(stored.select("page_id", "norm_url")), "norm_url", "left"), "wanted"
-    )
+    asked = wanted.select("norm_url").distinct()
+    versions = stage(stored.select("norm_url", "page_id").join(asked, "norm_url", "left_semi"), "wanted-versions")
+    chosen = stage(wanted.join(choose_snapshots(versions, pages, near, rules), "norm_url", "left"), "wanted")
     listed = ("page_id", F.col("norm_url").alias("url"), "depth", "rank")
     present = with_html(chosen.filter("page_id IS NOT NULL"), pages, near)
     missing = chosen.filter("page_id IS NULL")
