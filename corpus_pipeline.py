@@ -75,7 +75,7 @@ STAGES = [
     ("n-gram Jaccard join", ngram_jaccard_join),
     ("packing", pack_sequences),
 ]
-# The classifier and the tokenizer have no SQL; tests compare the stages with plain versions.
+# The classifier and the tokenizer have no SQL; tests/llm/test_pipeline.py compares each stage's rows with a plain version.
 ORACLE_SQL = None
 
 
