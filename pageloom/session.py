@@ -34,6 +34,11 @@ def builder(name: str = "pageloom") -> SparkSession.Builder:
 _run_folder: ContextVar[str | None] = ContextVar("run folder", default=None)
 
 
+def _ending(folder: str) -> str:
+    """What the names of a folder's staged tables end in: they go with a run's folder."""
+    return "_in_" + re.sub(r"\W", "_", folder.rstrip("/").rpartition("/")[2])
+
+
 @contextmanager
 def run_scope(spark: SparkSession) -> Iterator[str]:
     """Whatever is staged inside lies in a folder of its own below the shared one and goes when the scope ends.
@@ -47,7 +52,7 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
     finally:
         _run_folder.reset(token)
         for table in spark.catalog.listTables():
-            if table.name.rpartition("_")[0].startswith(STAGED_TABLE) and table.name.endswith(folder.rpartition("-")[2][:8]):
+            if table.name.startswith(STAGED_TABLE) and table.name.endswith(_ending(folder)):
                 spark.sql(f"DROP TABLE `{table.name}`")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -89,8 +94,7 @@ def stage_bucketed(df: DataFrame, label: str, by: list[str]) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = stage_folder(spark)
     name = f"{label}-{uuid.uuid4().hex}"
-    # The last part tells the run that the table ends with.
-    table = f"{STAGED_TABLE}_{name}_{folder.rpartition('-')[2][:8]}".replace("-", "_")
+    table = re.sub(r"\W", "_", f"{STAGED_TABLE}_{name}") + _ending(folder)
     dealt = df.repartition(buckets, *by)
     dealt.write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{folder}/{name}").saveAsTable(table, format="parquet")
     return spark.table(table)

@@ -21,6 +21,10 @@ def files(path):
     return {p for p in Path(path).rglob("*") if p.is_file()}
 
 
+def tables(spark):
+    return {t.name for t in spark.catalog.listTables()}
+
+
 def documents(df):
     return sorted((r.file_key, r.rank, r.clean_html) for r in df.collect())
 
@@ -31,9 +35,9 @@ def test_half_runs_add_up_to_a_whole_one(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "store"))
     assert store.manifest().collect() == [] and store.documents() is None and store.outcomes() is None
     shared = stage_folder(spark).removeprefix("file:")
-    before = files(shared)
+    before, known = files(shared), tables(spark)
     first, second = store.add(half, SEED), store.add(pages, SEED)
-    assert files(shared) == before and not [t for t in spark.catalog.listTables() if "staged" in t.name]
+    assert files(shared) == before and tables(spark) == known
     assert (first["pages"], first["ok"], first["missing"]) == (5, 2, 3)
     assert (second["pages"], second["ok"], second["missing"]) == (3, 2, 1)
     assert documents(store.documents()) == documents(run_bulk(pages, SEED).documents)
@@ -58,15 +62,15 @@ def test_a_run_counts_as_it_writes(spark):
 
 
 def test_a_scope_ends_with_its_tables(spark):
-    outside = stage_folder(spark)
+    outside, known = stage_folder(spark), tables(spark)
     with pytest.raises(RuntimeError), run_scope(spark) as folder:
         staged = stage(spark.range(10), "inside")
         edges = stage(spark.range(100).selectExpr("string(id % 3) AS src", "int(id) AS pos", "string(id) AS dst", "true AS is_page"), "edges")
-        assert StagedEdges.of(edges, 10).table.count() == 100
+        assert StagedEdges.of(edges, 10).table.count() == 100 and len(tables(spark) - known) == 1
         assert staged.count() == 10 and folder.startswith(outside) and stage_folder(spark) == folder
         raise RuntimeError("broken off")
     assert stage_folder(spark) == outside and not Path(folder.removeprefix("file:")).exists()
-    assert not [t for t in spark.catalog.listTables() if "staged" in t.name]
+    assert tables(spark) == known
 
 
 @pytest.mark.parametrize("clustered", [False, True])
