@@ -8,12 +8,14 @@ in repeated three-word windows.
 
 A document fails when it has few words or many of them in repeated windows; else when too large a share lies
 in long repeats or one repeat is too long. Null and empty texts have no words and fail. Repeated rows, null
-ids and very long texts (a batch of their own) get a row each. No documents: no rows.
+ids and very long texts get a row each; a long text is sorted on its own, in about 75 bytes a word beside the text, however
+often it repeats itself. No documents: no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -34,70 +36,73 @@ BATCH_WORDS = 400_000
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"  # fixed value
 CONTINUED = bytes(range(0x80, 0xC0))
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
 
 
-def suffix_order(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(positions in suffix order, ranks after each doubling); ``ends`` is where each position's document ends.
+def suffix_array(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in suffix order, words that each shares with the one before it); ``ends`` is where each position's document ends.
 
-    ``words`` differ between documents, so no suffix reaches beyond its own. After step k equal ranks
-    mean equal stretches of 2^k words. Only positions whose rank is shared are sorted again.
+    ``words`` differ between documents, so no suffix reaches beyond its own. After a step of ``width`` equal
+    ranks mean equal stretches of that many words. Only positions whose rank is shared are sorted again, and neighbours
+    are measured in the step that parts them: one array of ranks is all that is held.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
-    fresh = np.empty(n, bool)
-    fresh[0], fresh[1:] = True, words[order][1:] != words[order][:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    levels, width = [rank], 1
-    alone = fresh & np.append(fresh[1:], True)
-    active = order[~alone]
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    sorted_words = words[order]
+    fresh = np.append(True, sorted_words[1:] != sorted_words[:-1])
+    del sorted_words
+    rank = np.empty(n, np.int32)
+    rank[order] = np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh, dtype=np.int32) - 1]
+    shared, width = np.zeros(n, np.int32), 1
+    active = order[~(fresh & np.append(fresh[1:], True))]
+    del order
     while len(active):
-        after = active + width
+        after = active + np.int32(width)
         inside = after < ends[active]
-        second = np.where(inside, rank[np.minimum(after, n - 1)], -1)
+        by = rank[active] * np.int64(n + 1)
+        by[inside] += rank[after[inside]] + 1
+        del after, inside
+        sort = np.argsort(by)
+        active, by = active[sort], by[sort]
+        del sort
         first = rank[active]
-        by = np.lexsort((second, first))
-        active, first, second = active[by], first[by], second[by]
         group = np.append(True, first[1:] != first[:-1])
-        fresh = group | np.append(True, second[1:] != second[:-1])
-        at = np.arange(len(active))
-        start = at[group][np.cumsum(group) - 1]
-        rank = rank.copy()
-        rank[active] = first + at[fresh][np.cumsum(fresh) - 1] - start
-        levels.append(rank)
+        fresh = np.append(True, by[1:] != by[:-1])
+        del by
+        at = np.arange(len(active), dtype=np.int32)
+        place = first + at - at[group][np.cumsum(group, dtype=np.int32) - 1]
+        del first, at
+        parted = np.flatnonzero(fresh & ~group)
+        shared[place[parted]] = width + shared_on(rank, ends, active[parted - 1], active[parted], width)
+        rank[active] = place[fresh][np.cumsum(fresh, dtype=np.int32) - 1]
         width *= 2
         active = active[~(fresh & np.append(fresh[1:], True))]
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    return order, levels
-
-
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Words that each suffix shares with the one before it in suffix order."""
-    a, b = order[:-1].copy(), order[1:].copy()
-    shared = np.zeros(len(a), np.int64)
-    todo = np.flatnonzero(levels[0][a] == levels[0][b])
-    a, b = a[todo], b[todo]
-    end_a, end_b = ends[a], ends[b]
-    last = len(ends) - 1
-    for k in reversed(range(len(levels))):
-        rank = levels[k]
-        same = (a < end_a) & (b < end_b) & (rank[np.minimum(a, last)] == rank[np.minimum(b, last)])
-        step = same.astype(np.int64) << k
-        a += step
-        b += step
-    shared[todo] = a - order[:-1][todo]
-    return np.append(0, shared)
+    order = np.empty(n, np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
+    return order, shared
+
+
+def shared_on(rank: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """How many words a and b share after the first ``width``, fewer than as many again: stretches of ``width`` from later
+    beginnings stay equal up to there, so halving finds it."""
+    more, step = np.zeros(len(a), np.int32), width // 2
+    last = len(rank) - 1
+    while step:
+        x, y = a + more + np.int32(step), b + more + np.int32(step)
+        same = (np.maximum(x, y) < ends[a]) & (rank[np.minimum(x, last)] == rank[np.minimum(y, last)])
+        more += same * np.int32(step)
+        step //= 2
+    return more
 
 
 def longest_again(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each word, the length of the longest stretch from it that occurs again in its document."""
     if not len(words):
         return np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)[owner]
-    order, levels = suffix_order(owner * (int(words.max()) + 1) + words, ends)
-    shared = common_prefixes(order, levels, ends)
+    kinds = int(words.max()) + 1
+    apart = np.repeat(np.arange(len(sizes)) * kinds, sizes)
+    apart += words
+    order, shared = suffix_array(apart, np.repeat(np.cumsum(sizes).astype(np.int32), sizes))
     best = np.empty(len(words), np.int64)
     best[order] = np.maximum(shared, np.append(shared[1:], 0))
     return best
@@ -109,12 +114,33 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def measures(texts: list[str], long: int = LONG) -> dict[str, np.ndarray]:
-    """The counts of each text."""
-    data = [t.encode() for t in texts]
-    split = [d.split() for d in data]
-    sizes = np.array([len(s) for s in split], np.int64)
-    flat = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+def numbered_words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all texts, equal ones by one number; how many each text has), without an object per word."""
+    joined = np.frombuffer(b"\n".join(data), np.uint8)
+    inside = ~IS_SPACE[joined]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).astype(np.int32)
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])])
+    text_starts = np.cumsum([0, *(len(d) + 1 for d in data)])
+    sizes = np.diff(np.searchsorted(starts, text_starts))
+    return words.dictionary_encode().indices.to_numpy(), sizes
+
+
+def duplicate_lines(data: bytes) -> int:
+    """Lines with a word that equal an earlier one."""
+    seen, found = set(), 0
+    for line in BytesIO(data):
+        if not line.isspace():
+            line = line.removesuffix(b"\n")
+            found += line in seen
+            seen.add(line)
+    return found
+
+
+def measures(data: list[bytes], long: int = LONG) -> dict[str, np.ndarray]:
+    """The counts of each text, given in UTF-8."""
+    flat, sizes = numbered_words(data)
     again, n = longest_again(flat, sizes), len(flat)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     windows = np.flatnonzero(again >= WINDOW)
@@ -123,12 +149,11 @@ def measures(texts: list[str], long: int = LONG) -> dict[str, np.ndarray]:
     in_repeats = covered(repeats, again[repeats], n)
     longest = np.zeros(len(sizes), np.int64)
     np.maximum.at(longest, owner, again)
-    lines = [[x for x in d.split(b"\n") if x and not x.isspace()] for d in data]
     return {
         "n_words": sizes,
         "word_chars": np.array([len(d.translate(None, SPACES + CONTINUED)) for d in data], np.int64),
         "n_symbols": np.array([len(d) - len(d.translate(None, SYMBOLS)) for d in data], np.int64),
-        "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64),
+        "n_dup_lines": np.array([duplicate_lines(d) for d in data], np.int64),
         "n_repeat_words": np.bincount(owner[in_windows], minlength=len(sizes)),
         "repeat_words": np.bincount(owner[in_repeats], minlength=len(sizes)),
         "longest_repeat": longest,
@@ -140,10 +165,10 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, long: int = LONG, most_co
     """One row per document: the counts, whether the base rule failed, and the verdict."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        texts, parts, part, size = batch.column(1).to_pylist(), [], [], 0
+        texts, parts, part, size = batch.column(1).cast(pa.binary()), [], [], 0
         for text in texts:
-            part.append(text)
-            size += len(text) // 6
+            part.append(text.as_py())
+            size += len(part[-1]) // 6
             if size > BATCH_WORDS:
                 parts.append(measures(part, long))
                 part, size = [], 0
