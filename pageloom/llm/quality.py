@@ -1,11 +1,12 @@
 """Quality classifier: gated attention over passages (operator 3).
 
-A text is a bag of passages of about PASSAGE bytes, cut at white space. A passage is encoded by the
+A text is a bag of passages of about PASSAGE bytes, cut at white space if there is any. A passage is encoded by the
 frequencies of pairs of neighbouring character classes, projected to HIDDEN units. Gated attention,
 softmax of w . (tanh(V h) * sigmoid(U h)), weighs the passages; the weighted sum is scored by a logistic
 unit. Everything is learned from document labels, by Adam, on a bounded sample: at most SAMPLE labelled
-documents of each label, those of the smallest hash of their id, weighted back to the labels' shares.
-Scoring covers every passage of every text.
+documents of each label, those of the smallest hash of their id, weighted back to the labels' shares, and in each at
+most FIT_PASSAGES passages, evenly spread: the driver gets no more, however long the texts are. Scoring covers every passage
+of every text, some at a time; of a whole text only its hidden units are held.
 
 Null and empty texts are one passage without pairs and get a score too. Repeated rows, null ids and very long
 texts get a row each; a document labelled twice counts twice; null labels are ignored. With labels of one kind
@@ -14,7 +15,7 @@ only the score is their share, without labels 0.5. No documents: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,15 @@ from pageloom.llm.common import held_out, id_and_text, map_batches
 
 SCORED = "doc_id bigint, score double, top_passage int"
 PASSAGE = 400
+# Bytes after which a passage ends without white space.
+LATEST = 200
+# Passages encoded at once.
+STEP = 4000
 HIDDEN = 24
 GATE = 12
 SAMPLE = 1500
+# Passages that are learned from in a labelled text, evenly spread over it: a second bound on the sample. All are scored.
+FIT_PASSAGES = 64
 EPOCHS = 12
 THRESHOLD = 0.7
 # Character classes: every group is one; letters that are frequent in many languages stand alone.
@@ -40,38 +47,52 @@ for _i, _group in enumerate(GROUPS):
 PAIRS = CLASSES * CLASSES
 
 
+def as_bytes(text: pa.BinaryScalar) -> np.ndarray:
+    """A text's bytes, where they lie."""
+    return np.frombuffer(text.as_buffer(), np.uint8)
+
+
 def passages(data: np.ndarray) -> np.ndarray:
-    """Where the passages of a text's bytes begin: at the first white space after each PASSAGE bytes."""
-    if len(data) <= PASSAGE:
-        return np.zeros(1, np.int64)
-    spaces = np.flatnonzero((data == 32) | (data == 10))
-    places = np.searchsorted(spaces, np.arange(PASSAGE, len(data) - PASSAGE // 4, PASSAGE))
-    return np.unique(np.append(0, spaces[places[places < len(spaces)]]))
-
-
-def encoded(text: str) -> np.ndarray:
-    """A row of pair frequencies (square roots, so that rare pairs count) for each passage."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    starts = passages(data)
+    """Where the passages of a text's bytes begin: at the first white space after each PASSAGE bytes, LATEST bytes on if none comes."""
+    due = np.arange(PASSAGE, len(data) - PASSAGE // 4, PASSAGE)
+    starts = [np.zeros(1, np.int64)]
+    for at in range(0, len(due), STEP):
+        part = due[at : at + STEP]
+        piece = data[part[0] : part[-1] + LATEST]
+        spaces = np.append(np.flatnonzero((piece == 32) | (piece == 10)) + part[0], part[-1] + LATEST)
+        starts.append(np.minimum(spaces[np.searchsorted(spaces, part)], part + LATEST))
+    starts = np.concatenate(starts)
+    return starts[starts < max(len(data), 1)]
+
+
+def encoded(data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """A row of pair frequencies (square roots, so that rare pairs count) for each passage, at most STEP rows at a time."""
     if len(data) < 2:
-        return np.zeros((1, PAIRS), np.float32)
-    kinds = CLASS_OF[data].astype(np.int64)
-    owner = np.zeros(len(data) - 1, np.int64)
-    owner[starts[1:] - 1] = 1
-    owner = np.cumsum(owner)
-    counts = np.bincount(owner * PAIRS + kinds[:-1] * CLASSES + kinds[1:], minlength=len(starts) * PAIRS).reshape(-1, PAIRS)
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+        yield np.zeros((1, PAIRS), np.float32)
+        return
+    bounds = np.append(np.maximum(starts - 1, 0), len(data) - 1)
+    for at in range(0, len(starts), STEP):
+        part = bounds[at : at + STEP + 1]
+        n = len(part) - 1
+        kinds = CLASS_OF[data[part[0] : part[-1] + 1]].astype(np.int64)
+        owner = np.repeat(np.arange(n), np.diff(part))
+        counts = np.bincount(owner * PAIRS + kinds[:-1] * CLASSES + kinds[1:], minlength=n * PAIRS).reshape(-1, PAIRS)
+        yield np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
 def squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def forward(model: dict, x: np.ndarray, sizes: np.ndarray) -> dict:
-    """Scores of bags whose passages follow each other in x."""
+def hidden(model: dict, x: np.ndarray) -> np.ndarray:
+    """The hidden units of encoded passages."""
+    return np.tanh(x @ model["E"] + model["e"])
+
+
+def forward(model: dict, h: np.ndarray, sizes: np.ndarray) -> dict:
+    """Scores of bags whose passages' hidden units follow each other in h."""
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    h = np.tanh(x @ model["E"] + model["e"])
     t, g = np.tanh(h @ model["V"]), squash(h @ model["U"])
     a = (t * g) @ model["w"]
     a = np.exp(a - np.maximum.reduceat(a, starts)[owner])
@@ -81,7 +102,7 @@ def forward(model: dict, x: np.ndarray, sizes: np.ndarray) -> dict:
 
 
 def gradients(model: dict, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-    f = forward(model, x, sizes)
+    f = forward(model, hidden(model, x), sizes)
     owner, h, t, g, a = (f[k] for k in ("owner", "h", "t", "g", "a"))
     d = weight * (f["score"] - y) / weight.sum()
     dz = d[:, None] * model["o"]
@@ -121,7 +142,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int = 4, fold: int = 2, sample: int = SAMPLE, id_col="doc_id", text_col="text") -> dict:
-    """Learn from at most ``sample`` documents of each label outside the held-out fold; their texts come to the driver."""
+    """Learn from at most ``sample`` documents of each label outside the held-out fold; ``FIT_PASSAGES`` passages of each come to the driver."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -129,9 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int = 4, fold: in
         return {"constant": 0.5 if not counts else float(next(iter(counts)))}
     chosen = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     rows = (chosen[0].unionByName(chosen[1])).join(id_and_text(docs, id_col, text_col), "doc_id")
+
+    def sampled(batch: pa.RecordBatch) -> dict:
+        drawn = []
+        for text in batch.column("text").cast(pa.binary()):
+            data = as_bytes(text)
+            starts = passages(data)
+            ends = np.append(starts[1:], len(data))
+            chosen = np.unique(np.linspace(0, len(starts) - 1, FIT_PASSAGES).astype(np.int64)) if len(starts) > FIT_PASSAGES else range(len(starts))
+            # Each with the byte before it, whose pair with its first one is the passage's own.
+            drawn.append([data[max(starts[k] - 1, 0) : ends[k]].tobytes() for k in chosen])
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "passages": pa.array(drawn, pa.list_(pa.binary()))}
+
+    rows = map_batches(rows.select("doc_id", "label", "text"), sampled, "doc_id bigint, label int, passages array<binary>")
     bags, truth = [], []
-    for row in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["text"])):
-        bags.append(encoded(row["text"]))
+    for row in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["label"], r["passages"])):
+        pieces = [np.frombuffer(p, np.uint8) for p in row["passages"]]
+        bags.append(np.concatenate([x for p in pieces for x in encoded(p, np.zeros(1, np.int64))]))
         truth.append(row["label"])
     if len(set(truth)) < 2:
         return {"constant": 0.5 if not truth else float(truth[0])}
@@ -146,21 +181,25 @@ def score(docs: DataFrame, model: dict, id_col="doc_id", text_col="text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some tens of kilobytes
 
     def step(batch: pa.RecordBatch) -> dict:
-        model, texts = shared.value, batch.column(1).to_pylist()
+        model, texts = shared.value, batch.column(1).cast(pa.binary())
         if "constant" in model:
             return {"doc_id": batch.column(0), "score": np.full(len(texts), model["constant"]), "top_passage": np.zeros(len(texts), np.int32)}
-        scores, tops, bags, size = [], [], [], 0
-        for i, text in enumerate(texts):
-            bags.append(encoded(text))
-            size += len(bags[-1])
-            if size > 4000 or i == len(texts) - 1:
-                sizes = np.array([len(b) for b in bags])
-                f = forward(model, np.concatenate(bags), sizes)
-                scores.append(f["score"])
-                ends = np.cumsum(sizes)
-                tops += [int(np.argmax(f["a"][e - n : e])) for e, n in zip(ends, sizes, strict=True)]
-                bags, size = [], 0
-        return {"doc_id": batch.column(0), "score": np.concatenate(scores).astype(np.float64), "top_passage": np.array(tops, np.int32)}
+        units, held, sizes = [], [], []
+        for text in texts:
+            data = as_bytes(text)
+            starts = passages(data)
+            sizes.append(len(starts))
+            for x in encoded(data, starts):
+                held.append(x)
+                if sum(map(len, held)) > STEP:
+                    units.append(hidden(model, np.concatenate(held)))
+                    held = []
+        if held:
+            units.append(hidden(model, np.concatenate(held)))
+        f = forward(model, np.concatenate(units), np.array(sizes))
+        ends = np.cumsum(sizes)
+        tops = [int(np.argmax(f["a"][e - n : e])) for e, n in zip(ends, sizes, strict=True)]
+        return {"doc_id": batch.column(0), "score": f["score"].astype(np.float64), "top_passage": np.array(tops, np.int32)}
 
     return map_batches(id_and_text(docs, id_col, text_col, keep), step, SCORED, keep)
 
