@@ -24,6 +24,7 @@ from pageloom.plans.store import RunStore
 from pageloom.session import stage, stage_folder
 from pageloom.sources import assets, layout, sinks
 from pageloom.sources.pages import fetch_pages, read_pages, resolve_attempts, spread_pages
+from pageloom.streaming.arrivals import PageStream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -422,6 +423,21 @@ def fetch_snapshots(spark, sf_dir):
     return fetch_pages(wanted, versions).select("url", "page_id", F.md5("html").alias("html_md5"))
 
 
+@query
+def stream_documents(spark, sf_dir):
+    """S2, H1, C17, A7 as a stream: three stored pages per address arrive as files, in four batches; the first valid one is cleaned"""
+    folder = f"{stage_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    versions = stored_pages(spark, sf_dir).withColumn("v", F.explode(F.array(*[F.lit(v) for v in range(3)]))).select(
+        (F.col("page_id") * 3 + F.col("v")).alias("page_id"), "url", F.expr(shapes.VERSION_HTML).alias("html"))
+    # The pages of one address arrive together, so that which of them counts does not hang on the order of files.
+    bind(versions, norm_url=urls.normalize(F.col("url"))).repartition("norm_url").drop("norm_url").write.parquet(f"{folder}/in")
+    files = len(spark.read.parquet(f"{folder}/in").inputFiles())
+    arriving = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/in")
+    stream = PageStream(spark, f"{folder}/out", ARTICLE)
+    stream.start(arriving).awaitTermination()
+    return stream.documents().select(F.col("norm_url").alias("url"), "page_id", "file_key", "status", F.md5("clean_text").alias("text_md5"))
+
+
 @query
 def single_pages(spark, sf_dir):
     """URLs as typed, stored or not"""
