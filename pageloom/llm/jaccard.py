@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import map_batches
+from pageloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from pageloom.session import stage
 
 SHINGLE = 5
@@ -150,8 +151,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of an undirected graph: large-star and small-star steps until nothing changes."""
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, root) of every node of an undirected graph: large-star and small-star steps until nothing changes.
+
+    A node of more than ``hot_rows`` edges, as the centre of a star, is met by them in shares.
+    """
     pairs = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def mark(df: DataFrame):
@@ -160,10 +164,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        many = 2 * seen[0] > hot_rows
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+        large = salted_join(both, low, "a", ["b"], hot_keys(both, "a", hot_rows) if many else None)
+        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
+        large = stage(large, "edges") if many else large
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        small = salted_join(large, low, "a", ["b"], hot_keys(large, "a", hot_rows) if many else None)
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).filter("a != b").distinct()
         pairs = stage(small, "edges")
         if (now := mark(pairs)) == seen:

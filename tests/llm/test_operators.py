@@ -11,6 +11,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -257,10 +258,20 @@ def plain_links(rows):
             links[a] += 1
             links[b] += 1
             parent[find(a)] = find(b)
-    smallest = defaultdict(lambda: math.inf)
-    for k, (i, _) in enumerate(rows):
-        smallest[find(k)] = min(smallest[find(k)], math.inf if i is None else i)
-    return Counter((i, None if smallest[find(k)] == math.inf else smallest[find(k)], links[k]) for k, (i, _) in enumerate(rows))
+    # Rows in order of id (null last), then of the text's hash as a signed number.
+    def key(k):
+        tie = xxhash.xxh64_intdigest(rows[k][1], 42)
+        return (math.inf if rows[k][0] is None else rows[k][0], tie - (tie >> 63 << 64))
+
+    first, copy = {}, {}
+    for k, s in enumerate(sets):
+        first[find(k)] = min(first.get(find(k), key(k)), key(k))
+        copy[s] = min(copy.get(s, math.inf), key(k)[0])
+
+    def named(i):
+        return None if i == math.inf else i
+
+    return Counter((i, named(first[find(k)][0]), links[k], named(copy[sets[k]]), key(k) == first[find(k)]) for k, (i, _) in enumerate(rows))
 
 
 @pytest.mark.parametrize("block", [256, 4])
@@ -272,7 +283,7 @@ def test_jaccard(spark, awkward, docs, monkeypatch, block):
     near = [(1000 + k, " ".join([*base[: 5 * k], f"edit{k}", *base[5 * k + 1 :]])) for k in range(20)]
     group = spark.createDataFrame(near, "doc_id long, text string")
     for table in ([group] if block == 4 else [awkward, docs, docs.limit(0)]):
-        got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.classes(table).collect())
+        got = Counter((r["doc_id"], r["class_id"], r["n_links"], r["copy_of"], r["is_first"]) for r in jaccard.classes(table).collect())
         assert got == plain_links(rows_of(table))
 
 

@@ -96,3 +96,16 @@ def test_jaccard_counts_links_once_where_a_block_is_empty(spark, monkeypatch):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "edit"]))]
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r["class_id"], r["n_links"]) for r in sorted(got)] == [(i - i % 2, 1) for i, _ in rows]
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10**6])
+def test_components_of_stars_and_chains(spark, hot_rows):
+    """A star's centre, smallest or not, is met in shares; chains and loops as well."""
+    edges = [(0, k) for k in range(1, 40)] + [(99, k) for k in range(50, 90)] + [(k, k + 1) for k in range(100, 108)] + [(7, 120), (130, 130), (131, 132), (132, 131)]
+    low = {n: n for e in edges for n in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    table = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in edges], "a binary, b binary")
+    got = {(int.from_bytes(r["node"], "big"), int.from_bytes(r["root"], "big")) for r in jaccard.components(table, hot_rows).collect()}
+    assert got == {pair for pair in low.items() if pair[0] != 130}
