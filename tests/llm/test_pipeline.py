@@ -54,7 +54,7 @@ def test_stages_row_by_row(spark, testdata):
     # Of each class of near duplicates one whole row stays.
     fourth = run("n-gram Jaccard join", third)
     groups = defaultdict(list)
-    for (i, group, _), n in plain_links(rows_of(third)).items():
+    for (i, group, *_), n in plain_links(rows_of(third)).items():
         groups[group] += [i] * n
     stay = Counter(r["doc_id"] for r in fourth.collect())
     assert set(stay.values()) == {1} and sorted(sum(i in stay for i in ids) for ids in groups.values()) == [1] * len(groups) and len(stay) == len(groups)
