@@ -288,6 +288,16 @@ def image_accept_lenient(spark, sf_dir):
     return accepted.select("img_url", F.md5("data_uri").alias("uri_md5"))
 
 
+@query
+def image_files(spark, sf_dir):
+    """A file per image, written by tasks and read back as assets"""
+    path = f"{stage_folder(spark)}/images-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    assets.write_image_files(docs.select(F.expr(shapes.IMAGE_FILE).alias("name"), F.encode("text", "UTF-8").alias("payload")), path)
+    stored = assets.read_image_files(spark, path, shapes.FILE_TYPES, shapes.IMAGE_HOST, shapes.IMAGE_LIMIT)
+    return assets.accept_images(stored, limit=shapes.IMAGE_LIMIT).select("img_url", F.md5("data_uri").alias("uri_md5"))
+
+
 @query
 def image_refs(spark, sf_dir):
     """H7"""

@@ -117,6 +117,9 @@ CLEANED_TAIL = """CASE doc_id % 8 WHEN 0 THEN 'tail' WHEN 1 THEN 'xnow' WHEN 2 T
 # Stored images: one per document. A third of all pages show image 5.
 IMAGE_HOST = "http://img.example.com/"
 IMAGE_LIMIT = 4096
+# Files of images: folder, name and ending; what an ending means, one of them no type that is accepted.
+IMAGE_FILE = """(doc_id % 64) || '/' || doc_id || '.' || CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' WHEN 2 THEN 'svg' ELSE 'webp' END"""
+FILE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "svg": "image/svg+xml", "webp": "image/webp"}
 IMAGE_TYPE = """CASE doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'IMAGE/JPEG; charset=x'
   WHEN 2 THEN 'image/svg+xml' WHEN 3 THEN 'image/gif' ELSE 'text/html' END"""
 FIRST_IMAGE = f"'{IMAGE_HOST}' || (doc_id - doc_id % 7)"

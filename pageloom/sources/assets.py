@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.profile import IMAGE_TYPES, MAX_IMAGE_BYTES
 
 
-def read_image_files(spark: SparkSession, path: str, types: dict[str, str], base_url: str) -> DataFrame:
+def write_image_files(images: DataFrame, path: str) -> int:
+    """One file below ``path`` for each row of (name, payload), and how many; a null payload is no file.
+
+    Tasks write what they hold; a file gets its name when it is whole, so repeated attempts do no harm. Names are
+    unique and may have folders: Spark lists many folders as a job of its own.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+        made = set()
+        for batch in batches:
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folder, _, last = f"{root}/{name}".rpartition("/")
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                unfinished = f"{folder}/.{last}-{uuid.uuid4().hex}"
+                with files.open_output_stream(unfinished) as out:
+                    out.write(payload.as_buffer())
+                files.move(unfinished, f"{folder}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = images.filter("payload is not null").select("name", "payload")
+    return rows.mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_image_files(spark: SparkSession, path: str, types: dict[str, str], base_url: str, limit: int | None = None) -> DataFrame:
     """Image files as an asset table; ``types`` maps a file ending to its content type.
 
-    The URL of an asset is ``base_url`` and the file's path below ``path``.
+    The URL of an asset is ``base_url`` and the file's path below ``path``. Files of over ``limit`` bytes are
+    left out by the scan, which does not open them; Spark's scan passes over empty files, too.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if limit is not None:
+        files = files.filter(F.col("length") <= limit)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     root = rf"^.*?\Q{path.split(':', 1)[-1].strip('/')}\E/+"
     kind = F.coalesce(*[F.when(ending == e, t) for e, t in types.items()], F.lit(""))

@@ -44,6 +44,19 @@ def test_image_files(spark, tmp_path):
     assert [tuple(r) for r in assets.accept_images(table).collect()] == [("http://i/a.PNG", "data:image/png;base64,YWJj")]
 
 
+def test_image_files_are_written_once_and_long_ones_not_read(spark, tmp_path):
+    rows = [("a/1.png", b"abc"), ("a/2 b.png", b"d"), ("3.png", b"x" * 50), ("c/d/4.png", None), ("empty.png", b"")]
+    table = spark.createDataFrame([(n, p, "x") for n, p in rows], "name string, payload binary, path string")
+    path = f"file:{tmp_path}/images"
+    assert [assets.write_image_files(table, path) for _ in range(2)] == [4, 4]   # a repeated attempt writes the same
+    assert sorted(str(p.relative_to(tmp_path / "images")) for p in (tmp_path / "images").rglob("*.png")) == ["3.png", "a/1.png", "a/2 b.png", "empty.png"]
+    read = assets.read_image_files(spark, path, {"png": "image/png"}, "http://i/", limit=49)
+    assert "LessThanOrEqual(length,49)" in read._jdf.queryExecution().executedPlan().toString()
+    assert {(r.img_url, bytes(r.payload)) for r in read.collect()} == {("http://i/a/1.png", b"abc"), ("http://i/a/2 b.png", b"d")}   # empty files are passed over
+    assert assets.read_image_files(spark, path, {"png": "image/png"}, "http://i/").count() == 3
+    assert assets.write_image_files(table.limit(0), f"{path}-none") == 0
+
+
 def test_attempts(spark):
     histories = {
         "first": ["ok"], "retried": ["error", "error", "ok"], "too late": ["error", "error", "error", "ok"],
