@@ -9,6 +9,10 @@ from pageloom.functions.text import has_token, strip
 from pageloom.profile import MATH_MARKER
 
 
+# No page has a node beyond it.
+LAST_POSITION = (1 << 31) - 1
+
+
 def attr(node: Column, name: str) -> Column:
     return node["attrs"][name]
 
@@ -29,7 +33,7 @@ def find_root(nodes: Column, selectors: tuple[tuple, ...], whole_page: bool) ->
     Without a hit: the whole page, or null.
     """
     fallback = (
-        F.struct(F.lit(len(selectors)).alias("rank"), F.lit(0).alias("pre"), (F.size(nodes) - 1).alias("last"))
+        F.struct(F.lit(len(selectors)).alias("rank"), F.lit(0).alias("pre"), F.lit(LAST_POSITION).alias("last"))
         if whole_page else F.lit(None)
     )
     if not selectors:
@@ -67,10 +71,13 @@ def has_math(nodes: Column, marker: str = MATH_MARKER) -> Column:
     )
 
 
-def anchors(nodes: Column) -> Column:
-    """H4: stripped hrefs in document order, duplicates kept, blanks and fragments dropped."""
+def anchors(nodes: Column, root: Column) -> Column:
+    """H4: stripped hrefs inside ``root``, in document order, duplicates kept, blanks and fragments dropped.
+
+    Positions are compared, so other nodes may be left out of the array.
+    """
     hrefs = F.transform(
-        F.filter(nodes, lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()),
+        F.filter(nodes, lambda n: (n["tag"] == "a") & n["pre"].between(root["pre"], root["last"]) & attr(n, "href").isNotNull()),
         lambda n: strip(attr(n, "href")),
     )
     return F.filter(hrefs, lambda h: (h != "") & ~h.startswith("#"))

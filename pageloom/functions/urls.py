@@ -23,7 +23,9 @@ _EDGE = "".join(map(chr, range(0x21)))  # controls and blanks before a URL
 
 def _printable(url: Column) -> Column:
     """Without what browsers ignore: leading controls, tabs and line ends."""
-    return F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_EDGE))
+    for ignored in "\t\r\n":  # a search each, which costs a quarter of translate()
+        url = F.replace(url, F.lit(ignored), F.lit(""))
+    return F.ltrim(url, F.lit(_EDGE))
 
 
 def _part(url: Column, group: int) -> Column:
@@ -305,6 +307,11 @@ def may_be_wanted(norm_url: Column, profile: SiteProfile) -> Column:
     return site_url(F.concat(norm_url, F.lit("/x")), profile) & page_slug(F.translate(norm_url, ";", "_"), profile)
 
 
+def looks_like_page(norm_url: Column, profile: SiteProfile) -> Column:
+    """True for a normalized URL that a link without query and fragment, if wanted, leads to as a page."""
+    return F.coalesce(_page_tests(norm_url, netloc(norm_url), path(norm_url), profile), F.lit(False))
+
+
 def may_be_listing(norm_url: Column, keywords: list[str], profile: SiteProfile) -> Column:
     """The same for links to listings: host, exclusions and topic survive normalizing."""
     loose = [word.rstrip("s/").replace(";", "_") for word in keywords]

@@ -60,7 +60,7 @@ def crawl(
     spark = pages.sparkSession
     seed = urls.known_seed(spark, seed, profile)
     edges, stored = link_edges(pages, seed, profile, rules)
-    edges = StagedEdges.of(stage(edges, "edges"), hot_rows)
+    edges = StagedEdges.of(edges, hot_rows)
 
     frontier = spark.range(1).select(
         urls.normalize(F.lit(seed)).alias("src"), F.array().cast("array<int>").alias("path")

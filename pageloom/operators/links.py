@@ -14,24 +14,30 @@ from pageloom.profile import CleanRules, SiteProfile
 from pageloom.session import stage
 
 
+def link_tags(profile: SiteProfile) -> frozenset[str]:
+    """The elements that links are found by."""
+    return frozenset(("a", *(tag for tag, _, _ in profile.link_roots)))
+
+
 def page_links(parsed: DataFrame, profile: SiteProfile = SiteProfile()) -> DataFrame:
-    """(page_id, url, pos, href, abs_url), document order, duplicates kept."""
+    """(page_id, url, pos, href, abs_url), document order, duplicates kept. Nodes of ``link_tags`` are enough."""
     nodes = F.col("nodes")
     rooted = parsed.select(
         "page_id", "url", "nodes", dom.find_root(nodes, profile.link_roots, whole_page=True).alias("root")
     )
-    inside = nodes if not profile.link_roots else dom.subtree(nodes, F.col("root"))
     based = rooted.withColumns(
         {"base_scheme": urls.scheme(F.col("url")), "base_netloc": urls.netloc(F.col("url"))}
     )
     links = based.select(
-        "page_id", "url", "base_scheme", "base_netloc", F.posexplode(dom.anchors(inside)).alias("pos", "href")
+        "page_id", "url", "base_scheme", "base_netloc", F.posexplode(dom.anchors(nodes, F.col("root"))).alias("pos", "href")
     ).withColumns(urls.link_parts(F.col("href")))
     joined = urls.join_parts(*[F.col(c) for c in ("link", "own", "rest", "base_scheme", "base_netloc")])
     return links.select("page_id", "url", "pos", "href", joined.alias("abs_url"))
 
 
-def choose_snapshots(versions: DataFrame, pages: DataFrame, near: Column | None = None, rules: CleanRules = CleanRules()) -> DataFrame:
+def choose_snapshots(
+    versions: DataFrame, pages: DataFrame, near: Column | None = None, rules: CleanRules = CleanRules(), likely: Column | None = None
+) -> DataFrame:
     """Of the stored pages of one URL the one that counts: (norm_url, page_id).
 
     ``versions`` is staged (norm_url, page_id). A page that is there and no challenge comes
@@ -43,7 +49,7 @@ def choose_snapshots(versions: DataFrame, pages: DataFrame, near: Column | None
     alone = counted.filter("n = 1").select("norm_url", "page_id")
     if several.isEmpty():
         return alone
-    seen = parse_pages(with_html(several, pages, near), keep=("norm_url", "page_id"))
+    seen = parse_pages(with_html(several, pages, near, likely), keep=("norm_url", "page_id"))
     nodes = F.col("nodes")
     worth = (
         F.when(F.coalesce(F.size(nodes), F.lit(0)) <= 0, 2)
@@ -103,14 +109,17 @@ def url_ranges(wanted: DataFrame, ranges: int = RANGES, points: int = POINTS) ->
     return reduce(Column.__or__, ((url >= s.low) & (F.lit(True) if s.high is None else url <= s.high) for s in spans))
 
 
-def with_html(chosen: DataFrame, pages: DataFrame, near: Column | None = None) -> DataFrame:
+def with_html(chosen: DataFrame, pages: DataFrame, near: Column | None = None, likely: Column | None = None) -> DataFrame:
     """A staged table of pages with their html, which only this scan reads.
 
     ``near`` is a test on the stored pages that holds for all of ``chosen``; ranges of
-    ``page_id`` unless given.
+    ``page_id`` unless given. ``likely``, a test on ``norm_url`` that holds for them too, keeps
+    the html of other pages in the way of a scan out of the join.
     """
-    html = pages.filter(id_ranges(chosen) if near is None else near).select("page_id", "html")
-    return chosen.join(html, "page_id")
+    html = pages.filter(id_ranges(chosen) if near is None else near)
+    if likely is not None:
+        html = with_norm_url(html).filter(likely)
+    return chosen.join(html.select("page_id", "html"), "page_id")
 
 
 def is_clustered(pages: DataFrame) -> bool:
@@ -127,24 +136,10 @@ def addresses(pages: DataFrame) -> DataFrame:
     return with_norm_url(pages.drop("html")).select("page_id", "url", "norm_url")
 
 
-def link_edges(
-    pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), rules: CleanRules = CleanRules()
-) -> tuple[DataFrame, DataFrame]:
-    """Edges (src, pos, dst, is_page) a crawl from ``seed`` can use, and the stored listings.
-
-    Whether a page can be crawled at all shows in its URL, so a scan of the URLs alone
-    finds those whose html is read.
-    """
-    listing, link, norm = F.lit(seed), F.col("abs_url"), F.col("norm_url")
-    seed_norm = urls.normalize(listing)
-    keywords = urls.keyword_list(pages.sparkSession, seed, profile)
-    readable = addresses(pages).filter(
-        (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
-    )
-    versions = stage(readable.select("norm_url", "page_id"), "listing-versions")
-    near = url_ranges(versions) if is_clustered(pages) else None
-    stored = stage(choose_snapshots(versions, pages, near, rules), "listings")
-    parsed = parse_pages(with_html(stored, pages, near).withColumnRenamed("norm_url", "url"))
+def _edges_from(html: DataFrame, seed: str, keywords: list[str], profile: SiteProfile) -> DataFrame:
+    """(src, pos, dst, is_page) of pages with (norm_url, page_id, html): the links that a crawl can use."""
+    listing, link = F.lit(seed), F.col("abs_url")
+    parsed = parse_pages(html.withColumnRenamed("norm_url", "url"), tags=link_tags(profile))
     links = page_links(parsed, profile).select(F.col("url").alias("src"), "pos", "abs_url")
     parts = bind(links, netloc=urls.netloc(link), path=urls.path(link))
     netloc, path = F.col("netloc"), F.col("path")
@@ -153,5 +148,40 @@ def link_edges(
         dst=urls.normalized(netloc, path),
         kind=urls.classify(link, netloc, path, listing, keywords, profile),
     )
-    edges = judged.filter((F.col("dst") != seed_norm) & F.col("kind").isNotNull())
-    return edges.select("src", "pos", "dst", (F.col("kind") == "page").alias("is_page")), stored
+    edges = judged.filter((F.col("dst") != urls.normalize(listing)) & F.col("kind").isNotNull())
+    return edges.select("src", "pos", "dst", (F.col("kind") == "page").alias("is_page"))
+
+
+def link_edges(
+    pages: DataFrame, seed: str, profile: SiteProfile = SiteProfile(), rules: CleanRules = CleanRules()
+) -> tuple[DataFrame, DataFrame]:
+    """Staged edges (src, pos, dst, is_page) a crawl from ``seed`` can use, and the stored listings.
+
+    Whether a page can be crawled at all shows in its URL, so a scan of the URLs alone
+    finds those whose html is read. A URL that looks like a page can only be crawled where a
+    link to it is none to a page (such as one with "feed" in its query): html of these is read
+    once an edge asks for it, in at most ``profile.max_depth`` rounds, as no walk goes further.
+    """
+    norm = F.col("norm_url")
+    seed_norm = urls.normalize(F.lit(seed))
+    keywords = urls.keyword_list(pages.sparkSession, seed, profile)
+    likely = (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
+    pagelike = (norm != seed_norm) & urls.looks_like_page(norm, profile)
+    versions = stage(addresses(pages).filter(likely).select("norm_url", "page_id", pagelike.alias("pagelike")), "listing-versions")
+
+    def read(listed: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
+        near = url_ranges(listed) if is_clustered(pages) else None
+        stored = stage(choose_snapshots(listed, pages, near, rules, test), "listings")
+        return stage(_edges_from(with_html(stored, pages, near, test), seed, keywords, profile), "edges"), stored
+
+    edges, stored = read(versions.filter("NOT pagelike").drop("pagelike"), likely & ~pagelike)
+    rest, last = versions.filter("pagelike").drop("pagelike"), edges
+    for _ in range(profile.max_depth):
+        asked = last.filter(~F.col("is_page") & urls.looks_like_page(F.col("dst"), profile)).select(F.col("dst").alias("norm_url"))
+        more = stage(rest.join(asked.distinct(), "norm_url", "left_semi"), "asked-listings")
+        if more.isEmpty():
+            break
+        rest = rest.join(more.select("norm_url").distinct(), "norm_url", "left_anti")
+        last, found = read(more, likely & pagelike)
+        edges, stored = edges.unionByName(last), stored.unionByName(found)
+    return edges, stored

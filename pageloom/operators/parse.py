@@ -58,7 +58,7 @@ def _node_arrays(columns: NodeColumns, offsets: list, valid: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=mask)
 
 
-def _parse_batches(kept: Sequence[str], html_column: str):
+def _parse_batches(kept: Sequence[str], html_column: str, tags: frozenset[str] | None = None):
     def emit(batch, start, stop, columns, offsets, errors):
         arrays = [batch.column(name).slice(start, stop - start) for name in kept]
         arrays.append(_node_arrays(columns, offsets, [e is None for e in errors]))
@@ -78,6 +78,8 @@ def _parse_batches(kept: Sequence[str], html_column: str):
                 else:
                     try:
                         number_page(html, columns)
+                        if tags is not None:
+                            columns.keep_tags(size, tags)
                     except Exception as problem:  # one bad page must not fail the task
                         columns.truncate(size)
                         error = f"{type(problem).__name__}: {problem}"
@@ -92,10 +94,13 @@ def _parse_batches(kept: Sequence[str], html_column: str):
     return parse
 
 
-def parse_pages(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
+def parse_pages(
+    pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html", tags: frozenset[str] | None = None
+) -> DataFrame:
     """Add ``nodes`` and ``parse_error``; only ``keep`` and the html go to Python.
 
-    A page without html, or one that fails to parse, gets null nodes.
+    A page without html, or one that fails to parse, gets null nodes. Given ``tags``, only their
+    elements come back, at the positions that they have among all nodes.
     """
     narrow = pages.select(*keep, html)
     schema = T.StructType(
@@ -105,7 +110,7 @@ def parse_pages(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html
             T.StructField("parse_error", T.StringType()),
         ]
     )
-    return narrow.mapInArrow(_parse_batches(tuple(keep), html), schema)
+    return narrow.mapInArrow(_parse_batches(tuple(keep), html, tags), schema)
 
 
 def node_table(parsed: DataFrame, *keep: str) -> DataFrame:

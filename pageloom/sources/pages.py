@@ -53,9 +53,10 @@ def fetch_pages(
         stored = stored.filter(likely)
     asked = wanted.select("norm_url").distinct()
     versions = stage(stored.select("norm_url", "page_id").join(asked, "norm_url", "left_semi"), "wanted-versions")
-    chosen = stage(wanted.join(choose_snapshots(versions, pages, near, rules), "norm_url", "left"), "wanted")
+    test = likely if address is urls.normalize else None  # a stored page's own ``norm_url`` is the normalized one
+    chosen = stage(wanted.join(choose_snapshots(versions, pages, near, rules, test), "norm_url", "left"), "wanted")
     listed = ("page_id", F.col("norm_url").alias("url"), "depth", "rank")
-    present = with_html(chosen.filter("page_id IS NOT NULL"), pages, near)
+    present = with_html(chosen.filter("page_id IS NOT NULL"), pages, near, test)
     missing = chosen.filter("page_id IS NULL")
     return present.select(*listed, "html").unionByName(
         missing.select(*listed, F.lit(None).cast("string").alias("html"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from pageloom import SiteProfile
 from pageloom.functions import urls
+from pageloom.operators import links
 from pageloom.operators.crawl import crawl
 from pageloom.operators.links import id_ranges
+from pageloom.operators.parse import parse_pages
 from pageloom.plans.runs import clean_listed, run_bulk
 from pageloom.profile import DOMAINS
 from pageloom.sources.pages import fetch_pages
@@ -110,6 +112,25 @@ def test_random_graph(spark, hot_rows):
         assert names(got.pages.collect()) == want
 
 
+def test_html_is_read_of_what_is_crawled(spark, monkeypatch):
+    """URLs that look like pages are read as listings where a link says so, which goes on for several rounds, and not otherwise."""
+    seen = []
+
+    def counted(html, **how):
+        seen.extend(r.url for r in html.select("url").collect())
+        return parse_pages(html, **how)
+
+    monkeypatch.setattr(links, "parse_pages", counted)
+    feed = [f"{SITE}/stack-mcq-{i}/?utm_source=feed" for i in range(3)]
+    pages = page_table(spark, {"S": ["P1", feed[0]], "P1": ["P8"], "P2": ["P9"]})
+    chain = spark.createDataFrame([(100 + i, f"{SITE}/stack-mcq-{i}/", f'<article><a href="{feed[(i + 1) % 3]}">x</a><a href="{url(f"P{20 + i}")}">x</a></article>')
+                                   for i in range(3)], pages.schema)
+    result = crawl(pages.unionByName(chain), SEED)
+    assert names(result.pages.collect()) == [("P1", 0), ("P20", 1), ("P21", 2), ("P22", 3)]
+    assert sorted(r.depth for r in result.listings.filter("fetched").collect()) == [0, 1, 2, 3]
+    assert sorted(seen) == sorted([SEED.rstrip("/")] + [f"{SITE}/stack-mcq-{i}" for i in range(3)])
+
+
 def test_whole_run(spark):
     graph = {"S": ["P1", "L1", "P7"], "L1": ["P2"], "P1": [], "P2": []}
     pages = page_table(spark, graph)
