@@ -57,6 +57,19 @@ def test_image_files_are_written_once_and_long_ones_not_read(spark, tmp_path):
     assert assets.write_image_files(table.limit(0), f"{path}-none") == 0
 
 
+def test_image_files_are_listed_by_tasks(spark, tmp_path):
+    """No name of a file comes to the driver; hidden and unfinished files are no data, at any depth."""
+    for name in ("a/b/c/1.png", "a/.x-1", "_SUCCESS", "_t/2.png", "k=1/_h=2/3.webp", "z._COPYING_", "odd %41 é.JPG", "e/none.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "none" in name else name.encode())
+    read = assets.read_image_files(spark, f"{tmp_path}/", {"png": "image/png", "jpg": "image/jpeg"}, "http://i/")
+    assert not [f for f in read.inputFiles() if str(tmp_path) in f]
+    assert {(r.img_url, r.content_type, r.content_length, bytes(r.payload).decode()) for r in read.collect()} == {
+        (f"http://i/{n}", kind, len(n.encode()), n)
+        for n, kind in (("a/b/c/1.png", "image/png"), ("k=1/_h=2/3.webp", ""), ("odd %41 é.JPG", "image/jpeg"))
+    }
+
+
 def test_attempts(spark):
     histories = {
         "first": ["ok"], "retried": ["error", "error", "ok"], "too late": ["error", "error", "error", "ok"],
