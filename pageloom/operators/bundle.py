@@ -22,6 +22,18 @@ def last_writer_wins(docs: DataFrame, key: str = "file_key", order: str = "rank"
     return docs.withColumn("_turn", F.row_number().over(window)).filter("_turn = 1").drop("_turn")
 
 
+def last_of_staged(docs: DataFrame, order: list[str], key: str = "file_key") -> DataFrame:
+    """S6 of a table that can be read twice, has no null ``key`` and an ``order`` unique within it.
+
+    Which documents have a later one is found by keys alone; these are left out, so where they are few no document moves.
+    """
+    narrow = docs.select(key, *order)
+    last = narrow.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"), F.count("*").alias("_n"))
+    several = last.filter("_n > 1").select(key, "_last")
+    earlier = stage(narrow.join(several, key).filter(F.struct(*order) < F.col("_last")).select(key, *order), "earlier")
+    return docs if earlier.isEmpty() else docs.join(earlier, [key, *order], "left_anti")
+
+
 def bundle_parts(
     docs: DataFrame, key: str, order: str, body: str, width: int = 100, separator: str = "\n", first: int = 0
 ) -> DataFrame:
@@ -32,8 +44,10 @@ def bundle_parts(
     is one string: for documents of any size use ``bundle_members``.
     """
     members = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(body).alias("body"))))
+    part = F.floor((F.col(order) - first) / width).cast("bigint").alias("part")
     return (
-        docs.groupBy(key, F.floor((F.col(order) - first) / width).cast("bigint").alias("part"))
+        # Documents move as rows: gathered into lists before they move, they would be sorted and copied once more.
+        docs.select(key, part, order, body).repartition(key, "part").groupBy(key, "part")
         .agg(members.alias("members"))
         .select(
             key, "part",

@@ -109,7 +109,7 @@ def url_ranges(wanted: DataFrame, ranges: int = RANGES, points: int = POINTS) ->
     return reduce(Column.__or__, ((url >= s.low) & (F.lit(True) if s.high is None else url <= s.high) for s in spans))
 
 
-def with_html(chosen: DataFrame, pages: DataFrame, near: Column | None = None, likely: Column | None = None) -> DataFrame:
+def with_html(chosen: DataFrame, pages: DataFrame, near: Column | None = None, likely: Column | None = None, shares: int | None = None) -> DataFrame:
     """A staged table of pages with their html, which only this scan reads.
 
     ``near`` is a test on the stored pages that holds for all of ``chosen``; ranges of
@@ -119,7 +119,8 @@ def with_html(chosen: DataFrame, pages: DataFrame, near: Column | None = None, l
     html = pages.filter(id_ranges(chosen) if near is None else near)
     if likely is not None:
         html = with_norm_url(html).filter(likely)
-    return chosen.join(html.select("page_id", "html"), "page_id")
+    html = html.select("page_id", "html")
+    return chosen.join(html if shares is None else html.repartition(shares, "page_id"), "page_id")
 
 
 def is_clustered(pages: DataFrame) -> bool:
@@ -162,9 +163,10 @@ def link_edges(
     link to it is none to a page (such as one with "feed" in its query): html of these is read
     once an edge asks for it, in at most ``profile.max_depth`` rounds, as no walk goes further.
     """
-    norm = F.col("norm_url")
+    spark, norm = pages.sparkSession, F.col("norm_url")
+    shares = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     seed_norm = urls.normalize(F.lit(seed))
-    keywords = urls.keyword_list(pages.sparkSession, seed, profile)
+    keywords = urls.keyword_list(spark, seed, profile)
     likely = (norm == seed_norm) | urls.may_be_listing(norm, keywords, profile)
     pagelike = (norm != seed_norm) & urls.looks_like_page(norm, profile)
     versions = stage(addresses(pages).filter(likely).select("norm_url", "page_id", pagelike.alias("pagelike")), "listing-versions")
@@ -172,7 +174,9 @@ def link_edges(
     def read(listed: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
         near = url_ranges(listed) if is_clustered(pages) else None
         stored = stage(choose_snapshots(listed, pages, near, rules, test), "listings")
-        return stage(_edges_from(with_html(stored, pages, near, test), seed, keywords, profile), "edges"), stored
+        # Links compress well and cost much: shares of them are dealt out by their number, not by their bytes.
+        html = with_html(stored, pages, near, test, shares)
+        return stage(_edges_from(html, seed, keywords, profile), "edges"), stored
 
     edges, stored = read(versions.filter("NOT pagelike").drop("pagelike"), likely & ~pagelike)
     rest, last = versions.filter("pagelike").drop("pagelike"), edges

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.operators.bundle import WITH_DOCUMENT, bundle_members, bundle_name, bundle_parts, failed_members, last_writer_wins
+from pageloom.operators.bundle import WITH_DOCUMENT, bundle_members, bundle_name, bundle_parts, failed_members, last_of_staged
 from pageloom.operators.clean import clean_pages
 from pageloom.operators.crawl import crawl
 from pageloom.operators.parse import parse_pages
@@ -118,7 +118,7 @@ def run_bulk(
     seen = Observation()
     by_status = [F.count_if(F.col("status") == status).alias(status) for status in STATUSES]
     outcomes = stage(outcomes.observe(seen, F.count("*").alias("pages"), *by_status), "outcomes")
-    documents = last_writer_wins(outcomes.filter(F.col("status").isin(*WITH_DOCUMENT)))
+    documents = last_of_staged(outcomes.filter(F.col("status").isin(*WITH_DOCUMENT)), ["rank"])
     subject = "-".join(urls.keyword_list(spark, seed, profile))
     bundles = bundle_parts(documents.withColumn("subject", F.lit(subject)), "subject", "rank", "clean_html", width, first=1)
     at = F.current_timestamp() if run_time is None else F.lit(run_time)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.operators.bundle import WITH_DOCUMENT, last_writer_wins
+from pageloom.operators.bundle import WITH_DOCUMENT, last_of_staged
 from pageloom.plans.runs import run_bulk
 from pageloom.session import run_scope
 
@@ -51,7 +51,7 @@ class RunStore:
     def documents(self) -> DataFrame | None:
         """S6 over all runs: of the documents with one key the last in (run, rank)."""
         stored = self._of_runs("documents")
-        return stored and last_writer_wins(stored.withColumn("_at", F.struct("run", "rank")), "file_key", "_at").drop("_at")
+        return stored and last_of_staged(stored, ["run", "rank"])
 
     def add(self, pages: DataFrame, seed: str, **how: Any) -> dict[str, int]:
         """Run over ``pages``, leaving out the URLs that earlier runs have documents of; the counts of the run.

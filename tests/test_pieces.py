@@ -96,6 +96,16 @@ def test_last_writer_and_parts(spark):
     assert "\n".join(r.body for r in parts).split("\n") == [str(i) for i in range(0, 1000, 3)]
 
 
+def test_last_of_staged(spark):
+    """As the window finds them; where no key has two documents the table comes back as it is, and nothing is shuffled."""
+    docs = stage(spark.range(500).selectExpr("id % 3 as run", "id as rank", "CASE WHEN id % 7 < 2 THEN 'hot' ELSE concat('k', id) END as file_key", "repeat('x', int(id)) as body"), "docs")
+    want = bundle.last_writer_wins(docs.withColumn("at", F.struct("run", "rank")), "file_key", "at").drop("at")
+    got = bundle.last_of_staged(docs, ["run", "rank"])
+    assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, want.select(docs.columns).collect()))
+    alone = bundle.last_of_staged(docs.filter("file_key <> 'hot'"), ["rank"])
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == docs.filter("file_key <> 'hot'").count()
+
+
 def test_members_have_offsets(spark, tmp_path):
     """A key with most documents lies in several partitions; multi-byte, empty and null bodies count in bytes."""
     docs = spark.range(3000).select(
