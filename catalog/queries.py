@@ -354,18 +354,19 @@ def site_pages(spark, sf_dir, more="''"):
       || '<a href="{shapes.SEED}">home</a><a href="/java-questions-answers-x">off</a><a href="/about-stack-mcq-x">no</a>
           <a href="/stack-mcq-x/?utm_source=feed">listing nobody stored</a>'"""
     listing_url = f"CASE WHEN doc_id = 0 THEN '{shapes.SEED}' ELSE '{shapes.SITE}/stack-section-' || doc_id || '/?v=1' END"
-    listings = docs.select(
-        (F.col("doc_id") * 2).alias("page_id"), F.expr(listing_url).alias("url"),
-        F.expr(f"""'<div class="entry-content">' || {links} || '</div><a href="/stack-mcq-outside">x</a>'""").alias("html"),
-    )
     body = f"""'<div class="entry-content"><h1>Doc ' || doc_id || '</h1><p>' || {shapes.ESCAPED_TEXT}
       || '</p>' || {more} || '<div class="sf-mobile-ads">ad</div><p>To practice all</p></div>'"""
     moved = "CASE WHEN doc_id % 10 = 7 THEN '-moved' ELSE '' END"
-    pages = docs.select(
+    listing = F.struct(
+        (F.col("doc_id") * 2).alias("page_id"), F.expr(listing_url).alias("url"),
+        F.expr(f"""'<div class="entry-content">' || {links} || '</div><a href="/stack-mcq-outside">x</a>'""").alias("html"),
+    )
+    stored = F.struct(
         (F.col("doc_id") * 2 + 1).alias("page_id"),
         F.expr(f"'http://{shapes.HOST}' || {page} || {moved}").alias("url"), F.expr(body).alias("html"),
     )
-    return spread_pages(stage(listings.unionByName(pages), "site"))
+    # Both from one row: files of short listings alone would give a few tasks half of all URLs.
+    return spread_pages(stage(docs.select(F.inline(F.array(listing, stored))), "site"))
 
 
 @query

@@ -15,7 +15,7 @@ from pageloom.operators.clean import clean_pages
 from pageloom.operators.crawl import crawl
 from pageloom.operators.parse import parse_pages
 from pageloom.profile import CleanRules, SiteProfile
-from pageloom.session import stage
+from pageloom.session import stage, written
 from pageloom.sources.pages import fetch_pages, resolve_attempts
 
 
@@ -86,6 +86,7 @@ def run_bulk(
     attempts: DataFrame | None = None,
     run_time: datetime | None = None,
     done: DataFrame | None = None,
+    outcomes_path: str | None = None,
 ) -> RunResult:
     """Crawl from ``seed``, clean what was found, keep one document per key, bundle.
 
@@ -94,6 +95,7 @@ def run_bulk(
     got counts as failed, stored or not; a page without attempts counts as got.
     ``run_time`` names the bundle; left out, it is the time of the call. Pages in ``done``
     (norm_url) are left to the runs that made them; links are followed past them.
+    Given ``outcomes_path``, the outcomes are written there, over what it holds, instead of being staged.
     """
     spark = pages.sparkSession
     seed = urls.known_seed(spark, seed, profile)
@@ -117,7 +119,8 @@ def run_bulk(
         outcomes = outcomes.unionByName(given_up, allowMissingColumns=True)
     seen = Observation()
     by_status = [F.count_if(F.col("status") == status).alias(status) for status in STATUSES]
-    outcomes = stage(outcomes.observe(seen, F.count("*").alias("pages"), *by_status), "outcomes")
+    counted = outcomes.observe(seen, F.count("*").alias("pages"), *by_status)
+    outcomes = stage(counted, "outcomes") if outcomes_path is None else written(counted, outcomes_path)
     documents = last_of_staged(outcomes.filter(F.col("status").isin(*WITH_DOCUMENT)), ["rank"])
     subject = "-".join(urls.keyword_list(spark, seed, profile))
     bundles = bundle_parts(documents.withColumn("subject", F.lit(subject)), "subject", "rank", "clean_html", width, first=1)

@@ -17,7 +17,7 @@ MANIFEST = "run long, name string, subject string, counts map<string, bigint>"
 
 @dataclass(frozen=True)
 class RunStore:
-    """``path`` holds outcomes/run=n, documents/run=n and, written last, manifest/run=n.
+    """``path`` holds outcomes/run=n, documents among them, and, written last, manifest/run=n.
 
     A run counts once its row of the manifest is there, which is one file; what a run that
     broke off has left is not read, and the next run of that number writes over it. One run
@@ -34,9 +34,10 @@ class RunStore:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/run=*")
 
-    def _of_runs(self, table: str) -> DataFrame | None:
+    def outcomes(self) -> DataFrame | None:
+        """All outcomes with their ``run``; None before the first run."""
         runs = [r.run for r in self.manifest().select("run").collect()]
-        parts = [self.spark.read.parquet(f"{self.path}/{table}/run={run}").withColumn("run", F.lit(run)) for run in sorted(runs)]
+        parts = [self.spark.read.parquet(f"{self.path}/outcomes/run={run}").withColumn("run", F.lit(run)) for run in sorted(runs)]
         if not parts:
             return None
         whole = parts[0]
@@ -44,14 +45,10 @@ class RunStore:
             whole = whole.unionByName(part)
         return whole
 
-    def outcomes(self) -> DataFrame | None:
-        """All outcomes with their ``run``; None before the first run."""
-        return self._of_runs("outcomes")
-
     def documents(self) -> DataFrame | None:
         """S6 over all runs: of the documents with one key the last in (run, rank)."""
-        stored = self._of_runs("documents")
-        return stored and last_of_staged(stored, ["run", "rank"])
+        stored = self.outcomes()
+        return stored and last_of_staged(stored.filter(F.col("status").isin(*WITH_DOCUMENT)), ["run", "rank"])
 
     def add(self, pages: DataFrame, seed: str, **how: Any) -> dict[str, int]:
         """Run over ``pages``, leaving out the URLs that earlier runs have documents of; the counts of the run.
@@ -62,9 +59,7 @@ class RunStore:
         number = 1 if earlier is None else self.manifest().agg(F.max("run")).first()[0] + 1
         done = earlier and earlier.filter(F.col("status").isin(*WITH_DOCUMENT)).select(F.col("url").alias("norm_url")).distinct()
         with run_scope(self.spark):
-            run = run_bulk(pages, seed, done=done, **how)
-            run.outcomes.write.mode("overwrite").parquet(f"{self.path}/outcomes/run={number}")
-            run.documents.write.mode("overwrite").parquet(f"{self.path}/documents/run={number}")
+            run = run_bulk(pages, seed, done=done, outcomes_path=f"{self.path}/outcomes/run={number}", **how)
             row = self.spark.createDataFrame([(number, run.name, run.subject, run.counts)], MANIFEST)
             row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/run={number}")
         return run.counts

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_crawl import SEED, page_table, url
 
+from catalog.queries import site_pages
 from pageloom.operators.bundle import run_statistics
 from pageloom.operators.crawl import StagedEdges
 from pageloom.plans.runs import run_bulk
@@ -53,6 +54,26 @@ def test_half_runs_add_up_to_a_whole_one(spark, tmp_path):
     assert documents(store.documents()) == broken and store.manifest().count() == 4
 
 
+def test_a_store_holds_a_document_once(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    store.add(page_table(spark, GRAPH), SEED)
+    assert {p.name for p in (tmp_path / "store").iterdir()} == {"outcomes", "manifest"}
+    whole = documents(store.documents())
+    assert whole == documents(run_bulk(page_table(spark, GRAPH), SEED).documents) and len(whole) == 4
+    # A run that broke off left outcomes of its own; its number is used again.
+    left = store.outcomes().drop("run").withColumns({"clean_html": F.lit("broken"), "rank": F.lit(99).cast("long")})
+    left.write.parquet(str(tmp_path / "store/outcomes/run=2"))
+    assert documents(store.documents()) == whole
+    store.add(page_table(spark, GRAPH), SEED)
+    assert documents(store.documents()) == whole and store.manifest().count() == 2
+
+
+def test_files_of_a_site_hold_short_and_long_pages(spark, testdata):
+    for file in site_pages(spark, testdata).inputFiles():
+        kinds = {r.page_id % 2: r["count"] for r in spark.read.parquet(file).groupBy((F.col("page_id") % 2).alias("page_id")).count().collect()}
+        assert kinds[0] == kinds[1] > 0
+
+
 def test_a_run_counts_as_it_writes(spark):
     for pages in (page_table(spark, GRAPH), page_table(spark, GRAPH).limit(0)):
         run = run_bulk(pages, SEED)
