@@ -242,30 +242,40 @@ class CleanPieces:
     def _named(self) -> Column:
         return F.coalesce(F.col("clean_html").contains(self.mark), F.lit(False))
 
-    def _split(self, keep: list[str]) -> DataFrame:
-        """Markup and images in turn; the columns to ``keep`` go with a page's first piece."""
-        first = F.struct(*keep) if keep else F.lit(None).cast("string")
-        split = self.pages.filter(self._named()).select("page_id", first.alias("page"), F.posexplode(F.split("clean_html", self.mark)).alias("piece", "markup"))
-        markup = split.filter("piece % 2 = 0").withColumn("page", F.when(F.col("piece") == 0, F.col("page")))
+    def _images(self) -> DataFrame:
+        """(page_id, piece, markup): the images, at their places among the pieces of their page."""
+        split = self.pages.filter(self._named()).select("page_id", F.posexplode(F.split("clean_html", self.mark)).alias("piece", "markup"))
         name = F.split("markup", ":", 2)
         uses = split.filter("piece % 2 = 1").select("page_id", "piece", name[0].alias("asset"), name[1].alias("content_type"))
         images = with_uris(uses, self.shown, ["page_id", "piece"], self.hot_rows)
-        return markup.unionByName(images.select("page_id", "piece", quote_attribute(F.col("data_uri")).alias("markup")), allowMissingColumns=True)
+        return images.select("page_id", "piece", quote_attribute(F.col("data_uri")).alias("markup"))
 
     def pieces(self) -> DataFrame:
         """(page_id, piece, markup): the documents in ordered pieces; a row holds markup or one image, never two."""
+        split = self.pages.filter(self._named()).select("page_id", F.posexplode(F.split("clean_html", self.mark)).alias("piece", "markup"))
         whole = self.pages.filter(~self._named() & F.col("clean_html").isNotNull())
-        return self._split([]).drop("page").unionByName(whole.select("page_id", F.lit(0).alias("piece"), F.col("clean_html").alias("markup")))
+        return (
+            split.filter("piece % 2 = 0").unionByName(self._images())
+            .unionByName(whole.select("page_id", F.lit(0).alias("piece"), F.col("clean_html").alias("markup")))
+        )
 
     def whole(self) -> DataFrame:
-        """The pages with whole documents, each of which must fit one row."""
-        others = [c for c in self.pages.columns if c not in ("page_id", "clean_html")]
-        pieces = self._split(others).groupBy("page_id").agg(
-            F.first("page", True).alias("page"), F.array_sort(F.collect_list(F.struct("piece", "markup"))).alias("pieces")
+        """The pages with whole documents, each of which must fit one row.
+
+        A page moves as one row to its images, and none is gathered before it has moved.
+        """
+        others = [c for c in self.pages.columns if c != "page_id"]
+        pages = self.pages.filter(self._named()).select("page_id", F.struct(*others).alias("page"))
+        rows = pages.unionByName(self._images().select("page_id", F.struct("piece", "markup").alias("image")), allowMissingColumns=True)
+        met = rows.repartition("page_id").groupBy("page_id").agg(
+            F.first("page", True).alias("page"), F.array_sort(F.collect_list("image")).alias("images")
         )
-        html = F.array_join(F.transform("pieces", lambda p: p["markup"]), "")
-        joined = pieces.select("page_id", "page.*", html.alias("clean_html")).select(self.pages.columns)
-        return self.pages.filter(~self._named()).unionByName(joined)
+        # Every name between two marks is an image, so the odd pieces are the images in order.
+        placed = F.transform(F.split("page.clean_html", self.mark), lambda piece, at: F.when(
+            at % 2 == 1, F.get("images", F.shiftright(at, 1))["markup"]
+        ).otherwise(piece))
+        joined = met.select("page_id", "page.*", F.array_join(placed, "").alias("_html"))
+        return self.pages.filter(~self._named()).unionByName(joined.drop("clean_html").withColumnRenamed("_html", "clean_html"))
 
 
 def clean_pieces(

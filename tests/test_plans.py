@@ -62,6 +62,16 @@ def test_embedding_moves_an_image_once(spark, pages):
     assert sorted(re.findall(r"\((\w+)#", m)[0] for m in moved) == ["asset", "asset", "page_id"]
 
 
+def test_documents_meet_their_images_as_whole_rows(spark, pages):
+    """Only images are unfolded; documents move as they are and nothing is gathered before it has moved."""
+    assets = spark.createDataFrame(
+        [("http://i/a", "image/png", 1, bytearray(b"a"))],
+        "img_url string, content_type string, content_length long, payload binary")
+    text = plan(clean_pages(parse_pages(pages), images=acceptable_images(assets)))
+    moved = text[text.index("hashpartitioning(page_id"):]
+    assert "collect_list" in text and "collect_list" not in moved and text.count("Generate posexplode") == 1
+
+
 def test_html_is_read_by_ranges_of_page_id(pages):
     """URLs are looked up without html; the html scan gets the chosen ids' ranges."""
     wanted = pages.select(urls.normalize(F.col("url")).alias("norm_url"), F.lit(0).alias("depth"), F.col("page_id").alias("rank"))
