@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from pageloom.llm import jaccard, line_chunks, mixing, queries
-from pageloom.session import stage
+from pageloom.session import stage, written
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,24 @@ def test_mixing_counts_every_context(docs):
     assert n == len(rows)
 
 
+def test_mixing_stages_texts_without_their_contexts(spark, docs, tmp_path, monkeypatch):
+    """Contexts are several times the text and move once; only what the ranges answer is kept beside the batches."""
+    staged = {}
+
+    def stage_at(df, label):
+        staged[label] = f"{tmp_path}/{label}"
+        return written(df, staged[label])
+
+    monkeypatch.setattr(mixing, "stage", stage_at)
+    got = mixing.scores(docs).collect()
+    text = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    rows = spark.read.parquet(staged["gathered"])
+    assert len(got) == docs.count() and rows.filter("part is not null").isEmpty()
+    assert rows.selectExpr("sum(length(table))").first()[0] < text
+    batches = spark.read.parquet(staged["counts"]).select("batch").distinct().count()
+    assert batches == rows.count()
+
+
 def test_mixing_sees_the_words_before(spark):
     """The order of a text's words counts, and phrases that repeat cost less than the same words anew."""
     rng, names = np.random.default_rng(3), [f"{a}{b}" for a in ("ka", "lo", "mi", "su") for b in ("ren", "tal", "vok", "zim", "dar")]
