@@ -65,6 +65,48 @@ def test_mixing_stages_texts_without_their_contexts(spark, docs, tmp_path, monke
     assert batches == rows.count()
 
 
+def test_mixing_moves_contexts_in_rounds(spark, docs, tmp_path, monkeypatch):
+    """Each round moves other contexts and leaves no shuffle behind; together they give what one round does."""
+    plain, paths, key = sorted(mixing.scores(docs).collect()), [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def stage_at(df, label):
+        assert spark.conf.get(key) == "true"
+        paths.append(f"{tmp_path}/{label}-{len(paths)}")
+        return written(df, paths[-1])
+
+    for name, value in (("stage", stage_at), ("ROUND_BYTES", 0), ("RANGE_BYTES", 10_000), ("SHARES", 1)):
+        monkeypatch.setattr(mixing, name, value)
+    got = sorted(mixing.scores(docs).collect())
+    assert spark.conf.get(key) == "false" and len(got) == len(plain) == docs.count()
+    for a, b in zip(got, plain, strict=True):
+        assert a[:6] == b[:6] and a["score"] == pytest.approx(b["score"], rel=1e-6)
+    rounds = [{r["part"] for r in spark.read.parquet(p).select("part").distinct().collect()} for p in paths if "/counts-" in p]
+    assert len(rounds) == mixing.ROUNDS and all(rounds) and sum(map(len, rounds)) == len(set.union(*rounds))
+
+
+def test_mixing_packs_only_what_a_batch_cannot_know():
+    """The counts of any choice of keys come back from what is sent, which is less than nine counts of each."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 400, 20_000).astype(np.uint64) << np.uint64(40) | rng.integers(0, 256, 20_000).astype(np.uint64))
+    counts, which = mixing.answered(keys, rng.integers(0, 400, len(keys)))
+    for n in (0, 1, 50, len(keys) // 2, len(keys)):
+        some = np.sort(rng.choice(len(keys), n, replace=False))
+        sent = mixing.pack_answers(keys[some], counts[:, which[some]])
+        assert (mixing.unpack_answers(keys[some], sent) == counts[:, which[some]]).all()
+    assert 2 * len(sent) < len(mixing.packed(mixing.byte_planes(counts[:, which].astype("<u4"))))
+
+
+def test_mixing_orders_hashes(monkeypatch):
+    """Stable, whether or not the upper bits tell hashes apart."""
+    rng = np.random.default_rng(6)
+    for high, n in ((1 << 63, 5_000), (200, 5_000), (1 << 40, 1), (7, 0)):
+        upper = rng.integers(0, high, n).astype(np.uint64)
+        for x in (upper, upper << np.uint64(8) | rng.integers(0, 4, n).astype(np.uint64), upper << np.uint64(20) | rng.integers(0, 3, n).astype(np.uint64) << np.uint64(8)):
+            for x in (x, np.append(x, np.uint64((1 << 64) - 1))):
+                for tail in (0, 8):
+                    assert mixing.ordered(x, tail).tolist() == np.argsort(x, kind="stable").tolist()
+
+
 def test_mixing_sees_the_words_before(spark):
     """The order of a text's words counts, and phrases that repeat cost less than the same words anew."""
     rng, names = np.random.default_rng(3), [f"{a}{b}" for a in ("ka", "lo", "mi", "su") for b in ("ren", "tal", "vok", "zim", "dar")]
