@@ -107,6 +107,40 @@ def test_mixing_orders_hashes(monkeypatch):
                     assert mixing.ordered(x, tail).tolist() == np.argsort(x, kind="stable").tolist()
 
 
+def test_mixing_hashes_a_context_once(monkeypatch):
+    """Contexts of the last bytes are hashed once a batch however often they occur, and never more than a block of bytes at a time when counted."""
+    rng, hashed, plain = np.random.default_rng(7), {p: [] for p in range(mixing.PREDICTORS)}, mixing.Beginnings.hashes
+
+    def hashes(self, p, *some):
+        x = plain(self, p, *some)
+        hashed[p].append(len(x))
+        return x
+
+    monkeypatch.setattr(mixing.Beginnings, "hashes", hashes)
+    texts = [" ".join(rng.choice(["ab", "abc", "Ob", "\u00e9t\u00e9", "you", "z", ""], n)) for n in (0, 1, 3, 500, 20_000)]
+    data = mixing.joined_bytes(texts)
+    keys, _ = mixing.Beginnings(data).keys()
+    distinct = [len({(contexts[p], byte) for t in texts for contexts, byte in contexts_of(t)}) for p in range(mixing.PREDICTORS)]
+    assert len(keys) == sum(distinct)
+    assert [sum(hashed[p]) for p in range(mixing.WORD)] == distinct[: mixing.WORD]
+    hashed.update({p: [] for p in hashed})
+    counted = mixing.document_of(data) != 3
+    every, times = mixing.counted_keys(data, counted, 0, 1 << 32)
+    assert (every == keys).all() and times.sum() == mixing.PREDICTORS * counted.sum()
+    assert max(hashed[mixing.WORD]) <= max(mixing.BLOCK_BYTES, len(texts[-1].encode()) + 1) and sum(hashed[mixing.WORD]) == len(data)
+    assert len(hashed[mixing.WORD]) > 1
+
+
+def test_mixing_numbers_codes():
+    """By a table or by sorting: one of each code, and which of them each is."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 1000):
+        for size in (7, 5_000, 1 << 42):
+            codes = rng.integers(0, min(size, 60), n) * (size // 60 or 1)
+            one_of, number = mixing.numbered(codes, size + size // 60 * 60 + 1)
+            assert (codes[one_of][number] == codes).all() and len(one_of) == len(set(codes.tolist()))
+
+
 def test_mixing_sees_the_words_before(spark):
     """The order of a text's words counts, and phrases that repeat cost less than the same words anew."""
     rng, names = np.random.default_rng(3), [f"{a}{b}" for a in ("ka", "lo", "mi", "su") for b in ("ren", "tal", "vok", "zim", "dar")]
