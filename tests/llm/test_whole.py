@@ -96,6 +96,28 @@ def test_mixing_packs_only_what_a_batch_cannot_know():
     assert 2 * len(sent) < len(mixing.packed(mixing.byte_planes(counts[:, which].astype("<u4"))))
 
 
+def test_mixing_packs_many_blocks_at_once(monkeypatch):
+    """Small blocks, as there are many of in large corpora, cost no call and no Arrow batch each and hold what they hold alone."""
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 60, 5_000).astype(np.uint64) << np.uint64(55) | rng.integers(0, 5, 5_000).astype(np.uint64) << np.uint64(8) | rng.integers(0, 256, 5_000).astype(np.uint64))
+    counts, _ = mixing.answered(pool, rng.integers(0, 3, len(pool)))
+    blocks = [np.sort(rng.choice(len(pool), n, replace=False)) for n in (1, 700, 2, 1, 1, 300, 5)] + [np.array([9]), np.array([9, 10])]
+    at, starts = np.concatenate(blocks), np.append(0, np.cumsum([len(b) for b in blocks]))
+    tables = mixing.pack_blocks(pool[at], starts, counts[:, at])
+    assert tables == [mixing.pack_answers(pool[b], counts[:, b]) for b in blocks]
+    ranges = 1_000
+    cuts = mixing.range_starts(pool, ranges)
+    tables = [mixing.pack_answers(pool[a:b], counts[:, a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+    assert len(tables) > 10 and (mixing.unpack_blocks(pool, tables) == counts).all()
+    for piece in (1, 500, 1 << 20):
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        rows = list(mixing.range_rows(4, pool, counts[8], ranges))
+        found = [mixing.unpack_counts(t) for r in rows for t in r.column("table").to_pylist()]
+        assert (np.concatenate([keys for keys, _ in found]) == pool).all() and (np.concatenate([n for _, n in found]) == counts[8]).all()
+        assert [i for r in rows for i in r.column("part").to_pylist()] == np.flatnonzero(np.diff(cuts)).tolist()
+        assert len(found) == len(tables) and len(rows) <= 2 * len(pool) // piece + 1
+
+
 def test_mixing_orders_hashes(monkeypatch):
     """Stable, whether or not the upper bits tell hashes apart."""
     rng = np.random.default_rng(6)
